@@ -86,6 +86,7 @@ def outlier_counts(
     return counts.select(*keys, "n", per_axis.alias("s")).select(
         *keys,
         "s.axis",
+        "n",
         "s.n_outliers",
         F.try_divide(F.col("s.n_outliers") * 100.0, F.col("n")).alias("pct"),
     )

@@ -31,7 +31,7 @@ def _unit(h: Column) -> Column:
 
 def sample_exact(
     df: DataFrame,
-    k: int,
+    k: int | str,
     key: str,
     seed: int = 42,
     by: str | Sequence[str] | None = None,
@@ -39,15 +39,18 @@ def sample_exact(
 ) -> DataFrame:
     """Exactly ``min(k, n)`` rows of each group, without replacement.
 
+    ``k`` is a number, or the name of a column that holds the number for the group.
     ``key`` should identify a row; ``ordered`` sorts the result by it. Reads the key
     column three times (count, bucket counts, rows of the boundary bucket) and the
     full rows once.
     """
     keys = as_keys(by)
     columns = list(df.columns)
-    if k <= 0:
+    if not isinstance(k, str) and k <= 0:
         return df.limit(0)
-    sizes = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > k), "sizes")
+    size = F.max(k) if isinstance(k, str) else F.lit(k)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), size.cast("long").alias("_k"))
+    sizes = stage(sizes.where("_n > _k"), "sizes")
     if sizes.isEmpty():
         return df.orderBy(key) if ordered else df
     buckets = F.greatest(
@@ -59,10 +62,10 @@ def sample_exact(
     thin = df.select(*keys, F.col(key).alias("_key")).withColumn("_h", digest("_key", seed))
     thin = attach(thin, sizes, keys).withColumn("_b", bucket)
     group = Window.partitionBy(*keys)
-    hist = thin.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    hist = thin.groupBy(*keys, "_b", "_k").agg(F.count("*").alias("_c"))
     hist = hist.withColumn("_before", F.sum("_c").over(group.orderBy("_b")) - F.col("_c"))
-    edge = hist.where((F.col("_before") < k) & (F.col("_before") + F.col("_c") >= k))
-    edge = stage(edge.select(*keys, F.col("_b").alias("_edge"), (F.lit(k) - F.col("_before")).alias("_need")), "edge")
+    edge = hist.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
+    edge = stage(edge.select(*keys, F.col("_b").alias("_edge"), (F.col("_k") - F.col("_before")).alias("_need")), "edge")
 
     # Rows of the boundary bucket, as (digest, key) with multiplicity, up to the last one needed.
     rows = attach(thin, edge, keys).where(F.col("_b") == F.col("_edge"))
@@ -98,16 +101,16 @@ def sample_exact(
 
 
 def cap_per_group(
-    df: DataFrame, by: str | Sequence[str], cap: int, key: str, seed: int = 0
+    df: DataFrame, by: str | Sequence[str], cap: int | str, key: str, seed: int = 0
 ) -> DataFrame:
-    """At most ``cap`` rows of each group, chosen by digest.
+    """At most ``cap`` rows of each group, chosen by digest; ``cap`` may name a column.
 
     Small caps rank within salted groups first, so that even a group with most of
     the rows is cut down before its rows meet in one task; both ranks are pruned on
-    the map side. Larger caps use bucket counts.
+    the map side. Larger and per-group caps use bucket counts.
     """
     keys = as_keys(by)
-    if cap > _WINDOW_CAP:
+    if isinstance(cap, str) or cap > _WINDOW_CAP:
         return sample_exact(df, cap, key, seed, keys)
     columns = list(df.columns)
     h = df.withColumn("_h", digest(key, seed))
