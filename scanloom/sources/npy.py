@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from scanloom.sources.files import SPLIT_BYTES, list_inputs, open_input, resolve
+from scanloom.sources.chunks import write_chunks
+from scanloom.sources.files import SPLIT_BYTES, list_inputs, open_input
 
 _ROWS_PER_BATCH_BYTES = 4 << 20
 
@@ -99,49 +101,44 @@ class NpyRasterSource(DataSource):
 
 
 def write_rasters(rows: DataFrame, path: str, column: str = "depth", by: Sequence[str] = ()) -> DataFrame:
-    """Write each frame's rows as ``<frame>.npy`` of 32-bit floats; returns the files written.
+    """Write the rows of each frame to ``<frame>.npy`` as 32-bit floats.
 
-    Rows of a frame meet sorted in one task, which appends them to the file one
-    batch at a time, so the task never holds the raster.
+    ``by`` columns become folders. Evaluating the result, one row per file, does the
+    writing; it fails if a frame lacks a row or its rows differ in width.
     """
-    size = rows.groupBy(*by, "frame").agg((F.max("v") + 1).alias("h"), F.max(F.size(column)).alias("w"))
-    fit = rows.join(size, [*by, "frame"]).select(*by, "frame", "v", "h", "w", column)
-    order = fit.repartition(*by, "frame").sortWithinPartitions(*by, "frame", "v")
-    groups = list(by)
-
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, current, seen, expected = None, None, 0, 0
-        done: list[tuple[str, int, int]] = []
-
-        def close():
-            if out is not None:
-                out.close()
-                if seen != expected:
-                    raise ValueError(f"frame {current}: {seen} of {expected} rows")
-
+    keys = [*by, "frame"]
+    size = rows.groupBy(*keys).agg(
+        (F.max("v") + 1).alias("h"),
+        F.count("*").alias("n"),
+        F.max(F.size(column)).cast("long").alias("w"),
+        F.min(F.size(column)).alias("w_min"),
+    )
+    folder = [F.lit(path.rstrip("/"))] + [F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in by]
+    file = F.concat_ws("/", *folder, F.concat(F.col("frame").cast("string"), F.lit(".npy"))).alias("path")
+    bad = (F.col("n") != F.col("h")) | (F.col("w") != F.col("w_min"))
+    height = F.when(bad, F.raise_error(F.lit("a raster has missing or uneven rows")).cast("long")).otherwise(F.col("h"))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                name = (*[row[g] for g in groups], row["frame"])
-                if name != current:
-                    close()
-                    folder = "/".join([path.rstrip("/"), *[f"{g}={row[g]}" for g in groups]])
-                    fs, inner = resolve(folder)
-                    fs.create_dir(inner, recursive=True)
-                    out = fs.open_output_stream(f"{inner}/{row['frame']}.npy")
-                    header = {"descr": "<f4", "fortran_order": False, "shape": (row["h"], row["w"])}
-                    np.lib.format.write_array_header_1_0(out, header)
-                    current, seen, expected = name, 0, row["h"]
-                    done.append((f"{folder}/{row['frame']}.npy", row["h"], row["w"]))
-                values = np.asarray(row[column], dtype="<f4")
-                if len(values) != row["w"] or row["v"] != seen:
-                    raise ValueError(f"frame {row['frame']}: row {seen} is missing or short")
-                out.write(values.tobytes())
-                seen += 1
-        close()
-        cols = list(zip(*done)) if done else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-            ["path", "height", "width"],
-        )
-
-    return order.mapInArrow(save, "path string, height long, width long")
+            contents = []
+            for h, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                out = io.BytesIO()
+                np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (h, w)})
+                contents.append(out.getvalue())
+            seq = pa.array([-1] * len(contents), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), seq, pa.array(contents, pa.binary())], ["path", "seq", "content"]
+            )
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = [np.asarray(r.values, dtype="<f4").tobytes() for r in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(contents, pa.binary())], ["path", "seq", "content"]
+            )
+
+    chunk = "path string, seq long, content binary"
+    head = size.select(file, height.alias("h"), "w").mapInArrow(heads, chunk)
+    values = F.col(column).cast("array<float>")
+    body = rows.select(file, F.col("v").cast("long").alias("seq"), values.alias("values")).mapInArrow(bodies, chunk)
+    return write_chunks(head.unionByName(body))
