@@ -185,8 +185,7 @@ def depth_scale(
     spread = pairs.groupBy(*keys).agg(F.stddev_pop("ratio").alias("std"))
     quart = percentiles(pairs, {"r": "ratio"}, {"p25": 0.25, "median": 0.5, "p75": 0.75}, keys)
     quart = quart.select(*keys, *[F.col(f"r_{q}").alias(q) for q in ("p25", "median", "p75")])
-    out = attach(stage(counts, "counts"), stage(quart, "quart"), keys, "left")
-    out = attach(out, stage(spread, "spread"), keys, "left")
+    out = attach(attach(counts, quart, keys, "left"), spread, keys, "left")
     if on_shortage == "error":
         text = F.concat(F.lit("depth scale needs "), F.lit(str(min_total)), F.lit(" pairs, found "), F.col("n_pairs"))
         scale = F.when(F.col("n_pairs") < min_total, F.raise_error(text).cast("double")).otherwise(F.col("median"))

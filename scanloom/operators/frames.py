@@ -108,7 +108,7 @@ def camera_cluster(poses: DataFrame, by: str | Sequence[str] | None = None, pref
     far = " + ".join(f"({c} - center_{a}) * ({c} - center_{a})" for c, a in zip(centre, "xyz"))
     dist = attach(rows, means, keys).select(*keys, F.expr(f"sqrt({far})").alias("dist"))
     radius = percentiles(dist, {"dist": "dist"}, {"p90": 0.9}, keys).withColumnRenamed("dist_p90", "radius_p90")
-    return attach(means, stage(radius, "radius"), keys, "left")
+    return attach(means, radius, keys, "left")
 
 
 def mean_focal(frames: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:

@@ -113,7 +113,7 @@ def fill_blank_masks(
     ``images`` has ``name``, ``width``, ``height``; a mask exists if the image's stem has one.
     """
     keys = as_keys(by)
-    have = masks.select(*keys, F.concat(F.col("image"), F.lit(".png")).alias("name")).distinct()
+    have = masks.select(*keys, F.concat(F.col("image"), F.lit(".png")).alias(name)).distinct()
     blank = missing_outputs(images, have, ".png", keys, name)
     blank = blank.withColumn("image", F.regexp_replace("output", r"\.png$", ""))
     rows = blank.select(

@@ -148,8 +148,7 @@ def opacity_stats(
             F.avg("op").alias("mean_opacity"), F.approx_percentile("op", 0.5, 10000).alias("median_opacity")
         )
     median = percentiles(base, {"op": "op"}, {"median": 0.5}, keys).withColumnRenamed("op_median", "median_opacity")
-    mean = stage(base.groupBy(*keys).agg(F.avg("op").alias("mean_opacity")), "mean")
-    return attach(mean, stage(median, "median"), keys, "left")
+    return attach(base.groupBy(*keys).agg(F.avg("op").alias("mean_opacity")), median, keys, "left")
 
 
 def ghost_ratio(
@@ -165,17 +164,14 @@ def scale_stats(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFra
     """Median, mean and size shares of the largest activated scale of each row."""
     keys = as_keys(by)
     base = df.select(*keys, max_scale(scale_columns(df)).alias("s")).where(finite("s"))
-    shares = stage(
-        base.groupBy(*keys).agg(
-            F.avg("s").alias("mean_scale"),
-            _share(F.col("s") > LARGE_SCALE).alias("share_above_1"),
-            _share(F.col("s") > HALF_SCALE).alias("share_above_05"),
-            _share(F.col("s") < SMALL_SCALE).alias("share_below_001"),
-        ),
-        "scale",
+    shares = base.groupBy(*keys).agg(
+        F.avg("s").alias("mean_scale"),
+        _share(F.col("s") > LARGE_SCALE).alias("share_above_1"),
+        _share(F.col("s") > HALF_SCALE).alias("share_above_05"),
+        _share(F.col("s") < SMALL_SCALE).alias("share_below_001"),
     )
     median = percentiles(base, {"s": "s"}, {"median": 0.5}, keys).withColumnRenamed("s_median", "median_scale")
-    return attach(shares, stage(median, "median"), keys, "left")
+    return attach(shares, median, keys, "left")
 
 
 def color_stats(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFrame:
@@ -229,7 +225,7 @@ def _with_outliers(df: DataFrame, stats: DataFrame, keys: list[str], ks: Sequenc
     shares = rows.groupBy(*keys).agg(
         *[_share(beyond(a, k)).alias(f"{a}_outlier_share_{k:g}") for k in ks for a in AXES]
     )
-    return attach(stats, stage(shares, "outliers"), keys, "left")
+    return attach(stats, shares, keys, "left")
 
 
 def _issues(df: DataFrame, k: float) -> Column:
@@ -274,7 +270,7 @@ def splat_report(df: DataFrame, by: str | Sequence[str] | None = None) -> DataFr
     if values:
         medians = percentiles(df, values, {"median": 0.5}, keys)
         medians = medians.select(*keys, *[F.col(f"{v}_median").alias(f"median_{v}") for v in values])
-        full = attach(full, stage(medians, "medians"), keys, "left")
+        full = attach(full, medians, keys, "left")
     volume = F.col("x_span") * F.col("y_span") * F.col("z_span")
     full = full.withColumns({"volume": volume, "density": F.try_divide(F.col("n").cast("double"), volume)})
     full = full.withColumn("issues", _issues(full, 5.0))
@@ -327,11 +323,10 @@ def compare_clouds(clouds: Mapping[str, DataFrame | None]) -> DataFrame:
             "status": F.lit("ok"),
         }
     )
-    stats = stage(stats, "compare")
     medians = percentiles(rows, {"_op": "_op"}, {"median": 0.5}, ["name"]).withColumnRenamed(
         "_op_median", "median_opacity"
     )
-    out = attach(stats, stage(medians, "median"), ["name"], "left")
+    out = attach(stats, medians, ["name"], "left")
     if missing:
         spark = out.sparkSession
         gone = spark.createDataFrame([(n, "missing") for n in missing], "name string, status string")

@@ -227,15 +227,15 @@ _AT = "greatest(least((o + 0.5) * {n} / {m} - 0.5, {n} - 1), 0)"
     "upsample",
     "frame v u ~depth",
     "depth_px",
-    f"""WITH cs AS (SELECT o AS u, CAST({_AT.format(n=25, m=60)} AS DOUBLE) AS s FROM range(60) r(o)),
-        rs AS (SELECT o AS v, CAST({_AT.format(n=20, m=45)} AS DOUBLE) AS s FROM range(45) r(o)),
+    f"""WITH cs AS (SELECT o AS u, CAST({_AT.format(n=25, m=61)} AS DOUBLE) AS s FROM range(61) r(o)),
+        rs AS (SELECT o AS v, CAST({_AT.format(n=20, m=47)} AS DOUBLE) AS s FROM range(47) r(o)),
         wide AS (SELECT frame, d.v, cs.u, sum(depth * (1 - abs(cs.s - d.u))) AS depth FROM depth_px d
           JOIN cs ON abs(cs.s - d.u) < 1 GROUP BY frame, d.v, cs.u)
         SELECT frame, rs.v, w.u, sum(depth * (1 - abs(rs.s - w.v))) AS depth FROM wide w
           JOIN rs ON abs(rs.s - w.v) < 1 GROUP BY frame, rs.v, w.u""",
 )
 def _(spark, sf):
-    return depth.pixels(depth.upsample(depth_rows(spark, sf, ()), 60, 45))
+    return depth.pixels(depth.upsample(depth_rows(spark, sf, ()), 61, 47))
 
 
 def _fused(spark, sf, by):

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from scanloom.sources.files import CHUNK_BYTES, SPLIT_BYTES, list_inputs, open_input
 
@@ -37,6 +36,14 @@ FILES = {
     "observations": "images.bin",
     "points3d": "points3D.bin",
 }
+_ARROW = {
+    "string": pa.string(),
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "short": pa.int16(),
+    "double": pa.float64(),
+    "array<double>": pa.list_(pa.float64()),
+}
 _BATCH = 65_536
 _KEYPOINT = np.dtype([("x", "<f8"), ("y", "<f8"), ("p", "<i8")])
 
@@ -144,7 +151,7 @@ class _ModelReader(DataSourceReader):
         self.table = options.get("table", "images")
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.tracked_only = options.get("trackedonly", options.get("trackedOnly", "true")).lower() == "true"
-        self.full = to_arrow_schema(T.StructType.fromDDL(SCHEMAS[self.table]))
+        self.full = pa.schema([(n, _ARROW[t]) for n, t in (f.split(" ") for f in SCHEMAS[self.table].split(", "))])
         self.columns = [f.name for f in schema.fields]
 
     def partitions(self) -> list[InputPartition]:
