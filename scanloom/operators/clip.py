@@ -52,12 +52,15 @@ def sigma_clip(
     axes: Sequence[str] = AXES,
     by: str | Sequence[str] | None = None,
     mode: str = "joint",
+    stats_from: DataFrame | None = None,
 ) -> DataFrame:
     """Keep rows within k population deviations of the mean.
 
     ``joint`` takes all statistics from the whole input; ``sequential`` goes axis
     by axis with the statistics of the rows still kept, and skips absent axes.
     k <= 0 keeps everything. Rows with a non-finite coordinate are dropped.
+    ``stats_from`` is the same cloud with fewer columns, for sources that cannot
+    leave out columns by themselves.
     """
     if mode not in ("joint", "sequential"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -68,14 +71,18 @@ def sigma_clip(
     if mode == "joint":
         if any(a not in columns for a in axes):
             return df
-        stats = _moments(df, keys, axes)
+        stats = _moments(df if stats_from is None else stats_from, keys, axes)
         return attach(df.where(finite(*axes)), stats, keys).where(_within(axes, k)).select(*columns)
     used = [a for a in axes if a in columns]
-    kept = df.where(finite(*used)) if used else df
+    if not used:
+        return df
+    source = (df if stats_from is None else stats_from).where(finite(*used))
+    kept, out = source, df.where(finite(*used))
     for a in used:
         stats = _moments(kept, keys, [a])
-        kept = attach(kept, stats, keys).where(_within([a], k)).select(*columns)
-    return kept
+        kept = attach(kept, stats, keys).where(_within([a], k)).select(*source.columns)
+        out = attach(out, stats, keys).where(_within([a], k)).select(*columns)
+    return out
 
 
 def prune(
@@ -83,10 +90,14 @@ def prune(
     threshold: float = MIN_OPACITY,
     sigma: float = PRUNE_SIGMA,
     by: str | Sequence[str] | None = None,
+    stats_from: DataFrame | None = None,
 ) -> DataFrame:
     """Drop faint rows, then spatial outliers axis by axis."""
     kept = prune_opacity(df, threshold)
-    return sigma_clip(kept, sigma, by=by, mode="sequential") if sigma > 0 else kept
+    if sigma <= 0:
+        return kept
+    thin = None if stats_from is None else prune_opacity(stats_from, threshold)
+    return sigma_clip(kept, sigma, by=by, mode="sequential", stats_from=thin)
 
 
 def prune_report(

@@ -6,20 +6,22 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scanloom.functions.activation import finite
 from scanloom.functions.camera import intrinsics, scale_intrinsics
 from scanloom.functions.pose import invert_rigid, w2c
 from scanloom.operators import depth as D
 from scanloom.operators import masks as M
-from scanloom.operators.clip import CLOUD_SIGMA, sigma_clip
+from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, sigma_clip
 from scanloom.operators.frames import join_camera
 from scanloom.operators.profile import AXES
 from scanloom.operators.sample import cap_per_group, sample_exact
 from scanloom.operators.voxel import voxel_to_target
 from scanloom.plans.stage import as_keys, attach, stage
+from scanloom.sources.files import list_inputs
 
 CLOUD_TARGET = 500_000
 MERGED_CAP = 2_000_000
@@ -55,6 +57,27 @@ def subsample(
     return sample_exact(sigma_clip(df, sigma, by=by), target, key, seed, by, ordered)
 
 
+def prune_files(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    threshold: float = MIN_OPACITY,
+    sigma: float = PRUNE_SIGMA,
+    per_file: bool = True,
+) -> None:
+    """Prune splat files into ``target``, keeping every property and the header of the first file.
+
+    With ``per_file`` each input file is a capture of its own. Statistics read only
+    the coordinates and the opacity, the last pass the whole rows.
+    """
+    full = spark.read.format("ply").load(source)
+    used = [f for f in full.schema.fields if f.name in ("path", "opacity", *AXES)]
+    thin = spark.read.format("ply").schema(StructType(used)).load(source)
+    kept = prune(full, threshold, sigma, ["path"] if per_file else None, stats_from=thin)
+    head = list_inputs(source, ".ply")[0][0]
+    kept.drop("path", "point_id").write.format("ply").mode("overwrite").option("headerFrom", head).save(target)
+
+
 @dataclass
 class FusedDepth:
     """Result of a depth fusion: the coloured cloud, and one bounds row per group."""
