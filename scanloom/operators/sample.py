@@ -1,7 +1,7 @@
 """Exact-size samples that are the same on every run and every partitioning.
 
 Rows are ordered by ``md5(key:seed)``. The k-th smallest digest of a group is found
-from bucket counts, so no task sorts a whole group.
+by counting, so no task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -29,6 +29,58 @@ def _unit(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+def _cut(ties: DataFrame, keys: list[str]) -> DataFrame:
+    """The last (digest, key) needed per group, how many of its copies are, and whether that is not all.
+
+    ``ties`` counts rows per (digest, key) with the number of rows wanted in ``_need``;
+    a null digest stands for all smaller ones.
+    """
+    order = Window.partitionBy(*keys).orderBy("_h", "_key")
+    ranked = ties.withColumn("_before", F.sum("_c").over(order) - F.col("_c"))
+    last = (F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_c") >= F.col("_need"))
+    take = F.col("_need") - F.col("_before")
+    return ranked.where(last).select(
+        *keys,
+        F.col("_h").alias("_cut_h"),
+        F.col("_key").alias("_cut_key"),
+        take.alias("_take"),
+        (take < F.col("_c")).alias("_partial"),
+    )
+
+
+def _cut_in_band(thin: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Cuts found in one pass: digests are uniform, so the k-th lies in a narrow band around k/n.
+
+    Rows below the band are counted on the map side, a few times sqrt(k) rows in it
+    are kept. Should a k-th digest lie outside, the group gets no cut here.
+    """
+    width = F.sqrt(F.col("_k") * (F.col("_n") - F.col("_k")) / F.col("_n")) * 8 + 16
+    band = sizes.withColumns({"_low": (F.col("_k") - width) / F.col("_n"), "_high": (F.col("_k") + width) / F.col("_n")})
+    rows = attach(thin, band, keys).withColumn("_u", _unit(F.col("_h"))).where("_u < _high")
+    inside = F.col("_u") >= F.col("_low")
+    ties = rows.groupBy(
+        *keys, F.col("_k").alias("_need"), F.when(inside, F.col("_h")).alias("_h"), F.when(inside, F.col("_key")).alias("_key")
+    ).agg(F.count("*").alias("_c"))
+    return stage(_cut(ties, keys).where(F.col("_cut_h").isNotNull()), "cut")
+
+
+def _cut_by_buckets(thin: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Cuts for any distribution of digests: bucket counts, then the rows of the boundary bucket."""
+    buckets = F.greatest(
+        F.least((F.col("_n") / _ROWS_PER_BUCKET).cast("long"), F.lit(_MAX_BUCKETS)), F.lit(1).cast("long")
+    )
+    rows = attach(thin, sizes.withColumn("_nb", buckets), keys)
+    rows = rows.withColumn("_b", F.floor(_unit(F.col("_h")) * F.col("_nb")))
+    hist = rows.groupBy(*keys, "_b", "_k").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_c")
+    hist = hist.withColumn("_before", before)
+    edge = hist.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
+    edge = edge.select(*keys, F.col("_b").alias("_edge"), (F.col("_k") - F.col("_before")).alias("_need"))
+    edge = attach(rows.drop("_k"), stage(edge, "edge"), keys).where(F.col("_b") == F.col("_edge"))
+    ties = edge.groupBy(*keys, "_h", "_key", "_need").agg(F.count("*").alias("_c"))
+    return stage(_cut(ties, keys), "cut")
+
+
 def sample_exact(
     df: DataFrame,
     k: int | str,
@@ -40,9 +92,8 @@ def sample_exact(
     """Exactly ``min(k, n)`` rows of each group, without replacement.
 
     ``k`` is a number, or the name of a column that holds the number for the group.
-    ``key`` should identify a row; ``ordered`` sorts the result by it. Reads the key
-    column three times (count, bucket counts, rows of the boundary bucket) and the
-    full rows once.
+    ``key`` should identify a row; ``ordered`` sorts the result by it. Reads the
+    group sizes, the key column once or twice, and the full rows once.
     """
     keys = as_keys(by)
     columns = list(df.columns)
@@ -53,36 +104,13 @@ def sample_exact(
     sizes = stage(sizes.where("_n > _k"), "sizes")
     if sizes.isEmpty():
         return df.orderBy(key) if ordered else df
-    buckets = F.greatest(
-        F.least((F.col("_n") / _ROWS_PER_BUCKET).cast("long"), F.lit(_MAX_BUCKETS)), F.lit(1).cast("long")
-    )
-    sizes = sizes.withColumn("_nb", buckets)
-    bucket = F.floor(_unit(F.col("_h")) * F.col("_nb"))
-
     thin = df.select(*keys, F.col(key).alias("_key")).withColumn("_h", digest("_key", seed))
-    thin = attach(thin, sizes, keys).withColumn("_b", bucket)
-    group = Window.partitionBy(*keys)
-    hist = thin.groupBy(*keys, "_b", "_k").agg(F.count("*").alias("_c"))
-    hist = hist.withColumn("_before", F.sum("_c").over(group.orderBy("_b")) - F.col("_c"))
-    edge = hist.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_c") >= F.col("_k")))
-    edge = stage(edge.select(*keys, F.col("_b").alias("_edge"), (F.col("_k") - F.col("_before")).alias("_need")), "edge")
-
-    # Rows of the boundary bucket, as (digest, key) with multiplicity, up to the last one needed.
-    rows = attach(thin, edge, keys).where(F.col("_b") == F.col("_edge"))
-    ties = rows.groupBy(*keys, "_h", "_key", "_need").agg(F.count("*").alias("_c"))
-    order = group.orderBy("_h", "_key")
-    ties = ties.withColumn("_before", F.sum("_c").over(order) - F.col("_c"))
-    cut = ties.where((F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("_c") >= F.col("_need")))
-    cut = stage(
-        cut.select(
-            *keys,
-            F.col("_h").alias("_cut_h"),
-            F.col("_key").alias("_cut_key"),
-            (F.col("_need") - F.col("_before")).alias("_take"),
-            (F.col("_need") - F.col("_before") < F.col("_c")).alias("_partial"),
-        ),
-        "cut",
-    )
+    cut = _cut_in_band(thin, sizes, keys)
+    found = attach(sizes, cut.select(*keys, "_cut_h"), keys, "left")
+    missed = found.where(F.col("_cut_h").isNull()).select(*keys, "_n", "_k")
+    if not missed.isEmpty():
+        cut = cut.unionByName(_cut_by_buckets(thin, stage(missed, "sizes"), keys))
+
     marked = attach(df.withColumn("_h", digest(key, seed)), cut, keys, "left")
     at_cut = (F.col("_h") == F.col("_cut_h")) & (F.col(key) == F.col("_cut_key"))
     below = (
