@@ -38,7 +38,7 @@ def _array_header(f) -> tuple[tuple[int, int], np.dtype, int]:
 class _NpyReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
-        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.columns = [f.name for f in schema.fields]
         self.value = options.get("column", "depth")
 

@@ -140,7 +140,7 @@ class _PlyReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
         self.suffix = options.get("suffix", ".ply")
-        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.fields = [(f.name, f.dataType) for f in schema.fields]
 
     def partitions(self) -> list[InputPartition]:
@@ -201,7 +201,7 @@ class _PlyWriter(DataSourceArrowWriter):
         types = dict(p.split(":") for p in options.get("types", "").split(",") if p)
         self.comments: list[str] = []
         self.order: list[str] | None = None
-        source = options.get("headerfrom") or options.get("headerFrom")
+        source = options.get("headerfrom")
         if source:
             head = read_header(source)
             types = {**dict(head.properties), **types}

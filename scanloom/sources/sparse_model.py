@@ -149,8 +149,8 @@ class _ModelReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
         self.table = options.get("table", "images")
-        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
-        self.tracked_only = options.get("trackedonly", options.get("trackedOnly", "true")).lower() == "true"
+        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.tracked_only = options.get("trackedonly", "true").lower() == "true"
         self.full = pa.schema([(n, _ARROW[t]) for n, t in (f.split(" ") for f in SCHEMAS[self.table].split(", "))])
         self.columns = [f.name for f in schema.fields]
 
