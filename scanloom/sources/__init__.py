@@ -7,9 +7,11 @@ from pyspark.sql import SparkSession
 
 def register(spark: SparkSession) -> None:
     """Register the formats ``ply``, ``npy_raster`` and ``sparse_model``."""
+    from scanloom.plans.ship import ship_package
     from scanloom.sources.npy import NpyRasterSource
     from scanloom.sources.ply import PlySource
     from scanloom.sources.sparse_model import SparseModelSource
 
+    ship_package(spark)
     for source in (PlySource, NpyRasterSource, SparseModelSource):
         spark.dataSource.register(source)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scanloom.plans.ship import ship_package
 from scanloom.sources.files import resolve
 
 
@@ -17,6 +18,7 @@ def write_chunks(chunks: DataFrame) -> DataFrame:
     time and renames the finished file into place. Evaluating the result, one row
     per file with its size, does the writing.
     """
+    ship_package(chunks.sparkSession)
     ordered = chunks.select("path", "seq", "content").repartition("path").sortWithinPartitions("path", "seq")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

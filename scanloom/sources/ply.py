@@ -22,6 +22,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from scanloom.plans.ship import ship_package
 from scanloom.sources.files import SPLIT_BYTES, list_inputs, open_input, resolve
 
 # Property types of the format, as NumPy code and Spark type.
@@ -366,6 +367,7 @@ def ply_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
             frame = pd.DataFrame(rows, columns=["path", "status", "format", "vertex_count", "n_properties", "properties", "size_mib"])
             yield frame.astype({"vertex_count": "Int64", "n_properties": "Int32"})
 
+    ship_package(spark)
     slices = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
     listing = spark.createDataFrame([(p,) for p in paths], "path string").repartition(slices, "path")
     return capabilities(listing.mapInPandas(describe, _CATALOG), "properties")

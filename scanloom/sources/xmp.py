@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions.names import stem
+from scanloom.plans.ship import ship_package
 
 # Namespaces of the sidecar format.
 _RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
@@ -46,6 +47,7 @@ def read_xmp(spark: SparkSession, path: str) -> DataFrame:
     Missing attributes are 0. A malformed or incomplete sidecar keeps its row, with
     nulls and the reason in ``error``.
     """
+    ship_package(spark)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
