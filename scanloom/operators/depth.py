@@ -204,13 +204,15 @@ def backproject(
     conf_at_least: float | None = None,
     color_rows: DataFrame | None = None,
     conf_pct: float | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """World points of the valid depth pixels.
 
     ``frames`` holds one row per frame with ``frame``, intrinsics and a ``c2w`` pose
     without axis flip. Invalid pixels are filtered inside the row arrays, before they
     become rows. ``color_rows`` (``frame, v, rgb array``) is joined on raster rows, so
-    each colour stays with its pixel; a pixel without colour keeps nulls.
+    each colour stays with its pixel; a pixel without colour keeps nulls. ``carry``
+    names columns of ``frames`` to keep.
     """
     keys = as_keys(by)
     on = [*keys, "frame"]
@@ -222,7 +224,7 @@ def backproject(
         conf_px = depth_rows.select(*keys, "frame", F.explode("conf").alias("conf"))
         cut = percentiles(conf_px, {"_cut": "conf"}, {"p": conf_pct / 100.0}, on)
         rows = attach(rows, stage(cut, "conf"), on)
-    need = ["fl_x", "fl_y", "cx", "cy", *[c for c in frames.columns if c.startswith("c2w_")]]
+    need = [*carry, "fl_x", "fl_y", "cx", "cy", *[c for c in frames.columns if c.startswith("c2w_")]]
     rows = rows.join(frames.select(*on, *need), on)
     if color_rows is not None:
         rows = rows.join(color_rows.select(*on, "v", "rgb"), [*on, "v"], "left")
@@ -255,7 +257,7 @@ def backproject(
     color = []
     if color_rows is not None:
         color = [F.col("_p.rgb")[i].alias(c) for i, c in enumerate(("red", "green", "blue"))]
-    return px.select(*on, "v", "u", "depth", *[w.alias(a) for w, a in zip(world, "xyz")], *color)
+    return px.select(*on, *carry, "v", "u", "depth", *[w.alias(a) for w, a in zip(world, "xyz")], *color)
 
 
 def depth_to_points(
@@ -266,10 +268,18 @@ def depth_to_points(
     step: int = STRIDE,
     conf_threshold: float = MIN_CONF,
     max_depth: float = CLOUD_DEPTH_MAX,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """World points on a pixel grid with enough confidence, coloured if colours are given."""
     return backproject(
-        depth_rows, frames, max_depth, by, step=step, conf_at_least=conf_threshold, color_rows=color_rows
+        depth_rows,
+        frames,
+        max_depth,
+        by,
+        step=step,
+        conf_at_least=conf_threshold,
+        color_rows=color_rows,
+        carry=carry,
     )
 
 

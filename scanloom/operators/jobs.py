@@ -18,7 +18,7 @@ from scanloom.operators import masks as M
 from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, sigma_clip
 from scanloom.operators.frames import join_camera
 from scanloom.operators.profile import AXES
-from scanloom.operators.sample import cap_per_group, sample_exact
+from scanloom.operators.sample import sample_exact
 from scanloom.operators.voxel import voxel_to_target
 from scanloom.plans.stage import as_keys, attach, stage
 from scanloom.sources.files import list_inputs
@@ -126,27 +126,22 @@ def fuse_depth(
     else:
         rows = depth_rows.withColumn("scale", F.lit(1.0))
 
-    px = D.backproject(
-        rows,
-        frames,
-        F.lit(float(max_depth)) * F.col("scale"),
-        keys,
-        min_depth=F.lit(D.NEAREST) * F.col("scale"),
-        color_rows=color_rows,
-        conf_pct=conf_pct,
-    )
-    numbers = images.groupBy(*keys).agg(F.count("*").alias("_n"))
-    per_frame = F.greatest(F.floor(F.lit(_OVERSAMPLE * target) / F.col("_n")), F.lit(1)).cast("long")
-    numbers = stage(numbers.select(*keys, per_frame.alias("_cap")), "frame-cap")
-    ids = images.select(*keys, "frame", F.col("image_id").cast("long").alias("_img"))
-    px = attach(px.join(ids, [*keys, "frame"]), numbers, keys)
-    # Position in the capture: image, then row, then column; rasters are below 65,536 pixels a side.
-    place = F.shiftleft(F.shiftleft(F.col("_img"), 16).bitwiseOR(F.col("v").cast("long")), 16).bitwiseOR(
-        F.col("u").cast("long")
-    )
-    colour = [c for c in ("red", "green", "blue") if c in px.columns]
-    px = px.select(*keys, "frame", place.alias("point_id"), *[F.col(a).cast("float").alias(a) for a in AXES], *colour, "_cap")
-    cloud = stage(cap_per_group(stage(px, "pixels"), [*keys, "frame"], "_cap", "point_id").drop("_cap"), "cloud")
+    limits = {
+        "max_depth": F.lit(float(max_depth)) * F.col("scale"),
+        "min_depth": F.lit(D.NEAREST) * F.col("scale"),
+        "conf_pct": conf_pct,
+    }
+    # Points per frame, without colours, and how many of them a frame may keep.
+    found = D.backproject(rows, frames, by=keys, **limits).groupBy(*keys, "frame").agg(F.count("*").alias("_n"))
+    share = images.groupBy(*keys).agg(F.count("*").alias("_images"))
+    per_frame = F.greatest(F.floor(F.lit(_OVERSAMPLE * target) / F.col("_images")), F.lit(1)).cast("long")
+    sizes = attach(found, share, keys).select(*keys, "frame", "_n", per_frame.alias("_k"))
+    sizes = stage(sizes, "frame-sizes")
+    frames = frames.join(sizes, [*keys, "frame"])
+    px = D.backproject(rows, frames, by=keys, color_rows=color_rows, carry=("image_id", "_n", "_k"), **limits)
+    px = px.select(*keys, "frame", "_n", "_k", _place("image_id").alias("point_id"), *_coordinates(px))
+    cloud = sample_exact(px, "_k", "point_id", 0, [*keys, "frame"], sizes=sizes, n="_n")
+    cloud = stage(cloud.drop("_n", "_k"), "cloud")
 
     cloud = stage(sigma_clip(cloud, sigma, by=keys), "clipped") if sigma > 0 else cloud
     bounds = bounds_rows(cloud, keys, info, aligned=rescale)
@@ -154,6 +149,18 @@ def fuse_depth(
     return FusedDepth(thinned, bounds)
 
 
+def _place(image: str) -> Column:
+    """Position of a pixel in the capture: image, then row, then column. Rasters are below 65,536 pixels a side."""
+    row = F.shiftleft(F.col(image).cast("long"), 16).bitwiseOR(F.col("v").cast("long"))
+    return F.shiftleft(row, 16).bitwiseOR(F.col("u").cast("long"))
+
+
+def _coordinates(px: DataFrame) -> list[Column]:
+    """Coordinates as 32-bit floats, and the colours if there are any."""
+    colour = [F.col(c) for c in ("red", "green", "blue") if c in px.columns]
+    return [*[F.col(a).cast("float").alias(a) for a in AXES], *colour]
+
+
 def bounds_rows(
     cloud: DataFrame, by: str | Sequence[str] | None = None, info: DataFrame | None = None, aligned: bool = True
 ) -> DataFrame:
@@ -194,15 +201,9 @@ def build_init_cloud(
         (F.max("v") + 1).alias("_rh"), F.max(F.size("depth")).alias("_rw")
     )
     sized = scale_intrinsics(frames.join(stage(size, "raster-size"), [*keys, "frame"]), "_rw", "_rh")
-    cloud = D.depth_to_points(depth_rows, sized, keys, color_rows, step, conf_threshold)
-    ids = frames.select(*keys, "frame", F.col("image_id").cast("long").alias("_img"))
-    cloud = cloud.join(ids, [*keys, "frame"])
-    place = F.shiftleft(F.shiftleft(F.col("_img"), 16).bitwiseOR(F.col("v").cast("long")), 16).bitwiseOR(
-        F.col("u").cast("long")
-    )
-    colour = [c for c in ("red", "green", "blue") if c in cloud.columns]
-    cloud = cloud.select(*keys, place.alias("point_id"), *[F.col(a).cast("float").alias(a) for a in AXES], *colour)
-    return sample_exact(stage(cloud, "cloud"), max_points, "point_id", seed, keys)
+    cloud = D.depth_to_points(depth_rows, sized, keys, color_rows, step, conf_threshold, carry=("image_id",))
+    cloud = cloud.select(*keys, _place("image_id").alias("point_id"), *_coordinates(cloud))
+    return sample_exact(cloud, max_points, "point_id", seed, keys)
 
 
 @dataclass

@@ -48,14 +48,23 @@ def _cut(ties: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _upper(n: Column, k: Column) -> Column:
+    """Share of the digest range that holds the k smallest of n uniform digests, but for a negligible chance."""
+    return (k + _slack(n, k)) / n
+
+
+def _slack(n: Column, k: Column) -> Column:
+    return F.sqrt(k * (n - k) / n) * 8 + 16
+
+
 def _cut_in_band(thin: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Cuts found in one pass: digests are uniform, so the k-th lies in a narrow band around k/n.
 
     Rows below the band are counted on the map side, a few times sqrt(k) rows in it
     are kept. Should a k-th digest lie outside, the group gets no cut here.
     """
-    width = F.sqrt(F.col("_k") * (F.col("_n") - F.col("_k")) / F.col("_n")) * 8 + 16
-    band = sizes.withColumns({"_low": (F.col("_k") - width) / F.col("_n"), "_high": (F.col("_k") + width) / F.col("_n")})
+    n, k = F.col("_n"), F.col("_k")
+    band = sizes.withColumns({"_low": (k - _slack(n, k)) / n, "_high": _upper(n, k)})
     rows = attach(thin, band, keys).withColumn("_u", _unit(F.col("_h"))).where("_u < _high")
     inside = F.col("_u") >= F.col("_low")
     ties = rows.groupBy(
@@ -88,30 +97,51 @@ def sample_exact(
     seed: int = 42,
     by: str | Sequence[str] | None = None,
     ordered: bool = False,
+    sizes: DataFrame | None = None,
+    n: str | None = None,
 ) -> DataFrame:
     """Exactly ``min(k, n)`` rows of each group, without replacement.
 
     ``k`` is a number, or the name of a column that holds the number for the group.
-    ``key`` should identify a row; ``ordered`` sorts the result by it. Reads the
-    group sizes, the key column once or twice, and the full rows once.
+    ``key`` should identify a row; ``ordered`` sorts the result by it.
+
+    One pass counts the groups. If less than half of the rows are wanted, the next
+    pass writes only rows whose digest is low enough, and the rest works on those;
+    otherwise it reads the key column, then the full rows. Group sizes known
+    beforehand can be given as ``sizes`` (``by`` columns and ``_n``, ``_k``), and as
+    column ``n`` of the rows when ``k`` is a column too.
     """
     keys = as_keys(by)
     columns = list(df.columns)
     if not isinstance(k, str) and k <= 0:
         return df.limit(0)
     size = F.max(k) if isinstance(k, str) else F.lit(k)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), size.cast("long").alias("_k"))
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), size.cast("long").alias("_k"))
     sizes = stage(sizes.where("_n > _k"), "sizes")
-    if sizes.isEmpty():
+    total = sizes.agg(F.sum("_n").alias("n"), F.sum("_k").alias("k")).first()
+    if total.n is None:
         return df.orderBy(key) if ordered else df
-    thin = df.select(*keys, F.col(key).alias("_key")).withColumn("_h", digest("_key", seed))
-    cut = _cut_in_band(thin, sizes, keys)
+    near = df
+    if total.k * 2 < total.n:
+        u = _unit(digest(key, seed))
+        if n is not None:
+            near = df.where((F.col(n) <= F.col(k)) | (u < _upper(F.col(n), F.col(k))))
+        else:
+            near = attach(df, sizes, keys, "left").where(F.col("_n").isNull() | (u < _upper(F.col("_n"), F.col("_k"))))
+        near = stage(near.select(*columns), "near")
+
+    def thin(rows: DataFrame) -> DataFrame:
+        return rows.select(*keys, F.col(key).alias("_key")).withColumn("_h", digest("_key", seed))
+
+    cut = _cut_in_band(thin(near), sizes, keys)
     found = attach(sizes, cut.select(*keys, "_cut_h"), keys, "left")
     missed = found.where(F.col("_cut_h").isNull()).select(*keys, "_n", "_k")
     if not missed.isEmpty():
-        cut = cut.unionByName(_cut_by_buckets(thin, stage(missed, "sizes"), keys))
+        near = df
+        cut = cut.unionByName(_cut_by_buckets(thin(df), stage(missed, "sizes"), keys))
 
-    marked = attach(df.withColumn("_h", digest(key, seed)), cut, keys, "left")
+    marked = attach(near.withColumn("_h", digest(key, seed)), cut, keys, "left")
     at_cut = (F.col("_h") == F.col("_cut_h")) & (F.col(key) == F.col("_cut_key"))
     below = (
         F.col("_cut_h").isNull()
