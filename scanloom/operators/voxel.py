@@ -79,12 +79,12 @@ def _bisect(state: DataFrame, points: DataFrame, keys: list[str], target: int, l
     numbered = state.select(*keys, *low, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit((1 << levels) - 1))).alias("i"))
     size = _descend(levels, lambda at: at < F.col("i"), F.col("i"))["hit"]
     candidates = numbered.select(*keys, *low, "i", size.alias("size")).where(F.col("size") > 0)
+    origin = [F.floor(F.col(c) / F.col("size")).alias(f"_o{c[0]}") for c in low]
+    candidates = candidates.select(*keys, "i", "size", *origin)
 
     # A cell index relative to the lower bound is below 2^21 on each axis, so three fit in one long.
     rows = attach(points, candidates, keys) if keys else points.crossJoin(F.broadcast(candidates))
-    rel = [
-        (F.floor(F.col(a) / F.col("size")) - F.floor(F.col(f"{a}_min") / F.col("size"))).cast("long") for a in AXES
-    ]
+    rel = [F.floor(F.col(a) / F.col("size")) - F.col(f"_o{a}") for a in AXES]
     cell = F.shiftleft(F.shiftleft(rel[0], 21).bitwiseOR(rel[1]), 21).bitwiseOR(rel[2])
     cells = rows.select(*keys, "i", cell.alias("_cell")).distinct().groupBy(*keys, "i").agg(F.count("*").alias("_n"))
     over = cells.groupBy(*keys).agg(F.collect_set(F.when(F.col("_n") > target, F.col("i"))).alias("_over"))

@@ -201,13 +201,13 @@ def _(spark, sf):
     """SELECT replace(name, '.jpg', '') AS stem, CASE WHEN ok THEN 20 + image_id % 30 END AS fl35,
          CASE WHEN ok THEN (image_id % 11 - 5) / 100.0 END AS ppu, CASE WHEN ok THEN (image_id % 7 - 3) / 100.0 END AS ppv,
          CASE WHEN ok THEN qx END AS r1, CASE WHEN ok THEN tz END AS t2, NOT ok AS rejected
-       FROM (SELECT *, image_id % 10 <> 0 AS ok FROM images) i""",
+       FROM (SELECT *, tx <= 1 AS ok FROM images) i""",
 )
 def _(spark, sf):
     from scanloom.plans.queries_frames import _sidecars
 
     path = new_path(spark, "xmp")
-    materialize.write_sidecars(path, _sidecars(spark, sf).withColumn("broken", F.expr("image_id % 10 = 0")))
+    materialize.write_sidecars(path, _sidecars(spark, sf).withColumn("broken", F.expr("position[0] > 1")))
     read = xmp.read_xmp(spark, path)
     return read.select(
         "*", F.col("rotation")[1].alias("r1"), F.col("position")[2].alias("t2"), F.col("error").isNotNull().alias("rejected")

@@ -211,23 +211,23 @@ def _(spark, sf):
 
 
 def _image_files(spark, sf):
-    """Files on disk: the images with an even number, as named by the events table."""
-    e = table(spark, sf, "events").where("event_id % 2 = 0")
+    """Files on disk: one for each event that is no error."""
+    e = table(spark, sf, "events").where("event_type <> 'error'")
     return e.selectExpr(
         "concat('img_', lpad(CAST(event_id AS string), 5, '0'), '.jpg') AS name", "event_id % 4 AS capture"
     )
 
 
 def _depth_files(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf, "orders").where("o_orderstatus = 'F'")
     return o.selectExpr(
         "concat('/depths/img_', lpad(CAST(o_orderkey AS string), 5, '0'), '.npy') AS path", "o_orderkey % 4 AS capture"
     )
 
 
 FILES_SQL = """disk AS (SELECT concat('img_', lpad(CAST(event_id AS varchar), 5, '0'), '.jpg') AS name FROM events
-  WHERE event_id % 2 = 0),
-maps AS (SELECT concat('img_', lpad(CAST(o_orderkey AS varchar), 5, '0'), '.npy') AS npy FROM orders WHERE o_orderkey % 3 = 0)"""
+  WHERE event_type <> 'error'),
+maps AS (SELECT concat('img_', lpad(CAST(o_orderkey AS varchar), 5, '0'), '.npy') AS npy FROM orders WHERE o_orderstatus = 'F')"""
 
 
 @query(
@@ -478,25 +478,25 @@ def _(spark, sf):
     "files",
     """SELECT capture, model, length FROM (
          SELECT *, row_number() OVER (PARTITION BY capture ORDER BY length DESC, model) AS rn FROM (
-           SELECT capture, CAST(run AS varchar) AS model, max(CASE WHEN file_id % 4 = 0 THEN length ELSE 0 END) AS length
+           SELECT capture, CAST(run AS varchar) AS model, max(CASE WHEN length < 20000000 THEN length ELSE 0 END) AS length
            FROM files GROUP BY capture, run) m) r WHERE rn = 1""",
 )
 def _(spark, sf):
     f = view(spark, sf, "files").withColumn("model", F.col("run").cast("string"))
-    return catalog.best_model(f.select("capture", "model").distinct(), f.where("file_id % 4 = 0"), "capture")
+    return catalog.best_model(f.select("capture", "model").distinct(), f.where("length < 20000000"), "capture")
 
 
 @query(
     "next_version",
     "capture next_version",
     "files",
-    """SELECT capture, coalesce(max(CASE WHEN file_id % 2 = 0 AND capture <> 3
+    """SELECT capture, coalesce(max(CASE WHEN step < 15000 AND capture <> 3
          THEN CAST(regexp_extract(name, '^splat_v(\\d+)', 1) AS BIGINT) END), 0) + 1 AS next_version
        FROM files GROUP BY capture""",
 )
 def _(spark, sf):
     f = view(spark, sf, "files")
-    other = F.when(F.expr("file_id % 2 = 0 AND capture <> 3"), F.col("name")).otherwise(F.concat(F.lit("old_"), "name"))
+    other = F.when(F.expr("step < 15000 AND capture <> 3"), F.col("name")).otherwise(F.concat(F.lit("old_"), "name"))
     return catalog.next_version(f.withColumn("name", other), "capture")
 
 

@@ -192,13 +192,13 @@ def _(spark, sf):
     "points",
     "SELECT capture, "
     + ", ".join(
-        f"quantile_cont({a}, {q}) AS {a}_{n}" for a in "xy" for n, q in (("p25", 0.25), ("median", 0.5), ("p90", 0.9))
+        f"quantile_cont(sqrt({a}), {q}) AS {a}_{n}" for a in "xy" for n, q in (("p25", 0.25), ("median", 0.5), ("p90", 0.9))
     )
     + " FROM points GROUP BY capture",
 )
 def _(spark, sf):
     probs = {"p25": 0.25, "median": 0.5, "p90": 0.9}
-    return profile.percentiles(view(spark, sf, "points"), {"x": "x", "y": "y"}, probs, "capture")
+    return profile.percentiles(view(spark, sf, "points"), {"x": F.sqrt("x"), "y": F.sqrt("y")}, probs, "capture")
 
 
 @query(
