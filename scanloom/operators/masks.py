@@ -91,7 +91,7 @@ def erode(masks: DataFrame, size: int = EROSION_SIZE, by: str | Sequence[str] |
                                  least(i + {reach}, size(bits) - 1) - greatest(i - {reach}, 0) + 1), x -> NOT x))"""
         ),
     )
-    block = f"floor({{}} / {_ROWS_PER_BLOCK})"
+    block = f"floor(({{}}) / {_ROWS_PER_BLOCK})"
     blocks = F.expr(
         f"sequence(CAST({block.format(f'greatest(v - {reach}, 0)')} AS BIGINT), "
         f"CAST({block.format(f'v + {reach}')} AS BIGINT))"

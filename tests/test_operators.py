@@ -271,6 +271,9 @@ def test_erosion_across_blocks_and_subset(spark, monkeypatch):
         for du in range(3):
             want &= padded[dv : dv + 19, du : du + 11]
     assert (got == want).all() and not (got & ~bits).any()
+    # Only the rows at a block edge are sent to a second block.
+    spread = masks.erode(df, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(FLOOR((cast(greatest((v" in spread and "FLOOR((cast((v" in spread
     assert masks.erode(df, 1) is df
 
 
