@@ -60,11 +60,14 @@ def percentiles(
             )
         ).alias("_s"),
     ).select(*keys, "_s._m", "_s._v")
-    long = long.where(finite("_v"))
+    long = long.where(finite("_v")).withColumn("_b", _magnitude_bucket(F.col("_v")))
     group = [*keys, "_m"]
+    # Later joins use the magnitude bucket as a key as well: a hot group is then many
+    # keys, and few rows match.
+    site = [*group, "_b"]
 
     # Level 1: magnitude histogram.
-    hist = long.groupBy(*group, _magnitude_bucket(F.col("_v")).alias("_b")).agg(
+    hist = long.groupBy(*site).agg(
         F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     hist = _pick(hist, group, "_b").withColumn("_n", F.sum("_c").over(Window.partitionBy(*group)))
@@ -84,7 +87,7 @@ def percentiles(
         hist.withColumn("_t", F.explode(F.array(*wanted)))
         .where((F.col("_t._rank") >= F.col("_before")) & (F.col("_t._rank") < F.col("_before") + F.col("_c")))
         .select(
-            *group,
+            *site,
             "_t._p",
             "_t._side",
             "_t._frac",
@@ -97,9 +100,9 @@ def percentiles(
     target = stage(target, "ranks")
 
     def inside() -> tuple[DataFrame, list[str]]:
-        buckets = target.where("_lo < _hi").select(*group, "_lo", "_hi").distinct()
-        rows = attach(long, buckets, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        return rows, [*group, "_lo", "_hi"]
+        buckets = target.where("_lo < _hi").select(*site, "_lo", "_hi").distinct()
+        rows = attach(long, buckets, site).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        return rows, [*site, "_lo", "_hi"]
 
     def narrow(hist: DataFrame, order: str, bucket: list[str], lo: str, hi: str) -> DataFrame:
         ranked = _pick(hist, bucket, order).withColumnRenamed("_c", "_cc")
@@ -109,7 +112,7 @@ def percentiles(
         done = target.where("_lo = _hi")
         return done.unionByName(
             hit.select(
-                *group,
+                *site,
                 "_p",
                 "_side",
                 "_frac",
@@ -125,10 +128,10 @@ def percentiles(
         rows, bucket = inside()
         half = F.lit(0.5)
         share = (F.col("_v") * half - F.col("_lo") * half) / (F.col("_hi") * half - F.col("_lo") * half)
-        hist = rows.groupBy(*bucket, F.least(F.floor(share * _SPLIT), F.lit(_SPLIT - 1)).alias("_b")).agg(
+        hist = rows.groupBy(*bucket, F.least(F.floor(share * _SPLIT), F.lit(_SPLIT - 1)).alias("_part")).agg(
             F.count("*").alias("_c"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2")
         )
-        target = stage(narrow(hist, "_b", bucket, "_lo2", "_hi2"), "ranks")
+        target = stage(narrow(hist, "_part", bucket, "_lo2", "_hi2"), "ranks")
         largest = target.where("_lo < _hi").agg(F.max("_c")).first()[0]
     if largest is not None:
         rows, bucket = inside()
