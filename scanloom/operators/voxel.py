@@ -12,7 +12,8 @@ from scanloom.operators.profile import AXES, axis_stats
 from scanloom.plans.stage import as_keys, attach, stage
 
 BISECTIONS = 20
-_LEVELS_PER_JOB = 5
+# Levels counted in one job try 2^levels - 1 sizes per point: few jobs for small clouds, little work for large ones.
+_LEVELS_SMALL, _LEVELS_LARGE, _LARGE_CLOUD = 5, 3, 20_000_000
 _ROWS_PER_SLAB = 1_000_000
 
 
@@ -94,14 +95,13 @@ def _bisect(state: DataFrame, points: DataFrame, keys: list[str], target: int, l
     return stage(walked.select(*keys, *low, F.col("_end.lo").alias("_lo"), F.col("_end.hi").alias("_hi")), "bounds")
 
 
-def _slabs(points: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+def _slabs(points: DataFrame, state: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Coordinates of the groups to search, written once in spatial slabs.
 
     Every round reads them again with each point counted under many sizes, so a
     cell should lie in few tasks: range partitions along the axes make the
     map-side distinct remove nearly all repeats, and split a crowded spot too.
     """
-    total = state.agg(F.sum("n")).first()[0]
     parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-total // _ROWS_PER_SLAB))
     if keys:
         points = attach(points, state.select(*keys), keys)
@@ -113,7 +113,7 @@ def voxel_size_search(
     target: int,
     by: str | Sequence[str] | None = None,
     bisections: int = BISECTIONS,
-    levels_per_job: int = _LEVELS_PER_JOB,
+    levels_per_job: int | None = None,
 ) -> DataFrame:
     """Voxel size that thins each group to at most ``target`` cells; one row per group above the target.
 
@@ -123,6 +123,8 @@ def voxel_size_search(
     in the size, so the same sizes are tried as a plain bisection would, but the
     sizes of several levels are counted in one job.
     """
+    if bisections > BISECTIONS:
+        raise ValueError(f"at most {BISECTIONS} bisections")  # cell numbers have 21 bits per axis
     keys = as_keys(by)
     points = df.where(finite(*AXES)).select(*keys, *[F.col(a).cast("double").alias(a) for a in AXES])
     extent = F.greatest(*[F.col(f"{a}_span") for a in AXES])
@@ -131,10 +133,12 @@ def voxel_size_search(
     state = stage(state, "bounds")
     if state.isEmpty():
         return state.select(*keys, F.col("_hi").alias("voxel_size"))
-    points = _slabs(points, state, keys)
+    total = state.agg(F.sum("n")).first()[0]
+    points = _slabs(points, state, keys, total)
+    levels = levels_per_job or (_LEVELS_SMALL if total < _LARGE_CLOUD else _LEVELS_LARGE)
     left = bisections
     while left > 0:
-        step = min(levels_per_job, left)
+        step = min(levels, left)
         state = _bisect(state, points, keys, target, step)
         left -= step
     return state.select(*keys, F.col("_hi").alias("voxel_size"))
