@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import fingerprints, packing, quality, sharding, token_counts, warc
+from scanloom.llm import fingerprints, packing, quality, sharding, simhash, token_counts, warc
 from scanloom.llm.common import table
 from scanloom.plans.stage import new_path
 
@@ -20,6 +20,12 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@_query
+def op1_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @_query
 def op2_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archive_pages(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
