@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import fingerprints, language_model, packing, quality, sharding, simhash, token_counts, warc
+from scanloom.llm import fingerprints, language_model, packing, quality, sharding, simhash, suffixes, token_counts, warc
 from scanloom.llm.common import table
 from scanloom.plans.stage import new_path
 
@@ -51,6 +51,12 @@ def op3_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_query
+def op4_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @_query
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
