@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanloom.llm import fingerprints, language_model, packing, quality, sharding, simhash, suffixes, token_counts, warc
+from scanloom.llm import decontamination, fingerprints, language_model, packing, quality, sharding, simhash, suffixes, token_counts, warc
 from scanloom.llm.common import table
 from scanloom.plans.stage import new_path
 
@@ -72,6 +72,11 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
+
+
 @_query
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
