@@ -23,6 +23,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once with a number for every row, and the column's name; so several passes agree on the rows."""
+    name = free_name(df, "__row")
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
     """``mapInArrow`` with the package shipped to the workers."""
     ship_package(df.sparkSession)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import map_arrow, text_of
@@ -61,7 +61,7 @@ def _term_ids(terms: dict[bytes, int]):
                 pack(np.array([find(w, -1) for w in words_of(t)], np.int32).tobytes()) for t in batch.column(2).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "tie", "ids"]
+                [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "row", "ids"]
             )
 
     return run
@@ -194,7 +194,7 @@ def common_subsequence(item: np.ndarray, other: np.ndarray, mine: int | None = N
     return length(words), length(words[len(words) - mine :]) if mine else 0
 
 
-_FOUND = "doc_id long, tie long, item_id long, cosine double, common_share double, answer_share double, first_word long"
+_FOUND = "doc_id long, row long, item_id long, cosine double, common_share double, answer_share double, first_word long"
 
 
 class _Search:
@@ -250,11 +250,11 @@ def _retrieve(search: _Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, tie, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, row, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = _unpack(packed)
                 if len(ids):
                     for item, *found in search.of(ids):
-                        rows.append((doc, tie, search.benchmark.ids[item], *found))
+                        rows.append((doc, row, search.benchmark.ids[item], *found))
             cols = list(zip(*rows)) if rows else [()] * 7
             types = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -264,10 +264,6 @@ def _retrieve(search: _Search):
     return run
 
 
-def row_key(id_col: str, text_col: str) -> list[Column]:
-    return [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie")]
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -276,6 +272,7 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
     """Documents that hold a benchmark passage, copied or paraphrased.
 
@@ -292,7 +289,7 @@ def find_leaks(
     checked (``MOST_ITEMS``, ``MOST_TERMS``). Documents never leave their task
     after they are written as term ids.
 
-    Returns doc_id, tie (hash of the text), item_id, cosine, common_share,
+    Returns doc_id, row (``row_col``, or a new number), item_id, cosine, common_share,
     answer_share and first_word, a row per leak; of several places of an item in
     a text the one with the largest share. Null texts are empty and hold
     nothing, items without words are in nothing, null ids and repeated rows are
@@ -300,8 +297,9 @@ def find_leaks(
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), text_of(item_text_col).alias("t")).orderBy("i", "t")
     held = Benchmark([(r["i"], r["t"]) for r in items.limit(MOST_ITEMS + 1).collect()])
-    texts = docs.select(*row_key(id_col, text_col), text_of(text_col).alias("text"))
-    texts = stage(map_arrow(texts, _term_ids(held.terms), "doc_id long, tie long, ids binary"), "term-ids")
+    row = (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row, text_of(text_col).alias("text"))
+    texts = stage(map_arrow(texts, _term_ids(held.terms), "doc_id long, row long, ids binary"), "term-ids")
     counts = map_arrow(texts, _document_frequency, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     weights = Weights(held, {r["term"]: r["n"] for r in counts.collect()})  # a row per term
     if not held.terms:

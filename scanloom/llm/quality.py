@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from scanloom.llm.common import map_arrow, text_of
+from scanloom.llm.common import free_name, map_arrow, text_of
 from scanloom.plans.stage import stage
 
 TREES, DEPTH, SEED = 24, 3, 7
@@ -76,19 +78,15 @@ def text_stats(text: str) -> list[float]:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        stats = np.array([text_stats(t) for t in batch.column(2).to_pylist()], float).reshape(-1, len(STATS))
-        cols = [batch.column(0), batch.column(1), *(pa.array(c) for c in stats.T)]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", *STATS])
+        stats = np.array([text_stats(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(STATS))
+        cols = [batch.column(0), *(pa.array(c) for c in stats.T)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", *STATS])
 
 
-def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: Column | None = None) -> DataFrame:
-    """doc_id, row (``row``, or null) and the statistics of every text; null texts count as empty."""
-    taken = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.lit(None) if row is None else row).cast("long").alias("row"),
-        text_of(text_col).alias("text"),
-    )
-    return map_arrow(taken, _measure, "doc_id long, row long, " + ", ".join(f"{s} double" for s in STATS))
+def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the statistics of every text; null texts count as empty."""
+    taken = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    return map_arrow(taken, _measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -110,10 +108,10 @@ def _paths(node, held: tuple = ()) -> Iterator[tuple]:
         yield from _paths(node.rightChild(), (*held, (i, ">", at)))
 
 
-def rule_condition(rule: tuple) -> Column:
+def rule_condition(rule: tuple, within: str = "") -> Column:
     held = F.lit(True)
     for name, op, at in rule:
-        held = held & (F.col(name) <= at if op == "<=" else F.col(name) > at)
+        held = held & (F.col(within + name) <= at if op == "<=" else F.col(within + name) > at)
     return held
 
 
@@ -123,11 +121,11 @@ class RuleModel:
     def __init__(self, base: float, rules: list[tuple[tuple, float]]):
         self.base, self.rules = base, rules
 
-    def score(self) -> Column:
-        """The score as a column over the statistics."""
+    def score(self, within: str = "") -> Column:
+        """The score as a column over the statistics, or over those in a struct (``within`` ends in a dot)."""
         total = F.lit(float(self.base))
         for rule, weight in self.rules:
-            total = total + F.when(rule_condition(rule), F.lit(float(weight))).otherwise(0.0)
+            total = total + F.when(rule_condition(rule, within), F.lit(float(weight))).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
@@ -174,14 +172,35 @@ def score_quality(
     match no label, several labels of one id count as their minimum, labels
     other than 0 and 1 are left out, and an empty table gives no rows.
     """
-    return _scored(docs, labels, held_out_of, id_col, text_col, label_col, None).drop("row")
+    rows, model = _learn(docs, labels, held_out_of, id_col, text_col, label_col)
+    n, r = held_out_of or (1, 1)
+    scored = rows.select("doc_id", (remainder("doc_id", n) == r).alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _scored(docs, labels, held_out_of, id_col, text_col, label_col, row) -> DataFrame:
+def _learn(docs, labels, held_out_of, id_col, text_col, label_col) -> tuple[DataFrame, RuleModel]:
     n, r = held_out_of or (1, 1)
-    rows = stage(with_stats(docs, id_col, text_col, row), "text-stats")
+    rows = stage(with_stats(docs, id_col, text_col), "text-stats")
     marks = labels.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).cast("int").alias("label"))
     known = rows.filter(remainder("doc_id", n) != r).join(marks, F.col("doc_id") == F.col("__id"))
-    model = fit(known)
-    scored = rows.select("doc_id", "row", (remainder("doc_id", n) == r).alias("held_out"), model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows, fit(known)
+
+
+@F.pandas_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
+def stats_column(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(np.array([text_stats(t) for t in texts], float).reshape(-1, len(STATS)), columns=list(STATS))
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    held_out_of: tuple[int, int] | None = (3, 1),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+) -> DataFrame:
+    """The rows of ``docs`` that the classifier of ``score_quality`` accepts, with all their columns; none moves."""
+    _, model = _learn(docs, labels, held_out_of, id_col, text_col, label_col)
+    stats = free_name(docs, "__stats")
+    judged = docs.withColumn(stats, stats_column(text_of(text_col)))
+    return judged.filter(model.score(f"{stats}.") >= 0.5).drop(stats)

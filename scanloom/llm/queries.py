@@ -74,7 +74,7 @@ def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
 @_query

@@ -17,7 +17,8 @@ from scanloom.llm.components import components
 from scanloom.plans.stage import stage
 
 BITS, MAX_BITS, WORDS, SEED = 64, 4, 4, 42
-PARTS = (2, 3, 4, 5)
+#: Numbers of parts to choose from.
+PARTS, WIDE_PARTS = (2, 3, 4, 5), (4, 6, 8)
 #: Cost of a probe row (shuffled and sorted) in units of one comparison.
 ROW_COST = 200
 #: Fingerprints of one bucket that one task compares; larger buckets are split into pairs of blocks.
@@ -25,20 +26,27 @@ BLOCK = 20_000
 _ALL_PAIRS = 6
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64 bits, each set if over half the shingles' hashes have it; shingles count as often as they occur."""
-    tokens = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
+def shingle_hashes(tokens: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of ``words`` words (of the whole sequence if it is shorter), in bounded parts."""
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(tokens) - words + 1)
     starts, ends = starts[:n].tolist(), ends[min(words, len(tokens)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest = xxhash.xxh64_intdigest
     for lo in range(0, n, 1 << 15):
         at = slice(lo, lo + (1 << 15))
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at], ends[at])], "<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[at], ends[at])], "<u8")
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64 bits, each set if over half the shingles' hashes have it; shingles count as often as they occur."""
+    tokens = text.encode().lower().split()  # bytes: A-Z and ASCII white space only
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(tokens, words):
+        n += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
     return sum(1 << b for b in np.flatnonzero(2 * counts > n).tolist())
@@ -136,7 +144,7 @@ class Plan:
         return np.array(out, np.uint64)
 
 
-def make_plan(prints: DataFrame, most: int = MAX_BITS) -> Plan:
+def make_plan(prints: DataFrame, most: int = MAX_BITS, parts: tuple[int, ...] = PARTS) -> Plan:
     """Choose parts and thresholds from what all distinct fingerprints show.
 
     For each number of parts bits are grouped by correlation, and the pairs that
@@ -150,7 +158,7 @@ def make_plan(prints: DataFrame, most: int = MAX_BITS) -> Plan:
         both[r["cell"]] = r["n"]
     both, total = both.reshape(BITS, BITS), prints.count()
     share = np.diag(both) / max(1, total)
-    grouped = {m: group_bits(both, total, m) for m in PARTS if m <= most + 1}
+    grouped = {m: group_bits(both, total, m) for m in parts if m <= most + 1}
     masks = {(m, i): sum(1 << b for b in g) for m, groups in grouped.items() for i, g in enumerate(groups)}
     values = F.explode(F.array(*[
         F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_as_long(k))).alias("v"))
@@ -252,23 +260,26 @@ def _verify(most: int):
     return run
 
 
-def near_links(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
+def split_large(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """``rows`` with ``sub``: buckets of more than ``block`` rows become pairs of blocks that cover all their pairs."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    blocks = stage(sizes.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-buckets")
+    pairs = F.expr("transform(sequence(0, blocks - 1), x -> least(x, mine) * blocks + greatest(x, mine))")
+    joined = rows.join(blocks, keys, "left").withColumn("mine", F.expr(f"cast(pmod(xxhash64({member}), blocks) as int)"))
+    sub = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs))
+    return joined.withColumn("sub", sub).drop("blocks", "mine")
+
+
+def near_links(prints: DataFrame, most: int = MAX_BITS, parts: tuple[int, ...] = PARTS) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints ``fp`` within ``most`` bits of each other.
 
     Not every pair is listed: within a bucket each fingerprint is reached once,
     which keeps components whole without all pairs of a group.
     """
-    plan = make_plan(prints, most)
+    plan = make_plan(prints, most, parts)
     rows = map_arrow(prints.select("fp"), _probe(plan), "part int, key long, fp long").withColumn("sub", F.lit(0))
     if plan.largest > BLOCK:
-        sizes = rows.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-        blocks = stage(sizes.select("part", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-buckets")
-        mine = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
-        pairs = F.expr("transform(sequence(0, blocks - 1), x -> least(x, mine) * blocks + greatest(x, mine))")
-        rows = (
-            rows.drop("sub").join(blocks, ["part", "key"], "left").withColumn("mine", mine)
-            .withColumn("sub", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
-        )
+        rows = split_large(rows.drop("sub"), ["part", "key"], "fp", BLOCK)
     rows = rows.select("part", "key", "sub", "fp").repartition("part", "key", "sub").sortWithinPartitions("part", "key", "sub")
     return map_arrow(rows, _verify(most), "u long, v long").distinct()
 
@@ -301,3 +312,100 @@ def near_duplicates(
     return rows.join(named, "fp").select(
         "doc_id", "fp", "tie", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+SIMILARITY, SHINGLE, SLOTS = 0.8, 5, 256
+#: Fingerprints over word pairs: a changed word alters two of them but five shingles, so similar texts stay close.
+CANDIDATE_WORDS, CANDIDATE_BITS = 2, 10
+_SIMILAR_BLOCK = 5_000
+
+
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20240613)
+    a = draw.integers(1 << 31, size=(SLOTS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return a, draw.integers(1 << 32, size=(SLOTS, 1), dtype=np.uint64).astype(np.uint32)
+
+
+def sketch(tokens: list[bytes], words: int = SHINGLE) -> np.ndarray:
+    """MinHash of the shingle set, 16 bits a slot; the share of equal slots estimates the Jaccard similarity."""
+    (a, b), least = _factors(), np.full(SLOTS, 0xFFFFFFFF, np.uint32)
+    for hashes in shingle_hashes(tokens, words):
+        x = (hashes >> np.uint64(32)).astype(np.uint32)
+        for lo in range(0, len(x), 2048):
+            least = np.minimum(least, (a * x[None, lo : lo + 2048] + b).min(axis=1))
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
+
+
+def _print_and_sketch(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            prints = [_as_long(fingerprint(t, words)) for t in texts]
+            sketches = [sketch(t.encode().lower().split()).tobytes() for t in texts]
+            cols = [*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "tie", "fp", "sketch"])
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between similar texts of a bucket, each text reached once."""
+
+    def links(held):
+        ties, sketches = np.array([h[0] for h in held], np.int64), np.stack([np.frombuffer(h[1], "<u2") for h in held])
+        us, vs, left = [], [], np.arange(len(held))
+        while len(left) > 1:
+            frontier, left = [left[0]], left[1:]
+            while frontier and len(left):
+                x = frontier.pop()
+                near = (sketches[left] == sketches[x]).mean(axis=1) >= SIMILARITY
+                met = left[near]
+                us.extend([ties[x]] * len(met))
+                vs.extend(ties[met].tolist())
+                frontier.extend(met.tolist())
+                left = left[~near]
+        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    held, last = [], None
+    for batch in batches:
+        for root, sub, tie, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            if (root, sub) != last and held:
+                yield links(held)
+                held = []
+            last = (root, sub)
+            held.append((tie, packed))
+    if held:
+        yield links(held)
+
+
+def similar_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of texts alike in five-word shingles, found by SimHash: (row, first), a row per row of ``docs``.
+
+    SimHash over word pairs makes candidate groups (``near_links``: at most
+    ``CANDIDATE_BITS`` bits); within a group texts are linked if ``SLOTS``
+    minima estimate a Jaccard similarity of 0.8 or more, and links are closed.
+    ``first`` says that the row is the one of its group that stays: smallest id,
+    then text hash, then row number. Equal texts are one text throughout; large
+    groups are split into pairs of blocks. Null ids count as the largest, null
+    texts as empty; an empty table gives no rows.
+    """
+    texts = docs.select(
+        F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text")
+    )
+    schema = "row long, doc_id long, tie long, fp long, sketch binary"
+    rows = stage(map_arrow(texts, _print_and_sketch(CANDIDATE_WORDS), schema), "sketches")
+    keys = rows.select("tie", "fp").distinct()
+    prints = stage(keys.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(near_links(prints, CANDIDATE_BITS, WIDE_PARTS)).withColumnRenamed("node", "fp")
+    rooted = keys.join(roots, "fp", "left").select("tie", F.coalesce("root", "fp").alias("root"))
+    many = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+    # One row of each text; its sketch is a function of the text.
+    one = rows.groupBy("tie").agg(F.min(F.struct("row", "sketch")).alias("x")).select("tie", "x.sketch")
+    members = stage(rooted.join(many, "root").join(one, "tie").select("root", "tie", "sketch"), "candidates")
+    dealt = split_large(members, ["root"], "tie", _SIMILAR_BLOCK).select("root", "sub", "tie", "sketch")
+    dealt = dealt.repartition("root", "sub").sortWithinPartitions("root", "sub")
+    groups = components(map_arrow(dealt, _similar, "u long, v long")).withColumnRenamed("node", "tie").withColumnRenamed("root", "group")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("tie").alias("c"), F.col("row").alias("d"))
+    named = rows.select("row", "doc_id", "tie").join(groups, "tie", "left").withColumn("group", F.coalesce("group", "tie"))
+    least = named.groupBy("group").agg(F.min(order).alias("least"))
+    return named.join(least, "group").select("row", (F.col("row") == F.col("least.d")).alias("first"))

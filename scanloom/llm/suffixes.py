@@ -353,10 +353,10 @@ class _Texts:
     the texts.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, row_col: str | None):
         self.spark = docs.sparkSession
         rows = docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
             text_of(text_col).alias("text"),
         )
@@ -443,6 +443,7 @@ def remove_repeats(
     with_text: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
     """Remove every byte covered by a string of ``threshold`` bytes that also starts in a document with a smaller id.
 
@@ -453,7 +454,7 @@ def remove_repeats(
     a task's smallest document, so a passage that a third of all documents share
     moves once per task.
 
-    Returns row (a number), doc_id, n_bytes, n_removed, n_spans (maximal removed
+    Returns row (``row_col``, a number that ``with_rows`` gave; else a new one), doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and text (what is left, without cutting characters, if
     ``with_text``), a row per row. Null texts are empty, null ids count as the
     largest; rows of one id do not remove from each other; an empty table gives
@@ -462,7 +463,7 @@ def remove_repeats(
     """
     if not 0 < threshold - anchor + 1 < 256:
         raise ValueError("a string may have 1 to 255 anchors")
-    texts = _Texts(docs, id_col, text_col)
+    texts = _Texts(docs, id_col, text_col, row_col)
     found = repeated_starts(texts, threshold, anchor)
     spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     cut = _cut(threshold, with_text)
