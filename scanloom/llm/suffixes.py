@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ from scanloom.plans.stage import stage
 THRESHOLD = 50
 ANCHOR = 20
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
-_FLUSH = 400_000
-_PART_BYTES = 64 << 20
+_PIECE = 1 << 18
+_FLUSH = 250_000
+_PART_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 _MARKS = "row long, first long, n int, kind int"
 _BLOBS = "part int, kind int, blob binary"
@@ -73,7 +73,7 @@ def _hashes() -> _Hashes:
     return _shared[0]
 
 
-def pieces(texts: list[bytes], threshold: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[bytes], threshold: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of several texts (or of a part of a long one), with the valid starts: which text, place there, place here."""
     held, which, offset, size = [], [], [], 0
 
@@ -99,7 +99,7 @@ def pieces(texts: list[bytes], threshold: int) -> Iterator[tuple[bytes, np.ndarr
         yield flush()
 
 
-def runs(texts: list[bytes], threshold: int = THRESHOLD, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+def runs(texts: Iterable[bytes], threshold: int = THRESHOLD, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of starts that share an anchor: text, first start, number of starts, and ranks.
 
     The ranks are those of the anchor, of the run, and (8 bits, 0 if the run
@@ -201,7 +201,7 @@ def _deal(parts: int, threshold: int, anchor: int):
         for batch in batches:
             ids, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = map(_inflate, batch.column(2).to_pylist())
-            for which, first, n, a, whole, left, right in runs(list(texts), threshold, anchor):
+            for which, first, n, a, whole, left, right in runs(texts, threshold, anchor):
                 held.append([a, whole, left, right, docs[which], ids[which], first, n])
                 size += len(a)
                 if size >= _FLUSH:
