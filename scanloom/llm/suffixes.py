@@ -38,7 +38,8 @@ ANCHOR = 20
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
 _FLUSH = 250_000
-_PART_BYTES = 2 << 20
+#: Compressed text for one part of the ranks, and the most parts.
+_PART_BYTES, _MOST_PARTS = 2 << 20, 1 << 20
 _LAST = (1 << 63) - 1
 _MARKS = "row long, first long, n int, kind int"
 _BLOBS = "part int, kind int, blob binary"
@@ -170,7 +171,7 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _part_of(rank: np.ndarray, parts: int) -> np.ndarray:
-    return ((rank >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+    return ((rank >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _deal(parts: int, threshold: int, anchor: int):
@@ -388,7 +389,7 @@ def repeated_starts(texts: _Texts, threshold: int, anchor: int) -> DataFrame:
     """Runs of starts (row, first, n) whose string of ``threshold`` bytes also starts in a smaller document."""
     conf = int(texts.spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.rows.agg(F.sum(F.octet_length("packed").cast("long"))).first()[0] or 0
-    parts = min(1 << 15, max(conf, math.ceil(size / _PART_BYTES)))
+    parts = min(_MOST_PARTS, max(conf, math.ceil(size / _PART_BYTES)))
     dealt = map_arrow(texts.rows.select("row", "doc", "packed"), _deal(parts, threshold, anchor), _BLOBS)
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
     marks = stage(map_arrow(dealt, _per_part(_RUN, _rank_runs), _MARKS), "ranked-runs")
@@ -458,7 +459,7 @@ def remove_repeats(
     runs), kept_sha256 and text (what is left, without cutting characters, if
     ``with_text``), a row per row. Null texts are empty, null ids count as the
     largest; rows of one id do not remove from each other; an empty table gives
-    no rows. Ranks are hashes of 53 bits and more within groups that agree on
+    no rows. Ranks are hashes of 40 bits and more within groups that agree on
     others; two different strings meet in one with negligible chance.
     """
     if not 0 < threshold - anchor + 1 < 256:
