@@ -25,6 +25,7 @@ COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 #: Words and items that go to every task, at most.
 MOST_TERMS, MOST_ITEMS = 1 << 20, 1 << 17
+_BLOCK = 64
 
 _SPLIT = bytes(32 if 32 < b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -135,14 +136,14 @@ def _sketch(weights: Weights, basis: np.ndarray):
                 continue
             ids, where = ids[some], where[some]
             w = w[some] / norm[where]
-            for lo in range(0, len(ids), 100_000):  # passages cut here count as two
-                i, p, x = ids[lo : lo + 100_000], where[lo : lo + 100_000], w[lo : lo + 100_000, None]
-                heads = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-                projected = np.add.reduceat(basis[i] * x, heads, axis=0)
-                back = projected[np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(p))))] * x
-                order = np.argsort(i, kind="stable")
-                groups = np.flatnonzero(np.concatenate([[True], i[order][1:] != i[order][:-1]]))
-                total[i[order][groups]] += np.add.reduceat(back[order], groups, axis=0)
+            cuts = np.searchsorted(where, np.arange(0, n + _BLOCK, _BLOCK))
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):  # small dense blocks of passages by their terms
+                if lo < hi:
+                    terms, at = np.unique(ids[lo:hi], return_inverse=True)
+                    cells = (where[lo:hi] - k * _BLOCK) * len(terms) + at
+                    block = np.bincount(cells, w[lo:hi], minlength=_BLOCK * len(terms))
+                    block = block.reshape(_BLOCK, len(terms)).astype(np.float32)
+                    total[terms] += block.T @ (block @ basis[terms])
         some = np.flatnonzero(total.any(axis=1))
         values = pa.FixedSizeListArray.from_arrays(pa.array(total[some].ravel()), total.shape[1]).cast(pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), values], ["term", "v"])
