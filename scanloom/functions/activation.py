@@ -26,10 +26,11 @@ def finite(*cols: Column | str) -> Column:
 
 
 def sigmoid(c: Column | str, clip: float | None = None) -> Column:
-    """1 / (1 + e^-x) in double precision; ``clip`` bounds x to [-clip, clip] first."""
+    """1 / (1 + e^-x) in double precision; ``clip`` bounds x to [-clip, clip] first. Null and NaN stay as they are."""
     x = _col(c).cast("double")
     if clip is not None:
-        x = F.greatest(F.least(x, F.lit(float(clip))), F.lit(-float(clip)))
+        bounded = F.greatest(F.least(x, F.lit(float(clip))), F.lit(-float(clip)))
+        x = F.when(x.isNull() | F.isnan(x), x).otherwise(bounded)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
@@ -42,9 +43,14 @@ def scale_columns(df: DataFrame) -> list[str]:
 
 
 def max_scale(columns: Sequence[str]) -> Column:
-    """Largest activated scale of a row. exp is monotone, so one exp of the largest log-scale is enough."""
+    """Largest activated scale of a row, null if one is null. exp is monotone, so one exp of the largest log-scale is enough."""
     logs = [_col(c).cast("double") for c in columns]
-    return F.exp(F.greatest(*logs) if len(logs) > 1 else logs[0])
+    if len(logs) == 1:
+        return F.exp(logs[0])
+    known = logs[0].isNotNull()
+    for c in logs[1:]:
+        known = known & c.isNotNull()
+    return F.exp(F.when(known, F.greatest(*logs)))
 
 
 def opacity_band(opacity: Column | str) -> Column:

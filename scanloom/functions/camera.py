@@ -101,9 +101,10 @@ def fit_dims(df: DataFrame, longest: int, width: str = "width", height: str = "h
 
 
 def depth_to_mm(depth: Column | str) -> Column:
-    """Depth in metres as whole millimetres, clamped to the 16-bit range, truncated."""
-    c = F.col(depth) if isinstance(depth, str) else depth
-    return F.greatest(F.least(c.cast("double") * 1000.0, F.lit(float(MAX_DEPTH_MM))), F.lit(0.0)).cast("int")
+    """Depth in metres as whole millimetres, clamped to the 16-bit range, truncated; null for null and NaN."""
+    c = (F.col(depth) if isinstance(depth, str) else depth).cast("double")
+    clamped = F.greatest(F.least(c * 1000.0, F.lit(float(MAX_DEPTH_MM))), F.lit(0.0)).cast("int")
+    return F.when(c.isNotNull() & ~F.isnan(c), clamped)
 
 
 def has_lens_terms() -> Column:

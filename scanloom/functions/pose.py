@@ -6,12 +6,8 @@ A pose with prefix ``P`` is twelve columns: ``P_r00`` ... ``P_r22`` and ``P_t0``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 _QUAT = ("qw", "qx", "qy", "qz")
 _TVEC = ("tx", "ty", "tz")
@@ -100,24 +96,29 @@ def from_matrix(df: DataFrame, matrix: str, prefix: str = "c2w") -> DataFrame:
 
 
 def invert_pose(df: DataFrame, matrix: str, name: str = "inverse", rigid: bool = False) -> DataFrame:
-    """Inverse of a 4 x 4 matrix column. Rigid poses stay in column expressions; any other
-    matrix is inverted in Arrow batches; a singular one gives null."""
+    """Inverse of a 4 x 4 matrix column, by cofactors; a singular one gives null."""
     if rigid:
         out = invert_rigid(from_matrix(df, matrix, "_a"), "_a", "_b")
         return out.withColumn(name, pose_matrix("_b")).drop(*pose_columns("_a"), *pose_columns("_b"))
 
-    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-    def inverse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        for batch in batches:
-            if len(batch) == 0:
-                yield pd.Series([], dtype=object)
-                continue
-            m = np.stack([np.stack([np.asarray(r, dtype=np.float64) for r in a]) for a in batch])
-            ok = np.abs(np.linalg.det(m)) > 0
-            inv = np.full_like(m, np.nan)
-            inv[ok] = np.linalg.inv(m[ok])
-            yield pd.Series([a.tolist() if good else None for a, good in zip(inv, ok)])
-
-    return df.withColumn(name, inverse(F.col(matrix)))
+    m = [[F.col(matrix)[i][j].cast("double") for j in range(4)] for i in range(4)]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    # Determinants of column pairs: of the two upper rows, and of the two lower ones.
+    upper = {(i, j): m[0][i] * m[1][j] - m[0][j] * m[1][i] for i, j in pairs}
+    lower = {(i, j): m[2][i] * m[3][j] - m[2][j] * m[3][i] for i, j in pairs}
+    names = {f"_u{i}{j}": upper[i, j] for i, j in pairs} | {f"_l{i}{j}": lower[i, j] for i, j in pairs}
+    cells = df.withColumns(names)
+    rest = {p: tuple(sorted({0, 1, 2, 3} - set(p))) for p in pairs}
+    sign = {p: (-1) ** (p[0] + p[1] + 1) for p in pairs}
+    det = sum((F.col(f"_u{i}{j}") * F.col("_l{}{}".format(*rest[i, j])) * sign[i, j] for i, j in pairs), F.lit(0.0))
+
+    def minor(row: int, col: int) -> Column:
+        """Determinant without ``row`` and ``col``: the other row of its half, by pairs of the other half."""
+        kept = [c for c in range(4) if c != col]
+        other, half = (1 - row, "_l") if row < 2 else (5 - row, "_u")
+        terms = [m[other][c] * F.col(half + "".join(str(x) for x in kept if x != c)) for c in kept]
+        return terms[0] - terms[1] + terms[2]
+
+    rows = [F.array(*[minor(j, i) * (-1) ** (i + j) / F.col("_det") for j in range(4)]) for i in range(4)]
+    solved = cells.withColumn("_det", det).withColumn(name, F.when(F.abs("_det") > 0, F.array(*rows)))
+    return solved.drop("_det", *names)

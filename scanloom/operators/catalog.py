@@ -28,13 +28,17 @@ def list_files(
     require: bool = True,
 ) -> DataFrame:
     """Files with one of the extensions, in any case, sorted by name. Empty listings raise unless ``require`` is off."""
-    files = file_catalog(spark, paths).withColumn("name", file_name("path"))
-    files = files.where(extension("path").isin([e.lower() for e in extensions]))
+    files = with_extension(file_catalog(spark, paths).withColumn("name", file_name("path")), extensions)
     if require and files.isEmpty():
         raise FileNotFoundError(f"no file with extension {', '.join(extensions)} in {paths}")
     return files.orderBy("name", "path")
 
 
+def with_extension(files: DataFrame, extensions: Sequence[str] = IMAGE_EXTENSIONS, name: str = "name") -> DataFrame:
+    """Rows of a listing whose name has one of the extensions, in any case."""
+    return files.where(extension(name).isin([e.lower() for e in extensions]))
+
+
 def best_model(
     models: DataFrame, files: DataFrame, by: str | Sequence[str] | None = None
 ) -> DataFrame:

@@ -96,9 +96,11 @@ def sample_depth(
     """Depth at the nearest pixel of each observation, clamped to the raster.
 
     The raster of an observation is its ``frame``, or its ``image_id`` if it has no such
-    column. The join moves raster rows, on (frame, v); observations of frames without depth drop out.
+    column. The join moves raster rows, on (frame, v); observations of frames without depth
+    and those without a finite position drop out.
     """
     keys = as_keys(by)
+    observations = observations.where(finite("x", "y"))
     size = stage(
         depth_rows.groupBy(*keys, "frame").agg(
             (F.max("v") + 1).alias("_h"), F.max(F.size("depth")).alias("_w")
@@ -149,13 +151,13 @@ def capped_pairs(
     by: str | Sequence[str] | None = None,
     key: str = "obs_key",
     min_per_image: int = MIN_PAIRS_PER_IMAGE,
-    max_per_image: int = MAX_PAIRS_PER_IMAGE,
+    max_per_image: int | None = MAX_PAIRS_PER_IMAGE,
 ) -> DataFrame:
-    """Pairs of images with enough of them, at most ``max_per_image`` each."""
+    """Pairs of images with enough of them, at most ``max_per_image`` each (None: all)."""
     image = [*as_keys(by), "image_id"]
     enough = pairs.groupBy(*image).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_per_image)
     kept = pairs.join(stage(enough.select(*image), "images"), image, "left_semi")
-    return cap_per_group(kept, image, max_per_image, key)
+    return kept if max_per_image is None else cap_per_group(kept, image, max_per_image, key)
 
 
 def depth_scale(
@@ -166,14 +168,14 @@ def depth_scale(
     by: str | Sequence[str] | None = None,
     key: str = "obs_key",
     min_total: int = MIN_PAIRS,
-    max_per_image: int = MAX_PAIRS_PER_IMAGE,
+    max_per_image: int | None = MAX_PAIRS_PER_IMAGE,
     on_shortage: str = "error",
 ) -> DataFrame:
     """Scale from map depth to model depth: median ratio over all pairs, with its diagnostics.
 
-    One row per group with at least one usable image. Fewer than ``min_total`` pairs
-    raise an error when the row is read, or give a null ``scale`` with
-    ``on_shortage="null"``.
+    One row per group of ``images``, also of a group without any usable image. Fewer than
+    ``min_total`` pairs raise an error when the row is read, or give a null ``scale`` with
+    ``on_shortage="null"``. ``max_per_image`` bounds the pairs of one image (None: all).
     """
     keys = as_keys(by)
     pairs = stage(depth_pairs(images, observations, points3d, depth_rows, keys, key), "pairs")
@@ -186,6 +188,9 @@ def depth_scale(
     quart = percentiles(pairs, {"r": "ratio"}, {"p25": 0.25, "median": 0.5, "p75": 0.75}, keys)
     quart = quart.select(*keys, *[F.col(f"r_{q}").alias(q) for q in ("p25", "median", "p75")])
     out = attach(attach(counts, quart, keys, "left"), spread, keys, "left")
+    if keys:
+        out = attach(images.select(*keys).distinct(), out, keys, "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_pairs", "n_images")})
     if on_shortage == "error":
         text = F.concat(F.lit("depth scale needs "), F.lit(str(min_total)), F.lit(" pairs, found "), F.col("n_pairs"))
         scale = F.when(F.col("n_pairs") < min_total, F.raise_error(text).cast("double")).otherwise(F.col("median"))

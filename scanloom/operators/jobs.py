@@ -24,8 +24,11 @@ from scanloom.plans.stage import as_keys, attach, stage
 from scanloom.sources.files import list_inputs
 
 CLOUD_TARGET = 500_000
+#: Points that a merged cloud has at most, by default.
 MERGED_CAP = 2_000_000
-_OVERSAMPLE = 4
+#: Times ``target`` that the frames of a capture keep together before clipping, by default.
+OVERSAMPLE = 4
+_SIDE = 1 << 16
 
 
 def union_clouds(clouds: Sequence[DataFrame], strict: bool = False) -> DataFrame:
@@ -53,8 +56,17 @@ def subsample(
     seed: int = 42,
     ordered: bool = False,
 ) -> DataFrame:
-    """Clip outliers on all axes, then draw exactly ``target`` rows per group."""
-    return sample_exact(sigma_clip(df, sigma, by=by), target, key, seed, by, ordered)
+    """Clip outliers on all axes, then draw exactly ``target`` rows per group.
+
+    Row numbers restart in every file: if ``df`` has ``path`` and it is not in ``by``,
+    rows are drawn by path and key.
+    """
+    kept = sigma_clip(df, sigma, by=by)
+    if "path" not in df.columns or "path" in as_keys(by) or key == "path":
+        return sample_exact(kept, target, key, seed, by, ordered)
+    drawn = kept.withColumn("_row", F.concat_ws(":", "path", F.col(key).cast("string")))
+    drawn = sample_exact(drawn, target, "_row", seed, by).drop("_row")
+    return drawn.orderBy("path", key) if ordered else drawn
 
 
 def prune_files(
@@ -80,10 +92,11 @@ def prune_files(
 
 @dataclass
 class FusedDepth:
-    """Result of a depth fusion: the coloured cloud, and one bounds row per group."""
+    """Result of a depth fusion: the coloured cloud, one bounds row per group, and the points found and kept per frame."""
 
     cloud: DataFrame
     bounds: DataFrame
+    frames: DataFrame
 
 
 def fuse_depth(
@@ -101,6 +114,9 @@ def fuse_depth(
     obs_key: str = "obs_key",
     min_total: int = D.MIN_PAIRS,
     conf_pct: float | None = None,
+    oversample: int | None = OVERSAMPLE,
+    max_pairs_per_image: int | None = D.MAX_PAIRS_PER_IMAGE,
+    on_shortage: str = "error",
 ) -> FusedDepth:
     """Fuse the depth maps of every capture into one cloud of at most ``target`` points.
 
@@ -108,6 +124,11 @@ def fuse_depth(
     off the depths are first multiplied by the scale factor of the capture. Depth
     limits are those of the unscaled map. ``images`` are the registered frames, with
     scalar pose columns; the raster of an image is its ``frame`` (or ``image_id``).
+
+    Before clipping, every frame keeps an equal share of ``oversample * target`` points
+    (None: all); ``frames`` of the result tells what it had. ``max_pairs_per_image`` bounds
+    the pairs behind the scale. A capture with too few pairs raises an error, or, with
+    ``on_shortage="null"``, has no points and bounds without a scale.
     """
     keys = as_keys(by)
     if "frame" not in images.columns:
@@ -119,9 +140,12 @@ def fuse_depth(
         if observations is None or points3d is None:
             raise ValueError("rescaling needs observations and points3d")
         info = stage(
-            D.depth_scale(images, observations, points3d, depth_rows, keys, obs_key, min_total), "depth-scale"
+            D.depth_scale(
+                images, observations, points3d, depth_rows, keys, obs_key, min_total, max_pairs_per_image, on_shortage
+            ),
+            "depth-scale",
         )
-        rows = attach(depth_rows, info.select(*keys, "scale"), keys)
+        rows = attach(depth_rows, info.select(*keys, "scale"), keys).where(F.col("scale").isNotNull())
         rows = D.rescale_depth(rows, F.col("scale"))
     else:
         rows = depth_rows.withColumn("scale", F.lit(1.0))
@@ -134,7 +158,9 @@ def fuse_depth(
     # Points per frame, without colours, and how many of them a frame may keep.
     found = D.backproject(rows, frames, by=keys, **limits).groupBy(*keys, "frame").agg(F.count("*").alias("_n"))
     share = images.groupBy(*keys).agg(F.count("*").alias("_images"))
-    per_frame = F.greatest(F.floor(F.lit(_OVERSAMPLE * target) / F.col("_images")), F.lit(1)).cast("long")
+    per_frame = F.lit((1 << 62)).cast("long")
+    if oversample is not None:
+        per_frame = F.greatest(F.floor(F.lit(oversample * target) / F.col("_images")), F.lit(1)).cast("long")
     sizes = attach(found, share, keys).select(*keys, "frame", "_n", per_frame.alias("_k"))
     sizes = stage(sizes, "frame-sizes")
     frames = frames.join(sizes, [*keys, "frame"])
@@ -146,13 +172,16 @@ def fuse_depth(
     cloud = stage(sigma_clip(cloud, sigma, by=keys), "clipped") if sigma > 0 else cloud
     bounds = bounds_rows(cloud, keys, info, aligned=rescale)
     thinned = voxel_to_target(cloud.drop("frame"), target, keys)
-    return FusedDepth(thinned, bounds)
+    kept = sizes.select(*keys, "frame", F.col("_n").alias("n_found"), F.least("_n", "_k").alias("n_kept"))
+    return FusedDepth(thinned, bounds, kept)
 
 
 def _place(image: str) -> Column:
-    """Position of a pixel in the capture: image, then row, then column. Rasters are below 65,536 pixels a side."""
+    """Position of a pixel in the capture: image, then row, then column. Larger rasters than 65,536 a side raise."""
     row = F.shiftleft(F.col(image).cast("long"), 16).bitwiseOR(F.col("v").cast("long"))
-    return F.shiftleft(row, 16).bitwiseOR(F.col("u").cast("long"))
+    place = F.shiftleft(row, 16).bitwiseOR(F.col("u").cast("long"))
+    large = F.raise_error(F.lit(f"a raster has {_SIDE} or more pixels a side")).cast("long")
+    return F.when((F.col("u") < _SIDE) & (F.col("v") < _SIDE), place).otherwise(large)
 
 
 def _coordinates(px: DataFrame) -> list[Column]:
@@ -172,10 +201,10 @@ def bounds_rows(
     if info is None:
         return box.withColumns({"scale_factor": F.lit(1.0), "scale_aligned": F.lit(aligned)})
     names = ("n_pairs", "n_images", "p25", "median", "p75", "std")
-    joined = attach(box, info, keys, "left")
+    joined = attach(info, box, keys, "left")  # a capture without points is listed too
     return joined.select(
         *box.columns,
-        F.coalesce("scale", F.lit(1.0)).alias("scale_factor"),
+        F.col("scale").alias("scale_factor"),
         F.lit(aligned).alias("scale_aligned"),
         F.struct(*names).alias("scale_info"),
     )
@@ -188,13 +217,14 @@ def build_init_cloud(
     by: str | Sequence[str] | None = None,
     step: int = D.STRIDE,
     conf_threshold: float = D.MIN_CONF,
-    max_points: int = MERGED_CAP,
+    max_points: int | None = MERGED_CAP,
     seed: int = 0,
 ) -> DataFrame:
     """Merged coloured cloud of per-frame depth and confidence maps.
 
     ``frames`` has ``frame, image_id, width, height``, intrinsics for that size and a
-    ``c2w`` pose; the intrinsics are rescaled to the raster.
+    ``c2w`` pose; the intrinsics are rescaled to the raster. More than ``max_points`` points
+    (None: no limit) are cut down to an exact sample.
     """
     keys = as_keys(by)
     size = depth_rows.groupBy(*keys, "frame").agg(
@@ -203,7 +233,7 @@ def build_init_cloud(
     sized = scale_intrinsics(frames.join(stage(size, "raster-size"), [*keys, "frame"]), "_rw", "_rh")
     cloud = D.depth_to_points(depth_rows, sized, keys, color_rows, step, conf_threshold, carry=("image_id",))
     cloud = cloud.select(*keys, _place("image_id").alias("point_id"), *_coordinates(cloud))
-    return sample_exact(cloud, max_points, "point_id", seed, keys)
+    return cloud if max_points is None else sample_exact(cloud, max_points, "point_id", seed, keys)
 
 
 @dataclass

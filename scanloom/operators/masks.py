@@ -78,7 +78,9 @@ def erode(masks: DataFrame, size: int = EROSION_SIZE, by: str | Sequence[str] |
     over blocks of rows; each block also gets the few rows next to it, so an image
     of any height is spread over many tasks.
     """
-    if size <= 1:
+    if size < 1 or size % 2 == 0:
+        raise ValueError("the window of an erosion has an odd size")
+    if size == 1:
         return masks
     keys = as_keys(by)
     reach = size // 2

@@ -20,8 +20,9 @@ _WINDOW_CAP = 65_536
 
 
 def digest(key: Column | str, seed: int) -> Column:
+    """``md5(key:seed)``; a null key has the digest of an empty one, never a null digest."""
     c = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(c.cast("string"), F.lit(f":{seed}")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
 
 
 def _unit(h: Column) -> Column:
@@ -103,7 +104,8 @@ def sample_exact(
     """Exactly ``min(k, n)`` rows of each group, without replacement.
 
     ``k`` is a number, or the name of a column that holds the number for the group.
-    ``key`` should identify a row; ``ordered`` sorts the result by it.
+    ``key`` should identify a row; ``ordered`` sorts the result by it. Rows with one key,
+    null included, are interchangeable: some of them are taken where the cut falls among them.
 
     One pass counts the groups. If less than half of the rows are wanted, the next
     pass writes only rows whose digest is low enough, and the rest works on those;
@@ -141,13 +143,15 @@ def sample_exact(
         near = df
         cut = cut.unionByName(_cut_by_buckets(thin(df), stage(missed, "sizes"), keys))
 
+    # Every group larger than its sample must have a cut; the others are kept whole.
+    cut = attach(sizes.select(*keys), cut.withColumn("_found", F.lit(True)), keys, "left")
+    lost = F.raise_error(F.lit("no cut was found for a group")).cast("string")
+    cut = cut.withColumn("_cut_h", F.when(F.col("_found"), F.col("_cut_h")).otherwise(lost)).drop("_found")
     marked = attach(near.withColumn("_h", digest(key, seed)), cut, keys, "left")
-    at_cut = (F.col("_h") == F.col("_cut_h")) & (F.col(key) == F.col("_cut_key"))
-    below = (
-        F.col("_cut_h").isNull()
-        | (F.col("_h") < F.col("_cut_h"))
-        | ((F.col("_h") == F.col("_cut_h")) & (F.col(key) < F.col("_cut_key")))
-    )
+    same = F.col("_h") == F.col("_cut_h")
+    at_cut = same & F.col(key).eqNullSafe(F.col("_cut_key"))
+    first = F.coalesce(F.col(key) < F.col("_cut_key"), F.col(key).isNull() & F.col("_cut_key").isNotNull())
+    below = F.col("_cut_h").isNull() | (F.col("_h") < F.col("_cut_h")) | (same & first)
     if cut.where("_partial").isEmpty():
         out = marked.where(below | at_cut).select(*columns)
     else:

@@ -105,6 +105,19 @@ def _(spark, sf):
     return depth.sample_depth(view(spark, sf, "observations"), depth_rows(spark, sf, ()))
 
 
+@query(
+    "sampled_depth_invalid",
+    "image_id obs_key u v ~z_model",
+    "observations depth_px",
+    SAMPLE_SQL.format(source="(SELECT * FROM observations WHERE point3d_id % 3 NOT IN (0, 1))"),
+)
+def _(spark, sf):
+    obs = view(spark, sf, "observations")
+    x = F.when(F.col("point3d_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("x"))
+    y = F.when(F.col("point3d_id") % 3 != 1, F.col("y"))
+    return depth.sample_depth(obs.withColumns({"x": x, "y": y}), depth_rows(spark, sf, ()))
+
+
 PAIR_SQL = f"""SELECT *, z_cam / z_model AS ratio FROM (
   {SAMPLE_SQL.format(source=f"(SELECT * FROM ({TRACK_SQL}) t0 WHERE z_cam > 0.01 AND z_cam < 100)")}) t
   WHERE z_model > 0.05 AND z_model < 30"""
@@ -238,7 +251,7 @@ def _(spark, sf):
     return depth.pixels(depth.upsample(depth_rows(spark, sf, ()), 61, 47))
 
 
-def _fused(spark, sf, by):
+def _fused(spark, sf, by, skip=None, **options):
     images = view(spark, sf, "images").join(view(spark, sf, "depth_px").selectExpr("frame AS image_id").distinct(), "image_id")
     cams = view(spark, sf, "cameras")
     pts = view(spark, sf, "points3d")
@@ -249,13 +262,14 @@ def _fused(spark, sf, by):
         images,
         cams,
         depth_rows(spark, sf),
-        view(spark, sf, "observations"),
+        view(spark, sf, "observations").where(F.col("capture") != (-1 if skip is None else skip)),
         pts,
         color_rows(spark, sf),
         by,
         target=400,
         sigma=1.5,
         min_total=50,
+        **options,
     )
 
 
@@ -315,6 +329,19 @@ def _(spark, sf):
     return _fused(spark, sf, "capture").bounds.withColumn("n_pairs", F.col("scale_info.n_pairs"))
 
 
+@query(
+    "fusion_with_short_capture",
+    "capture ~x_min ~z_max ~scale_factor n_pairs",
+    FUSE_VIEWS,
+    FUSE_SQL
+    + """SELECT capture, x_min, z_max, scale AS scale_factor, n_pairs FROM box JOIN sc USING (capture) WHERE capture <> 3
+         UNION ALL SELECT 3, NULL, NULL, NULL, 0""",
+)
+def _(spark, sf):
+    fused = _fused(spark, sf, "capture", skip=3, on_shortage="null")
+    return fused.bounds.withColumn("n_pairs", F.col("scale_info.n_pairs"))
+
+
 @query(
     "merged_depth_cloud",
     "capture point_id ~x ~y ~z red green blue",

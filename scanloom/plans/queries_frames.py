@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scanloom.functions import camera, pose
-from scanloom.functions.names import IMAGE_EXTENSIONS, extension, stem
+from scanloom.functions.names import stem
 from scanloom.operators import catalog, frames
 from scanloom.plans.fixtures import table, view
 from scanloom.plans.registry import query
@@ -102,6 +102,18 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", camera.depth_to_mm(F.col("value") - 5).alias("mm"))
 
 
+@query(
+    "depth_to_mm_invalid",
+    "event_id mm",
+    "",
+    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN CAST(trunc(greatest(least(value * 1000, 65535), 0)) AS INT) END AS mm
+       FROM events""",
+)
+def _(spark, sf):
+    nan = F.when(F.col("event_id") % 3 == 1, F.lit(float("nan"))).when(F.col("event_id") % 3 == 2, F.col("value"))
+    return table(spark, sf, "events").select("event_id", camera.depth_to_mm(nan).alias("mm"))
+
+
 @query(
     "sidecar_intrinsics",
     "p_partkey ~fl_x ~fl_y ~cx ~cy",
@@ -469,7 +481,7 @@ def _(spark, sf):
         F.col("o_orderkey").alias("file_id"),
         F.concat(F.lit("f_"), F.col("o_orderkey").cast("string"), suffix).alias("name"),
     )
-    return o.where(extension("name").isin(*IMAGE_EXTENSIONS)).orderBy("name")
+    return catalog.with_extension(o).orderBy("name")
 
 
 @query(

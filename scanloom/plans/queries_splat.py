@@ -186,6 +186,19 @@ def _(spark, sf):
     return profile.opacity_stats(view(spark, sf, "gaussians"), "capture")
 
 
+@query(
+    "opacity_stats_clipped_invalid",
+    "capture ~mean_opacity ~median_opacity",
+    "gaussians",
+    """SELECT capture, avg(op) AS mean_opacity, quantile_cont(op, 0.5) AS median_opacity FROM (
+         SELECT capture, 1 / (1 + exp(-greatest(least(opacity, 2), -2))) AS op FROM gaussians WHERE point_id % 3 = 2) s
+       GROUP BY capture""",
+)
+def _(spark, sf):
+    opacity = F.when(F.col("point_id") % 3 == 1, F.lit(float("nan"))).when(F.col("point_id") % 3 == 2, F.col("opacity"))
+    return profile.opacity_stats(view(spark, sf, "gaussians").withColumn("opacity", opacity), "capture", clip=2.0)
+
+
 @query(
     "percentiles_cloud",
     "capture ~x_p25 ~x_median ~x_p90 ~y_p25 ~y_median ~y_p90",
@@ -430,6 +443,54 @@ def _(spark, sf):
     return sample.cap_per_group(view(spark, sf, "points"), "capture", 200, "point_key")
 
 
+_NULL_KEYS = "SELECT capture, CASE WHEN red % 2 = 1 THEN point_key END AS k FROM points"
+_KEYS_TAKEN = "count(*) AS n, count(*) - count(k) AS n_null, min(k) AS first_key, max(k) AS last_key"
+
+
+def _null_keys_sql(seed: int) -> str:
+    """Half of the keys are null; they share the digest of an empty key."""
+    return f"""SELECT capture, k, row_number() OVER (PARTITION BY capture
+      ORDER BY md5(concat(coalesce(k, ''), ':{seed}')), k NULLS FIRST) AS rn FROM ({_NULL_KEYS}) p"""
+
+
+def _null_keys(spark, sf):
+    p = view(spark, sf, "points")
+    return p.select("capture", F.when(F.col("red") % 2 == 1, F.col("point_key")).alias("k"))
+
+
+def _keys_taken(df, *by):
+    none = F.count_if(F.col("k").isNull()).alias("n_null")
+    return df.groupBy(*by).agg(F.count("*").alias("n"), none, F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+
+
+@query(
+    "sample_exact_null_keys",
+    "capture size n n_null first_key last_key",
+    "points",
+    f"""SELECT capture, size, {_KEYS_TAKEN} FROM ({_null_keys_sql(7)}) q, (VALUES (30), (300), (700)) s(size)
+        WHERE rn <= size GROUP BY capture, size""",
+)
+def _(spark, sf):
+    rows = _null_keys(spark, sf)
+    parts = [sample.sample_exact(rows, k, "k", 7, "capture").withColumn("size", F.lit(k)) for k in (30, 300, 700)]
+    return _keys_taken(jobs.union_clouds(parts), "capture", "size")
+
+
+@query(
+    "cap_per_group_null_keys",
+    "capture cap n n_null first_key last_key",
+    "points",
+    f"""SELECT capture, cap, {_KEYS_TAKEN} FROM ({_null_keys_sql(0)}) q,
+          (VALUES ('number', 200), ('column', 200), ('large', 70000)) s(cap, size) WHERE rn <= size GROUP BY capture, cap""",
+)
+def _(spark, sf):
+    rows = _null_keys(spark, sf)
+    small = sample.cap_per_group(rows, "capture", 200, "k").withColumn("cap", F.lit("number"))
+    column = sample.cap_per_group(rows.withColumn("most", F.lit(200)), "capture", "most", "k").drop("most")
+    large = sample.cap_per_group(rows, "capture", 70_000, "k").withColumn("cap", F.lit("large"))
+    return _keys_taken(jobs.union_clouds([small, column.withColumn("cap", F.lit("column")), large]), "capture", "cap")
+
+
 @query("cloud_subsample", CLOUD_COLS, "points", _sample_sql(_joint("points", 1.6), 500, 42, "capture"))
 def _(spark, sf):
     return jobs.subsample(view(spark, sf, "points"), 500, 1.6, "point_key", "capture")
