@@ -37,7 +37,7 @@ THRESHOLD = 50
 ANCHOR = 20
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
-_FLUSH = 250_000
+_FLUSH = 120_000
 #: Compressed text for one part of the ranks, and the most parts.
 _PART_BYTES, _MOST_PARTS = 2 << 20, 1 << 20
 _LAST = (1 << 63) - 1
@@ -301,9 +301,10 @@ def _expand(parts: int, threshold: int):
 
         for batch in batches:
             ids, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, packed in enumerate(batch.column(2).to_pylist()):
-                text, spans = _inflate(packed), batch.column(3)[i].as_py()
-                starts = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["n"]) for s in spans]))
+            for i, (first, n) in enumerate(_spans(batch.column(3))):
+                text = _inflate(batch.column(2)[i].as_py())
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                starts = np.unique(np.repeat(first, n) + within)
                 for lo in range(0, len(text), _PIECE):
                     some = starts[(starts >= lo) & (starts < lo + _PIECE)] - lo
                     if not len(some):
@@ -328,15 +329,22 @@ def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["row", "doc", "packed"])
 
 
-def removed_runs(spans: list[dict], threshold: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges covered by the strings that start in ``spans``."""
-    out: list[tuple[int, int]] = []
-    for s in sorted((x["first"], x["first"] + x["n"] - 1 + threshold) for x in spans):
-        if out and s[0] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s[1]))
-        else:
-            out.append(s)
-    return out
+def _spans(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and lengths of every row's runs; none for a null row."""
+    first, n = (column.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    offsets, known = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    for lo, hi, ok in zip(offsets, offsets[1:], known):
+        yield (first[lo:hi], n[lo:hi]) if ok else (first[:0], n[:0])
+
+
+def removed_runs(first: np.ndarray, n: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Maximal byte ranges covered by the strings that start in the runs."""
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    lo, hi = first[order], np.maximum.accumulate(first[order] + n[order] - 1 + threshold)
+    new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+    return list(zip(lo[new].tolist(), hi[np.append(new[1:], len(lo)) - 1].tolist()))
 
 
 def kept_bytes(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
@@ -364,7 +372,7 @@ class _Texts:
         packed = map_arrow(rows, _deflate, "row long, doc long, packed binary").withColumn("pid", _pid("row"))
         self.name = f"scanloom_texts_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        packed.write.option("compression", "uncompressed").bucketBy(buckets, "pid").saveAsTable(self.name)
+        packed.write.options(**{"compression": "uncompressed", "parquet.block.size": str(16 << 20)}).bucketBy(buckets, "pid").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
     def join(self, other: DataFrame, how: str, then, label: str) -> DataFrame:
@@ -408,10 +416,10 @@ def repeated_starts(texts: _Texts, threshold: int, anchor: int) -> DataFrame:
 def _cut(threshold: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row, doc, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = _inflate(packed)
-                removed = removed_runs(spans or [], threshold)
+            rows, ids, docs = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (row, doc, spans) in enumerate(zip(ids, docs, _spans(batch.column(3)))):
+                raw = _inflate(batch.column(2)[i].as_py())
+                removed = removed_runs(*spans, threshold)
                 kept = kept_bytes(raw, removed)
                 text = kept_text(raw, removed) if with_text else None
                 total = sum(hi - lo for lo, hi in removed)
