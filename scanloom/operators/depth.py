@@ -216,7 +216,8 @@ def backproject(
     ``frames`` holds one row per frame with ``frame``, intrinsics and a ``c2w`` pose
     without axis flip. Invalid pixels are filtered inside the row arrays, before they
     become rows. ``color_rows`` (``frame, v, rgb array``) is joined on raster rows, so
-    each colour stays with its pixel; a pixel without colour keeps nulls. ``carry``
+    each colour stays with its pixel; a pixel without colour keeps nulls, and a colour raster
+    of another width raises (resample it first). ``carry``
     names columns of ``frames`` to keep.
     """
     keys = as_keys(by)
@@ -233,6 +234,9 @@ def backproject(
     rows = rows.join(frames.select(*on, *need), on)
     if color_rows is not None:
         rows = rows.join(color_rows.select(*on, "v", "rgb"), [*on, "v"], "left")
+        wrong = F.raise_error(F.lit("colour and depth rasters differ in width")).cast("array<array<short>>")
+        unlike = F.col("rgb").isNotNull() & (F.size("rgb") != F.size("depth"))
+        rows = rows.withColumn("rgb", F.when(unlike, wrong).otherwise(F.col("rgb").cast("array<array<short>>")))
 
     low = F.lit(float(min_depth)) if isinstance(min_depth, (int, float)) else min_depth
     high = F.lit(float(max_depth)) if isinstance(max_depth, (int, float)) else max_depth

@@ -15,7 +15,7 @@ from scanloom.functions.camera import intrinsics, scale_intrinsics
 from scanloom.functions.pose import invert_rigid, w2c
 from scanloom.operators import depth as D
 from scanloom.operators import masks as M
-from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, sigma_clip
+from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, prune_opacity, sigma_clip
 from scanloom.operators.frames import join_camera
 from scanloom.operators.profile import AXES
 from scanloom.operators.sample import sample_exact
@@ -79,12 +79,14 @@ def prune_files(
 ) -> None:
     """Prune splat files into ``target``, keeping every property and the header of the first file.
 
-    With ``per_file`` each input file is a capture of its own. Statistics read only
-    the coordinates and the opacity, the last pass the whole rows.
+    With ``per_file`` each input file is a capture of its own. The files are read twice:
+    once for coordinates and opacity, once whole.
     """
     full = spark.read.format("ply").load(source)
     used = [f for f in full.schema.fields if f.name in ("path", "opacity", *AXES)]
     thin = spark.read.format("ply").schema(StructType(used)).load(source)
+    # A point file is read whole for any of its columns, so the statistics come from one thin copy.
+    thin = stage(prune_opacity(thin, threshold), "thin")
     kept = prune(full, threshold, sigma, ["path"] if per_file else None, stats_from=thin)
     head = list_inputs(source, ".ply")[0][0]
     kept.drop("path", "point_id").write.format("ply").mode("overwrite").option("headerFrom", head).save(target)

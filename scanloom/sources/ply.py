@@ -281,14 +281,19 @@ class _PlyWriter(DataSourceArrowWriter):
         fs, inner = resolve(self.dir)
         fs.create_dir(inner, recursive=True)
         parts = [m for m in messages if m is not None and m.count]
-        if self.overwrite:
-            for old in fs.get_file_info(pafs.FileSelector(inner)):
-                if old.type == pafs.FileType.File and old.path.endswith(".ply"):
-                    fs.delete_file(old.path)
-        for m in parts:
+        files = [{"name": m.name, "count": m.count} for m in parts]
+        old = [i.path for i in fs.get_file_info(pafs.FileSelector(inner)) if i.type == pafs.FileType.File]
+        if not self.overwrite and f"{inner}/_manifest.json" in old:  # parts of earlier jobs stay listed
+            with fs.open_input_stream(f"{inner}/_manifest.json") as f:
+                files = json.loads(f.read())["files"] + files
+        for m in parts:  # the new parts stand before any old one goes
             fs.move(f"{inner}/_temporary/{self.job}/{m.name}", f"{inner}/{m.name}")
+        if self.overwrite:
+            for path in old:
+                if path.endswith(".ply"):
+                    fs.delete_file(path)
         self._drop_staging(fs, inner)
-        manifest = {"files": [{"name": m.name, "count": m.count} for m in parts], "count": sum(m.count for m in parts)}
+        manifest = {"files": files, "count": sum(f["count"] for f in files)}
         with fs.open_output_stream(f"{inner}/_manifest.json") as out:
             out.write(json.dumps(manifest).encode())
 

@@ -45,14 +45,15 @@ _ARROW = {
     "array<double>": pa.list_(pa.float64()),
 }
 _BATCH = 65_536
+_HEAD_BYTES = 4096
 _KEYPOINT = np.dtype([("x", "<f8"), ("y", "<f8"), ("p", "<i8")])
 
 
 class _Stream:
     """Sequential reads over a file, buffered, with cheap skips over long payloads."""
 
-    def __init__(self, f, size: int, where: str):
-        self.f, self.size, self.where = f, size, where
+    def __init__(self, f, size: int, where: str, chunk: int = CHUNK_BYTES):
+        self.f, self.size, self.where, self.chunk = f, size, where, chunk
         self.buf, self.at, self.base = b"", 0, 0
 
     @property
@@ -62,7 +63,7 @@ class _Stream:
     def take(self, n: int) -> bytes:
         if len(self.buf) - self.at < n:
             rest = self.buf[self.at :]
-            more = self.f.read(max(n - len(rest), CHUNK_BYTES))
+            more = self.f.read(max(n - len(rest), self.chunk))
             self.base += self.at
             self.buf, self.at = rest + more, 0
             if len(self.buf) < n:
@@ -75,12 +76,13 @@ class _Stream:
         return struct.unpack(fmt, self.take(struct.calcsize(fmt)))
 
     def text(self) -> str:
-        out = bytearray()
+        out = b""
         while True:
-            c = self.take(1)
-            if c == b"\0":
-                return out.decode("utf-8", errors="replace")
-            out += c
+            out += self.take(1)  # at least one more byte is in the buffer then
+            end = self.buf.find(b"\0", self.at)
+            if out[-1:] == b"\0":
+                return out[:-1].decode("utf-8", errors="replace")
+            out += self.take((end if end >= 0 else len(self.buf)) - self.at)
 
     def skip(self, n: int) -> None:
         if self.offset + n > self.size:
@@ -109,9 +111,14 @@ def _cameras(s: _Stream, part: _Part) -> Iterator[tuple]:
         yield s.where, camera, model, _signed(width, s.where), _signed(height, s.where), params
 
 
-def _image_heads(s: _Stream) -> Iterator[tuple]:
+def _image_heads(s: _Stream, part: _Part | None = None) -> Iterator[tuple]:
+    """Heads of the records of a part, or of all; the caller takes or skips what follows a head."""
     (count,) = s.unpack("<Q")
-    for i in range(count):
+    first = 0
+    if part is not None:
+        first, count = part.index, part.index + part.count
+        s.skip(part.first - s.offset)
+    for i in range(first, count):
         at = s.offset
         head = s.unpack("<I4d3dI")
         name = s.text()
@@ -120,10 +127,9 @@ def _image_heads(s: _Stream) -> Iterator[tuple]:
 
 
 def _images(s: _Stream, part: _Part) -> Iterator[tuple]:
-    for i, at, head, name, n in _image_heads(s):
+    for i, _, head, name, n in _image_heads(s, part):
         s.skip(24 * n)
-        if part.first <= at < part.last:
-            yield s.where, i, head[0], list(head[1:5]), list(head[5:8]), head[8], name
+        yield s.where, i, head[0], list(head[1:5]), list(head[5:8]), head[8], name
 
 
 def _points3d(s: _Stream, part: _Part) -> Iterator[tuple]:
@@ -139,10 +145,26 @@ _RECORDS = {"cameras": _cameras, "images": _images, "points3d": _points3d}
 
 @dataclass
 class _Part(InputPartition):
+    """A file, and for image records where the first of the part starts, its number, and how many there are."""
+
     path: str
     size: int
-    first: int
-    last: int
+    first: int = 0
+    index: int = 0
+    count: int = 0
+
+
+def _image_parts(path: str, size: int, split_bytes: int) -> list[_Part]:
+    """Runs of image records of about ``split_bytes``, found by walking the heads only."""
+    parts: list[_Part] = []
+    with open_input(path) as f:
+        s = _Stream(f, size, path, _HEAD_BYTES)
+        for i, at, _, _, n in _image_heads(s):
+            if not parts or at - parts[-1].first >= split_bytes:
+                parts.append(_Part(path, size, at, i))
+            parts[-1].count += 1
+            s.skip(24 * n)
+    return parts
 
 
 class _ModelReader(DataSourceReader):
@@ -157,11 +179,9 @@ class _ModelReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         parts = []
         for path, size in list_inputs(self.path, FILES[self.table]):
-            n = -(-size // self.split_bytes) if self.table in ("images", "observations") else 1
-            n = max(1, n)
-            cuts = [size * i // n for i in range(n)] + [size + 1]
-            parts += [_Part(path, size, cuts[i], cuts[i + 1]) for i in range(n)]
-        return parts or [_Part("", 0, 0, 0)]
+            heads = self.table in ("images", "observations")
+            parts += _image_parts(path, size, self.split_bytes) if heads else [_Part(path, size)]
+        return parts or [_Part("", 0)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
@@ -181,10 +201,7 @@ class _ModelReader(DataSourceReader):
                 yield self._batch(list(zip(*rows)))
 
     def _observations(self, s: _Stream, part: _Part) -> Iterator[pa.RecordBatch]:
-        for _, at, head, _, n in _image_heads(s):
-            if not part.first <= at < part.last:
-                s.skip(24 * n)
-                continue
+        for _, _, head, _, n in _image_heads(s, part):
             done = 0
             while done < n:
                 m = min(_BATCH, n - done)

@@ -251,3 +251,63 @@ def test_stage_uses_the_configured_folder(spark):
 
     assert work_dir(Session()) == f"s3a://shared/cp/scanloom-{spark.sparkContext.applicationId}"
     assert os.path.isdir(work_dir(spark)) and stage(spark.range(3)).count() == 3
+
+
+def test_image_records_are_read_once(spark, tmp_path, monkeypatch):
+    """The splits of an image file together read little more than the file."""
+    import struct
+
+    from scanloom.sources import sparse_model as sm
+
+    with open(tmp_path / "images.bin", "wb") as f:
+        f.write(struct.pack("<Q", 60))
+        for i in range(60):
+            f.write(struct.pack("<I4d3dI", i, 1, 0, 0, 0, 0, 0, 0, 1) + b"name_%d.jpg\0" % i + struct.pack("<Q", 2000))
+            f.write(b"".join(struct.pack("<ddq", k, k, k % 3 - 1) for k in range(2000)))
+    size = (tmp_path / "images.bin").stat().st_size
+    read = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def read(self, n):
+            out = self.inner.read(n)
+            read.append(len(out))
+            return out
+
+        def seek(self, at):
+            return self.inner.seek(at)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.inner.close()
+
+    monkeypatch.setattr(sm, "open_input", lambda p, f=sm.open_input: Counted(f(p)))
+    monkeypatch.setattr(sm, "CHUNK_BYTES", 1 << 15)
+    monkeypatch.setattr(sm._Stream.__init__, "__defaults__", (1 << 15,))
+    for table, want in (("observations", 60 * 2000), ("images", 60)):
+        options = {"path": str(tmp_path), "table": table, "splitbytes": str(size // 8), "trackedonly": "false"}
+        reader = sm._ModelReader(options, sm.T.StructType([sm.T.StructField(n.split(" ")[0], sm.T.LongType()) for n in sm.SCHEMAS[table].split(", ")]))
+        parts = reader.partitions()
+        assert 7 <= len(parts) <= 9 and sum(p.count for p in parts) == 60
+        read.clear()
+        rows = sum(b.num_rows for p in parts for b in reader.read(p))
+        assert rows == want and sum(read) <= 1.2 * size
+
+
+def test_invalid_images_are_noticed(spark, tmp_path):
+    (tmp_path / "broken.png").write_bytes(b"not an image")
+    with pytest.raises(Exception, match="not an image"):
+        images.read_color_rows(spark, str(tmp_path)).collect()
+    assert images.read_color_rows(spark, str(tmp_path), on_invalid="skip").count() == 0
+
+
+def test_append_keeps_the_manifest(spark, tmp_path):
+    df = spark.range(10).selectExpr("cast(id as float) as x", "cast(id as float) as y", "cast(id as float) as z")
+    for _ in range(2):
+        df.coalesce(1).write.format("ply").mode("append").save(str(tmp_path / "out"))
+    manifest = json.load(open(tmp_path / "out" / "_manifest.json"))
+    assert manifest["count"] == 20 and len(manifest["files"]) == 2
