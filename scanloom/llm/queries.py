@@ -57,11 +57,59 @@ def op4_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+# Every string of 50 bytes as 100 hexadecimal digits, with the smallest document that has it.
+ORACLES["op4_prefix_doubling"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents
+), b AS (
+  SELECT doc_id, unnest(range(n_bytes)) AS p, unnest(regexp_extract_all(h, '..')) AS x,
+    unnest(list_transform(range(n_bytes), lambda i: CASE WHEN i <= n_bytes - 50 THEN substr(h, 2 * i + 1, 100) END)) AS g
+  FROM d
+), s AS (
+  SELECT doc_id, p, x, g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id AS starts FROM b
+), c AS (
+  SELECT doc_id, p, x, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+    coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 @_query
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+# DuckDB has no CRC-32, so its table is built here from the polynomial.
+ORACLES["op5_interleaved_shards"] = f"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+), c AS (
+  SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+      lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) AS text_crc32,
+    md5(concat_ws(':', '{sharding.SEED}', doc_id)) AS h
+  FROM d, steps
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 + 0.5::DOUBLE)
+    / count(*) OVER (PARTITION BY source) AS f FROM c
+), p AS (
+  SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST, text_crc32, size) - 1 AS place, count(*) OVER () AS n FROM r
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {sharding.SHARDS} // n AS INT) AS shard,
+  place - ((place * {sharding.SHARDS} // n) * n + {sharding.SHARDS - 1}) // {sharding.SHARDS} AS slot, CAST(NULL AS INT) AS grown_shard, source FROM p
+"""
+
+
 @_query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
