@@ -78,6 +78,15 @@ def latest_incomplete(
     return pick.where(F.col("_r").isNotNull()).select(*keys, "_r.run", "_r.step", "_r.mtime")
 
 
+def checkpoints(files: DataFrame, path: str = "path") -> DataFrame:
+    """Files named ``step-<n>.ckpt`` with their ``run``, the folder they are in, and their ``step``."""
+    name = r"^(.*)/step-(\d+)\.ckpt$"
+    found = files.where(F.col(path).rlike(name))
+    return found.withColumns(
+        {"run": F.regexp_extract(path, name, 1), "step": F.regexp_extract(path, name, 2).cast("long")}
+    )
+
+
 def latest_file(
     files: DataFrame,
     pattern: str,

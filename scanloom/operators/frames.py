@@ -153,10 +153,14 @@ def build_frames(
 
 
 def model_header(
-    images: DataFrame, cameras: DataFrame, by: str | Sequence[str] | None = None, order: str = "image_id"
+    images: DataFrame, cameras: DataFrame, by: str | Sequence[str] | None = None, order: str | None = None
 ) -> DataFrame:
-    """Document defaults: intrinsics of the camera of the first image in ``order``."""
+    """Document defaults: intrinsics of the camera of the first image in ``order``.
+
+    That is the order of the file, ``image_idx``, if there is such a column, else ``image_id``.
+    """
     keys = as_keys(by)
+    order = order or ("image_idx" if "image_idx" in images.columns else "image_id")
     first = images.groupBy(*keys).agg(F.min_by("camera_id", order).alias("camera_id"))
     rows = intrinsics(join_camera(first, cameras, keys))
     return rows.select(

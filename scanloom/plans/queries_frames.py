@@ -390,11 +390,13 @@ def _(spark, sf):
     "capture camera_model ~fl_x ~cx w h",
     "images cameras",
     f"""SELECT capture, 'OPENCV' AS camera_model, fl_x, cx, width AS w, height AS h
-        FROM (SELECT capture, arg_min(camera_id, image_id) AS camera_id FROM images GROUP BY capture) f
+        FROM (SELECT capture, arg_max(camera_id, image_id) AS camera_id FROM images GROUP BY capture) f
         JOIN ({INTR_SQL}) i USING (camera_id)""",
 )
 def _(spark, sf):
-    return frames.model_header(view(spark, sf, "images"), _captured_cameras(spark, sf), "capture")
+    # The file lists the images backwards.
+    images = view(spark, sf, "images").withColumn("image_idx", 1_000_000 - F.col("image_id"))
+    return frames.model_header(images, _captured_cameras(spark, sf), "capture")
 
 
 def _sidecars(spark, sf):
@@ -526,6 +528,24 @@ def _(spark, sf):
     return out.withColumn("day", F.date_format("mtime", "yyyy-MM-dd"))
 
 
+@query(
+    "latest_incomplete_from_paths",
+    "capture run step day",
+    "files",
+    """SELECT capture, run, step, strftime(mtime, '%Y-%m-%d') AS day FROM (
+         SELECT *, row_number() OVER (PARTITION BY capture ORDER BY mtime DESC, run DESC) AS r2 FROM (
+           SELECT *, row_number() OVER (PARTITION BY capture, run ORDER BY mtime DESC, file_id DESC) AS r1 FROM (
+             SELECT * REPLACE (concat('outputs/scene ', run) AS run) FROM files WHERE file_id % 4 <> 0) f) a
+         WHERE r1 = 1 AND step < 15000 - 1) b WHERE r2 = 1""",
+)
+def _(spark, sf):
+    name = F.when(F.col("file_id") % 4 == 0, "step-9.ckpt.bak").otherwise(F.format_string("step-%09d.ckpt", "step"))
+    path = F.concat(F.lit("outputs/scene "), F.col("run").cast("string"), F.lit("/"), name)
+    files = view(spark, sf, "files").select("file_id", "capture", "mtime", path.alias("path"))
+    out = catalog.latest_incomplete(catalog.checkpoints(files), 15000, "capture", tie="file_id")
+    return out.withColumn("day", F.date_format("mtime", "yyyy-MM-dd"))
+
+
 @query(
     "latest_config",
     "capture path day",
