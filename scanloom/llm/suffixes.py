@@ -60,9 +60,12 @@ class _Hashes:
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self._letters[raw] * self._up[: len(raw)])])
 
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (sums[end] - sums[start]) * self._down[start]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
+        return _mixed((sums[end] - sums[start]) * self._down[start])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
 _shared: list[_Hashes] = []
@@ -132,7 +135,8 @@ def runs(texts: Iterable[bytes], threshold: int = THRESHOLD, anchor: int = ANCHO
             side = np.zeros(len(new), np.uint8)
             side[inner] = hashes.spans(sums, lo[inner], hi[inner]) % np.uint64(255) + np.uint64(1)
             sides.append(side)
-        yield which[new], place[new], n, ranks[at_anchor], whole ^ inside, *sides
+        # Anchors have the least hashes of their windows, so they are mixed again before they are dealt.
+        yield which[new], place[new], n, _mixed(ranks[at_anchor] * np.uint64(_BASE)), whole ^ inside, *sides
 
 
 #: Packed runs: rank of the anchor (40 bits besides those of the part) and of the run (48 bits), sides, document, row, place.
