@@ -19,8 +19,8 @@ from scanloom.plans.stage import stage
 MAX_TOKENS = 1024
 END_ID = 0
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pid int, nth long"
-#: Pieces per batch that leaves a task.
-_BATCH = 20_000
+#: Pieces, and ids that go along, per batch that leaves a task.
+_BATCH, _IDS = 20_000, 2_000_000
 
 
 @lru_cache(maxsize=4)
@@ -39,6 +39,7 @@ def _cut(path: str, longest: int, with_ids: bool):
         tokenizer, pid = _tokenizer(path), TaskContext.get().partitionId()
         end, nth = END_ID.to_bytes(4, "little"), dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)
         out: list[list] = [[] for _ in range(6 + with_ids)]
+        held = 0
 
         def flush():
             cols = [pa.array(out[0], pa.int64()), *(pa.array(c, pa.int64()) for c in out[1:5])]
@@ -63,8 +64,10 @@ def _cut(path: str, longest: int, with_ids: bool):
                         c.append(v)
                     nth[n] += 1
                     at += n
-                if len(out[0]) >= _BATCH:
-                    yield flush()
+                    held += n if with_ids else 0
+                    if len(out[0]) >= _BATCH or held >= _IDS:
+                        yield flush()
+                        held = 0
         yield flush()
 
     return run
