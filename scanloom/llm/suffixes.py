@@ -30,7 +30,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import map_arrow, text_of
+from scanloom.llm.common import map_arrow, settings, text_of
 from scanloom.plans.stage import stage
 
 THRESHOLD = 50
@@ -41,6 +41,11 @@ _FLUSH = 120_000
 #: Compressed text for one part of the ranks, and the most parts.
 _PART_BYTES, _MOST_PARTS = 2 << 20, 1 << 20
 _LAST = (1 << 63) - 1
+#: The bucket column alone may place both sides of a join; batches that hold whole texts are small.
+_SETTINGS = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 _MARKS = "row long, first long, n int, kind int"
 _BLOBS = "part int, kind int, blob binary"
 _CUT = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
@@ -381,13 +386,7 @@ class _Texts:
 
     def join(self, other: DataFrame, how: str, then, label: str) -> DataFrame:
         """Write ``then(texts joined with other on row)``; ``other`` has one row per text at most."""
-        conf, key = self.spark.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-        before = conf.get(key)
-        conf.set(key, "false")  # the bucket column alone may place both sides
-        try:
-            return stage(then(self.rows.join(other.withColumn("pid", _pid("row")), ["pid", "row"], how)), label)
-        finally:
-            conf.set(key, before)
+        return stage(then(self.rows.join(other.withColumn("pid", _pid("row")), ["pid", "row"], how)), label)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE {self.name}")
@@ -476,10 +475,11 @@ def remove_repeats(
     """
     if not 0 < threshold - anchor + 1 < 256:
         raise ValueError("a string may have 1 to 255 anchors")
-    texts = _Texts(docs, id_col, text_col, row_col)
-    found = repeated_starts(texts, threshold, anchor)
-    spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    cut = _cut(threshold, with_text)
-    kept = texts.join(spans, "left", lambda x: map_arrow(x.select("row", "doc", "packed", "spans"), cut, _CUT), "kept")
-    texts.drop()
+    with settings(docs.sparkSession, _SETTINGS):
+        texts = _Texts(docs, id_col, text_col, row_col)
+        found = repeated_starts(texts, threshold, anchor)
+        spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+        cut = _cut(threshold, with_text)
+        kept = texts.join(spans, "left", lambda x: map_arrow(x.select("row", "doc", "packed", "spans"), cut, _CUT), "kept")
+        texts.drop()
     return kept
