@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the
 last return the columns of ``docs``; ``run`` writes each stage as Parquet and
 reads it again for the next one.
 
+A stage's result is to be written before the next stage begins, which drops the
+tables that the one before kept meanwhile.
+
 Null texts count as empty and null ids as the largest, repeated rows are rows of
 their own (near-dedup keeps one of them), other columns are carried along
 whatever their names, and empty tables pass through.
@@ -12,21 +15,41 @@ whatever their names, and empty tables pass through.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import decontamination, packing, quality, simhash, suffixes
-from scanloom.llm.common import table, with_rows
-from scanloom.plans.stage import stage
+from scanloom.llm.common import free_name, table, with_rows
+from scanloom.plans.stage import recorded, remove, stage
+
+
+_spent: list[str] = []
+
+
+def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """Drop the tables that the stage before staged inside: its result has been written when this one begins."""
 
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _spent)
+        with recorded() as paths:
+            out = fn(spark, docs, sf_dir)
+        _spent[:] = paths
+        return out
 
+    return run_stage
+
+
+@_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble, learnt from ``labels``, accepts."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies and near copies the document with the smallest id."""
     rows, row = with_rows(docs)
@@ -34,19 +57,21 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(dropped, row, "left_anti").drop(row)
 
 
+@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without what an earlier one holds too; ``n_chars`` follows, and one with nothing left goes."""
-    rows, row = with_rows(docs)
-    cut = suffixes.remove_repeats(rows, with_text=True, row_col=row)
-    changed = cut.filter("n_removed > 0").select(F.col("row").alias(row), F.col("text").alias("__kept"))
-    joined = rows.join(changed.withColumn("__cut", F.lit(True)), row, "left")
-    joined = joined.filter(F.col("__cut").isNull() | (F.col("__kept") != ""))
-    new = {"text": F.coalesce("__kept", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__cut"), F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(new).select(*docs.columns)
-
-
+    marked = docs.withColumn(null := free_name(docs, "__null"), F.col("text").isNull())
+    cut = suffixes.remove_repeats(marked, with_text=True, carry=[c for c in marked.columns if c != "text"])
+    kept = cut.filter("n_removed = 0 OR text <> ''")
+    new = {c: F.col("rest").getField(c) for c in docs.columns if c != "text"}
+    new["text"] = F.when(~F.col("rest").getField(null), F.col("text"))
+    if "n_chars" in new:
+        length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(new["n_chars"])
+        new["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[new[c].alias(c) for c in docs.columns])
+
+
+@_stage
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     rows, row = with_rows(docs)
@@ -55,6 +80,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(leaks, row, "left_anti").drop(row)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids, each a power-of-two piece of one document."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
@@ -73,7 +99,11 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, fn in STAGES:
-        docs = stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+        out = fn(spark, docs, sf_dir)
+        with recorded() as paths:
+            docs = stage(out, f"pipeline-{name}")
+        remove(spark, written)
+        written = paths
     return docs

@@ -103,7 +103,8 @@ def pack(
     counts = pieces.groupBy("length", "pid").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("length"), "pid")
     bases = counts.select("length", "pid", (F.sum("__n").over(order) - F.col("__n")).alias("__base"))
-    return pieces.join(bases, ["length", "pid"]).select(
+    # A row per task and length: at most eleven per task for 1,024 tokens.
+    return pieces.join(F.broadcast(bases), ["length", "pid"]).select(
         "doc_id",
         "start",
         "length",

@@ -22,13 +22,14 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanloom.llm.common import map_arrow, settings, text_of
 from scanloom.plans.stage import stage
@@ -335,7 +336,8 @@ def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstd.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = pa.array([pack(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["row", "doc", "packed"])
+        cols = [batch.column(0), batch.column(1), texts, batch.column(3)]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "doc", "packed", "rest"])
 
 
 def _spans(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -371,14 +373,18 @@ class _Texts:
     the texts.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, row_col: str | None):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: list[str]):
         self.spark = docs.sparkSession
+        rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
         rows = docs.select(
-            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
+            F.monotonically_increasing_id().alias("row"),
             F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"),
             text_of(text_col).alias("text"),
+            rest.alias("rest"),
         )
-        packed = map_arrow(rows, _deflate, "row long, doc long, packed binary").withColumn("pid", _pid("row"))
+        self.rest = T.StructField("rest", rows.schema["rest"].dataType)
+        schema = T.StructType([*T._parse_datatype_string("row long, doc long, packed binary"), self.rest])
+        packed = map_arrow(rows, _deflate, schema).withColumn("pid", _pid("row"))
         self.name = f"scanloom_texts_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         packed.write.options(**{"compression": "uncompressed", "parquet.block.size": str(16 << 20)}).bucketBy(buckets, "pid").saveAsTable(self.name)
@@ -429,8 +435,9 @@ def _cut(threshold: int, with_text: bool):
                 rows.append((row, None if doc == _LAST else doc, len(raw), total, len(removed), hashlib.sha256(kept).hexdigest(), text))
             cols = list(zip(*rows)) if rows else [()] * 7
             types = [pa.int64()] * 5 + [pa.string()] * 2
+            cut = [pa.array(c, t) for c, t in zip(cols, types)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types)], [f.split()[0] for f in _CUT.split(", ")]
+                [*cut, batch.column(4)], [*(f.split()[0] for f in _CUT.split(", ")), "rest"]
             )
 
     return run
@@ -455,7 +462,7 @@ def remove_repeats(
     with_text: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
-    row_col: str | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Remove every byte covered by a string of ``threshold`` bytes that also starts in a document with a smaller id.
 
@@ -466,9 +473,9 @@ def remove_repeats(
     a task's smallest document, so a passage that a third of all documents share
     moves once per task.
 
-    Returns row (``row_col``, a number that ``with_rows`` gave; else a new one), doc_id, n_bytes, n_removed, n_spans (maximal removed
+    Returns row (a number), doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and text (what is left, without cutting characters, if
-    ``with_text``), a row per row. Null texts are empty, null ids count as the
+    ``with_text``) and rest (a struct of the columns ``carry``), a row per row. Null texts are empty, null ids count as the
     largest; rows of one id do not remove from each other; an empty table gives
     no rows. Ranks are hashes of 40 bits and more within groups that agree on
     others; two different strings meet in one with negligible chance.
@@ -476,10 +483,12 @@ def remove_repeats(
     if not 0 < threshold - anchor + 1 < 256:
         raise ValueError("a string may have 1 to 255 anchors")
     with settings(docs.sparkSession, _SETTINGS):
-        texts = _Texts(docs, id_col, text_col, row_col)
+        texts = _Texts(docs, id_col, text_col, list(carry))
         found = repeated_starts(texts, threshold, anchor)
         spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
         cut = _cut(threshold, with_text)
-        kept = texts.join(spans, "left", lambda x: map_arrow(x.select("row", "doc", "packed", "spans"), cut, _CUT), "kept")
+        schema = T.StructType([*T._parse_datatype_string(_CUT), texts.rest])
+        columns = ("row", "doc", "packed", "spans", "rest")
+        kept = texts.join(spans, "left", lambda x: map_arrow(x.select(*columns), cut, schema), "kept")
         texts.drop()
     return kept

@@ -41,8 +41,8 @@ def test_stages(spark):
             assert after.count() == before.count() - lost and after.count() > 0.7 * before.count()
             after = spark.createDataFrame(after.toPandas(), docs.schema)
         before = after
-    assert before.agg({"length": "sum"}).first()[0] > 0
-    assert contract.queries()["pipeline"](spark, SF).count() == before.count()
+    pieces = before.count()  # before another run drops the tables of this one
+    assert pieces > 0 and contract.queries()["pipeline"](spark, SF).count() == pieces
 
 
 def test_quality_rejects_what_labels_reject(spark):

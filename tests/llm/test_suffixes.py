@@ -12,7 +12,6 @@ sys.path.insert(0, os.path.dirname(__file__))
 from helpers import AWKWARD, SENTENCES, docs_of
 
 from scanloom.llm import suffixes
-from scanloom.llm.common import with_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -86,8 +85,9 @@ def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
 
 def test_text_is_cut_at_characters(spark):
     a, b = "é日" * 20 + "x", "日" * 3 + "é日" * 20 + "y"
-    rows, row = with_rows(docs_of(spark, [a, b]))
-    got = {r.doc_id: r for r in suffixes.remove_repeats(rows, with_text=True, row_col=row).collect()}
+    docs = docs_of(spark, [a, b])
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs, with_text=True, carry=["row", "tie", "lang"]).collect()}
+    assert [got[k].rest.asDict() for k in (0, 1)] == [{"row": k, "tie": "y", "lang": "en"} for k in (0, 1)]
     assert got[0].text == a and got[1].n_removed >= 50 and "é日é日é日é日" not in got[1].text and got[1].text.endswith("y")
     assert suffixes.kept_text("aé日b".encode(), [(2, 4)]) == "aé日b"
     assert suffixes.kept_text("aé日b".encode(), [(1, 6)]) == "ab"
