@@ -69,10 +69,8 @@ class OrderMinHash:
 
     def _numbered(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """32-bit hash of (k-mer, which occurrence), k-mer hash and place, of all occurrences, sorted by k-mer and place."""
-        bits = max(1, int(len(h) - 1).bit_length())
-        low = np.uint64((1 << bits) - 1)
-        keys = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
-        place, kmer = (keys & low).astype(np.int64), keys & ~low
+        place = h.argsort(kind="stable")  # the whole hash is the k-mer's identity, whatever the text's length
+        kmer = h[place]
         new = np.flatnonzero(np.concatenate([[True], kmer[1:] != kmer[:-1]]))
         nth = np.arange(len(h)) - np.repeat(new, np.diff(np.append(new, len(h))))
         return (_mix(kmer + nth.astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(32)).astype(np.uint32), kmer, place

@@ -50,6 +50,33 @@ def test_signature(text, monkeypatch):
     assert make.signature(text).tolist() == want
 
 
+def direct_signature(make, text):
+    """No sorting by k-mer: a k-mer is its whole 64-bit hash, occurrences are counted from the left."""
+    grams, seen, ranks = make._kmers(text), Counter(), []
+    for g in grams.tolist():
+        ranks.append((g + seen[g] * fingerprints._BASE) & fingerprints._MASK64)
+        seen[g] += 1
+    x = fingerprints._mix(np.array(ranks, np.uint64)) >> np.uint64(32)
+    out = []
+    for a, b, salt in zip(make._a[:, 0].tolist(), make._b[:, 0].tolist(), make._salt):
+        under = [((v * a + b) & 0xFFFFFFFF, g, p) for p, (v, g) in enumerate(zip(x.tolist(), grams.tolist()))]
+        value = np.array([salt])
+        for p in sorted(p for _, _, p in sorted(under)[: make.per_slot]):
+            value = fingerprints._mix(value * np.uint64(31) + grams[p : p + 1])
+        out.append(int(value[0]) & 0xFFFF)
+    return out
+
+
+@pytest.mark.parametrize("n", [1031, 4103, 16391])
+def test_a_few_characters_across_a_power_of_two(n):
+    draw = random.Random(n)
+    make, text = OrderMinHash(), "".join(draw.choices("abcdefghij ", k=n))
+    longer = text + "".join(draw.choices("abcdefghij ", k=4))  # 1024 k-mers and 1028, and so on
+    own, other = make.signature(text), make.signature(longer)
+    assert own.tolist() == direct_signature(make, text) and other.tolist() == direct_signature(make, longer)
+    assert likeness(own, other) > 0.9
+
+
 def test_order_matters_and_likeness_follows_edits():
     draw = random.Random(2)
     make, text = OrderMinHash(slots=256), "".join(draw.choices("abcdefghij ", k=2000))
