@@ -151,3 +151,34 @@ def test_similar_groups(spark, monkeypatch):
         kept = {r.row for r in got if r.first}
         assert kept >= {want.index(g) for g in set(want) if g < 20}
         assert len(kept) == 6 + 6 + 1  # texts without words are alike
+
+
+def shingle_set(tokens):
+    return {tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b))
+
+
+def with_passage(draw, vocabulary, base, kind, n):
+    """``base`` with a passage of ``n`` words at its end, in its middle, or cut out of it."""
+    new = draw.choices(vocabulary, k=n)
+    return {"append": base + new, "insert": base[:200] + new + base[200:], "cut": base[:150] + base[150 + n :]}[kind]
+
+
+def kept_rows(spark, texts):
+    rows = docs_of(spark, [" ".join(t) for t in texts]).selectExpr("cast(row as bigint) as number", "doc_id", "text")
+    return {r.row for r in simhash.similar_groups(rows, "number").collect() if r.first}
+
+
+def test_passages_appended_inserted_and_cut(spark):
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts, kinds = [], ("append", "insert", "cut")
+    for k in range(150):
+        base = draw.choices(vocabulary, k=400)
+        texts += [base, with_passage(draw, vocabulary, base, kinds[k % 3], draw.randrange(40, 48))]
+    pairs = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])]
+    assert 0.85 < min(pairs) and max(pairs) < 0.91
+    assert kept_rows(spark, texts) == set(range(0, 300, 2))
