@@ -9,7 +9,8 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard as zstd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import map_arrow, text_of
@@ -260,9 +261,12 @@ def _verify(most: int):
     return run
 
 
-def split_large(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
-    """``rows`` with ``sub``: buckets of more than ``block`` rows become pairs of blocks that cover all their pairs."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+def split_large(rows: DataFrame, keys: list[str], member: str, block: int, weight: Column | None = None) -> DataFrame:
+    """``rows`` with ``sub``: buckets of more than ``block`` rows become pairs of blocks that cover all their pairs.
+
+    With ``weight`` a row counts as so many.
+    """
+    sizes = rows.groupBy(*keys).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")).filter(F.col("n") > block)
     blocks = stage(sizes.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-buckets")
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> least(x, mine) * blocks + greatest(x, mine))")
     joined = rows.join(blocks, keys, "left").withColumn("mine", F.expr(f"cast(pmod(xxhash64({member}), blocks) as int)"))
@@ -319,7 +323,10 @@ SIMILARITY, SHINGLE, SLOTS = 0.8, 5, 256
 CANDIDATE_WORDS, CANDIDATE_BITS = 2, 10
 #: Slots of a band; texts that agree in one of the 42 bands are candidates too. At similarity 0.8 three in a million pairs agree in none.
 BAND = 6
-_SIMILAR_BLOCK = 5_000
+#: Estimate from which the shingles themselves are compared: six standard deviations below ``SIMILARITY``.
+LOOSE = 0.65
+#: Texts, and bytes of them, in one block of a group.
+_SIMILAR_BLOCK, _SIMILAR_BYTES = 5_000, 32 << 20
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -341,26 +348,40 @@ def sketch(tokens: list[bytes], words: int = SHINGLE) -> np.ndarray:
 def _print_and_sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
+            texts = batch.column(4).to_pylist()
             prints = [_as_long(fingerprint(t, words)) for t in texts]
             sketches = [sketch(t.encode().lower().split()).tobytes() for t in texts]
-            cols = [*batch.columns[:3], pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "tie", "fp", "sketch"])
+            cols = [*batch.columns[:4], pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "tie", "size", "fp", "sketch"])
 
     return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between similar texts of a bucket, each text reached once."""
+    """Links between similar texts of a bucket, each text reached once.
+
+    The sketches only rule out; every link is decided on the two texts' whole
+    shingle sets, which are made when they are first needed.
+    """
+    unpack = zstd.ZstdDecompressor().decompress
 
     def links(held):
         ties, sketches = np.array([h[0] for h in held], np.int64), np.stack([np.frombuffer(h[1], "<u2") for h in held])
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i):
+            if i not in sets:
+                parts = list(shingle_hashes(unpack(held[i][2]).lower().split(), SHINGLE))
+                sets[i] = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+            return sets[i]
+
         us, vs, left = [], [], np.arange(len(held))
         while len(left) > 1:
             frontier, left = [left[0]], left[1:]
             while frontier and len(left):
                 x = frontier.pop()
-                near = (sketches[left] == sketches[x]).mean(axis=1) >= SIMILARITY
+                near = (sketches[left] == sketches[x]).mean(axis=1) >= LOOSE
+                near[near] = [alike(shingles(x), shingles(y)) for y in left[near].tolist()]
                 met = left[near]
                 us.extend([ties[x]] * len(met))
                 vs.extend(ties[met].tolist())
@@ -370,16 +391,31 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held, last = [], None
     for batch in batches:
-        for root, sub, tie, packed in zip(*(c.to_pylist() for c in batch.columns)):
+        for root, sub, tie, packed, text in zip(*(c.to_pylist() for c in batch.columns)):
             if (root, sub) != last and held:
                 yield links(held)
                 held = []
             last = (root, sub)
-            held.append((tie, packed))
+            held.append((tie, packed, text))
     if held:
         yield links(held)
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of ``SIMILARITY`` or more; empty sets are equal."""
+    if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both) >= SIMILARITY or not len(a) + len(b)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstd.ZstdCompressor(level=1).compress
+    for batch in batches:
+        packed = [pack(t.encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["row", "text"])
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, tie) for every band of a sketch; a key is a hash of the band's place and slots."""
     for batch in batches:
@@ -411,28 +447,33 @@ def similar_groups(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_c
     Texts meet as candidates by SimHash over word pairs (``near_links``: at most
     ``CANDIDATE_BITS`` bits), or by a band of ``BAND`` of the ``SLOTS`` minima
     of their five-word shingles; either may miss what the other finds. Within
-    the groups that both make together texts are linked if the minima estimate a
-    Jaccard similarity of 0.8 or more, and links are closed.
+    the groups that both make together texts are linked if the Jaccard similarity
+    of their whole shingle sets is 0.8 or more, and links are closed; the minima
+    only rule out what they estimate below ``LOOSE``.
     ``first`` says that the row is the one of its group that stays: smallest id,
     then text hash, then row number. Equal texts are one text throughout; large
     groups are split into pairs of blocks. Null ids count as the largest, null
     texts as empty; an empty table gives no rows.
     """
     texts = docs.select(
-        F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"), text_of(text_col).alias("text")
+        F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("tie"),
+        F.octet_length(text_of(text_col)).cast("long").alias("size"), text_of(text_col).alias("text"),
     )
-    schema = "row long, doc_id long, tie long, fp long, sketch binary"
+    schema = "row long, doc_id long, tie long, size long, fp long, sketch binary"
     rows = stage(map_arrow(texts, _print_and_sketch(CANDIDATE_WORDS), schema), "sketches")
     # One row of each text; its fingerprint and sketch are functions of the text.
-    one = stage(rows.groupBy("tie").agg(F.min(F.struct("row", "fp", "sketch")).alias("x")).select("tie", "x.*"), "texts")
+    one = stage(rows.groupBy("tie").agg(F.min(F.struct("row", "size", "fp", "sketch")).alias("x")).select("tie", "x.*"), "texts")
     prints = stage(one.select("fp").distinct(), "distinct-fingerprints")
     roots = components(near_links(prints, CANDIDATE_BITS, WIDE_PARTS)).withColumnRenamed("node", "fp")
     rooted = one.select("tie", "fp").join(roots, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp")).alias("key"), "tie")
     keys = map_arrow(one.select("tie", "sketch"), _bands, "key long, tie long").union(rooted)
     met = map_arrow(keys.repartition("key").sortWithinPartitions("key", "tie"), _to_first, "u long, v long").distinct()
     roots = components(met).withColumnRenamed("node", "tie")
-    members = stage(roots.join(one, "tie").select("root", "tie", "sketch"), "candidates")
-    dealt = split_large(members, ["root"], "tie", _SIMILAR_BLOCK).select("root", "sub", "tie", "sketch")
+    members = stage(roots.join(one, "tie").select("root", "tie", "row", "size", "sketch"), "candidates")
+    weight = F.lit(1.0) + F.col("size") * (_SIMILAR_BLOCK / _SIMILAR_BYTES)
+    dealt = split_large(members, ["root"], "tie", _SIMILAR_BLOCK, weight).select("root", "sub", "tie", "row", "sketch")
+    packed = map_arrow(texts.select("row", "text"), _pack_texts, "row long, text binary")
+    dealt = dealt.join(packed, "row").select("root", "sub", "tie", "sketch", "text")
     dealt = dealt.repartition("root", "sub").sortWithinPartitions("root", "sub")
     groups = components(map_arrow(dealt, _similar, "u long, v long")).withColumnRenamed("node", "tie").withColumnRenamed("root", "group")
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("tie").alias("c"), F.col("row").alias("d"))

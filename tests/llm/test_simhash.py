@@ -182,3 +182,16 @@ def test_passages_appended_inserted_and_cut(spark):
     pairs = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])]
     assert 0.85 < min(pairs) and max(pairs) < 0.91
     assert kept_rows(spark, texts) == set(range(0, 300, 2))
+
+
+def test_similarity_is_that_of_the_shingles(spark):
+    draw = random.Random(13)
+    vocabulary = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts, want = [], set()
+    for k in range(60):
+        base = draw.choices(vocabulary, k=400)
+        other = base + draw.choices(vocabulary, k=(98, 100, 118)[k % 3])
+        want |= {2 * k} if jaccard(base, other) >= 0.8 else {2 * k, 2 * k + 1}
+        texts += [base, other]
+    assert len(want) == 100  # 0.802; 0.798 and 0.77 are no near-duplicates
+    assert kept_rows(spark, texts) == want
