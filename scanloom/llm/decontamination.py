@@ -20,12 +20,15 @@ WINDOWS = (16, 32, 64)
 RANK, EXTRA, SEED = 128, 10, 11
 #: Terms in more than this share of all passages have no weight, but for the rarest few of every item.
 COMMON, RAREST = 0.05, 8
-#: A window is a candidate for an item from this cosine on; its terms must carry the square of it of its weight.
+#: A window is a candidate for an item from this cosine on.
 COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.5, 0.8
 #: Words and items that go to every task, at most.
 MOST_TERMS, MOST_ITEMS = 1 << 20, 1 << 17
 _BLOCK = 64
+#: Words of an exact run that makes a candidate; shorter items are one run.
+RUN = 8
+_BASE = 0x9E3779B97F4A7C15
 
 _SPLIT = bytes(32 if 32 < b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b for b in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -198,6 +201,14 @@ def common_subsequence(item: np.ndarray, other: np.ndarray, mine: int | None = N
 _FOUND = "doc_id long, row long, item_id long, cosine double, common_share double, answer_share double, first_word long"
 
 
+def _run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of ``n`` ids."""
+    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for k in range(n if len(h) else 0):
+        h = h * np.uint64(_BASE) + ids[k : k + len(h)].astype(np.uint64) + np.uint64(1)
+    return h
+
+
 class _Search:
     def __init__(self, benchmark: Benchmark, weights: Weights, basis: np.ndarray):
         self.benchmark, self.weights, self.basis = benchmark, weights, basis
@@ -209,39 +220,85 @@ class _Search:
         edges = [(a + b) / 2 for a, b in zip(WINDOWS, WINDOWS[1:])]
         self.scale = np.searchsorted(edges, lengths)
 
-    def windows(self, ids: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-        """Per scale the starts of windows whose benchmark terms carry enough of the weight."""
-        known = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, w * w, 0.0))])
-        every = np.concatenate([[0.0], np.cumsum(w * w)])
+        held = lengths > 0
+        self.fewest = [int(np.ceil(PARAPHRASE * lengths[held & (self.scale == k)].min(initial=1 << 40))) for k in range(len(WINDOWS))]
+        self.margin = [max(STEP, int(lengths[self.scale == k].max(initial=0)) // 2) for k in range(len(WINDOWS))]
+        self.sets = [set(i.tolist()) for i in benchmark.items]
+        self.runs: dict[int, tuple[np.ndarray, list[list[tuple[int, int]]]]] = {}
+        for n in range(1, RUN + 1):
+            found: dict[int, list[tuple[int, int]]] = {}
+            for k, i in enumerate(benchmark.items):
+                if len(i) == n or len(i) > n == RUN:
+                    for at, h in enumerate(_run_hashes(i, n).tolist()):
+                        found.setdefault(h, []).append((k, at))
+            if found:
+                self.runs[n] = np.array(sorted(found), np.uint64), [found[h] for h in sorted(found)]
+
+    def windows(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """Per scale the starts of windows, without those that have too few benchmark words about them for any item."""
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
         for k, width in enumerate(WINDOWS):
             starts = np.arange(0, max(1, len(ids) - width + STEP), STEP)
-            ends = np.minimum(starts + width, len(ids))
-            part, whole = known[ends] - known[starts], every[ends] - every[starts]
-            yield k, starts[(part > 0) & (part >= COSINE**2 * whole)], width
+            near = known[np.minimum(starts + width + self.margin[k], len(ids))] - known[np.maximum(starts - self.margin[k], 0)]
+            yield k, starts[near >= self.fewest[k]], width
+
+    def exact(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Items and the places where they would begin, from exact runs of their words."""
+        for n, (keys, places) in self.runs.items():
+            if len(ids) < n:
+                continue
+            unknown = np.concatenate([[0], np.cumsum(ids < 0)])
+            at = np.flatnonzero(unknown[n:] == unknown[:-n])
+            if len(at):
+                h = _run_hashes(ids, n)[at]
+                where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                same = keys[where] == h
+                for p, i in zip(at[same].tolist(), where[same].tolist()):
+                    yield from ((item, p - offset) for item, offset in places[i])
 
     def of(self, ids: np.ndarray) -> Iterator[tuple]:
         """Items that the text holds: number, cosine, shares of words and of the answer in common, place."""
         w, best = self.weights.of(ids), {}
-        for k, starts, width in self.windows(ids, w):
+        live = ids >= 0
+
+        def take(item: int, cosine: float, start: int, width: int) -> None:
+            found = self.check(item, ids, start, width)
+            if found and (item not in best or found > best[item][1:3]):
+                best[item] = (cosine, *found, max(0, start))
+
+        for k, starts, width in self.windows(ids):
             items = np.flatnonzero(self.scale == k)
-            for lo in range(0, len(starts) if len(items) else 0, 256):
-                some = starts[lo : lo + 256]
-                at = np.minimum(some[:, None] + np.arange(width), len(ids) - 1)
-                live = (some[:, None] + np.arange(width) < len(ids)) & (ids[at] >= 0)
-                x = np.einsum("ij,ijk->ik", np.where(live, w[at], 0.0).astype(np.float32), self.basis[np.where(live, ids[at], 0)])
+            for some in np.split(starts, np.flatnonzero(np.diff(starts // (256 * STEP))) + 1) if len(items) and len(starts) else []:
+                first, last = int(some[0]), min(len(ids), int(some[-1]) + width)
+                on = first + np.flatnonzero(live[first:last] & (w[first:last] > 0))
+                if not len(on):
+                    continue
+                steps = np.zeros((-(-(last - first) // STEP) + width // STEP, self.basis.shape[1]), np.float32)
+                step, begins = np.unique((on - first) // STEP, return_index=True)
+                steps[step] = np.add.reduceat(self.basis[ids[on]] * w[on, None].astype(np.float32), begins, axis=0)
+                whole, n = steps, 1
+                while n < width // STEP:  # sums of 2, 4, .. steps
+                    whole, n = whole[: len(whole) - n] + whole[n:], 2 * n
+                x = whole[(some - first) // STEP]
                 cosine = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)) @ self.latent[items].T
                 for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                    item, start = int(items[j]), int(some[i])
-                    found = self.check(item, ids, start, width)
-                    if found and (item not in best or found > best[item][1:3]):
-                        best[item] = (float(cosine[i, j]), *found, start)
+                    take(int(items[j]), float(cosine[i, j]), int(some[i]), width)
+        for item, start in set(self.exact(ids)):
+            if item in best and best[item][1] == 1.0:
+                continue
+            words = len(self.benchmark.items[item])
+            lo, hi = max(0, start), min(len(ids), start + words)
+            x = np.where(live[lo:hi], w[lo:hi], 0.0).astype(np.float32) @ self.basis[np.where(live[lo:hi], ids[lo:hi], 0)]
+            take(item, float(x @ self.latent[item] / max(np.linalg.norm(x), 1e-9)), start, words)
         for item, found in best.items():
             yield (item, *found)
 
     def check(self, item: int, ids: np.ndarray, start: int, width: int) -> tuple[float, float] | None:
         words, answer = self.benchmark.items[item], self.benchmark.answers[item]
         margin = max(STEP, len(words) // 2)
-        near = ids[max(0, start - margin) : start + width + margin]
+        near = ids[max(0, start - margin) : max(0, start + width + margin)]
+        if sum(map(self.sets[item].__contains__, near.tolist())) < PARAPHRASE * len(words):
+            return None  # as many words at least are in the common subsequence of a leak
         common, ends = common_subsequence(words, near, answer)
         shares = common / len(words), ends / max(1, answer)
         return shares if shares[0] >= COPY or (shares[0] >= PARAPHRASE and shares[1] >= ANSWER) else None
@@ -281,8 +338,9 @@ def find_leaks(
     of all documents form the term matrix, over the benchmark's terms; other
     words count in a passage's length. Its leading singular vectors span the
     latent space. Windows of 16, 32 and 64 words, one every 8, meet the items of
-    about their length there; a cosine of ``COSINE`` makes a candidate. It is a
-    leak if the longest common subsequence of the item and the window (with half
+    about their length there; a cosine of ``COSINE`` makes a candidate, and so
+    does an exact run of ``RUN`` words of an item (all of a shorter one). Words
+    outside the benchmark do not count in either. A candidate is a leak if the longest common subsequence of the item and the window (with half
     an item to both sides) has ``COPY`` of the item's words, or ``PARAPHRASE``
     of them and ``ANSWER`` of those of its answer, its last sentence.
 

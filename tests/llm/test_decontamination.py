@@ -108,3 +108,19 @@ def test_awkward_and_empty(spark):
     assert {d for d, i in got if i is None} >= {4, 5, 6, 7} and (4, 5) in got and 13 not in {d for d, _ in got}
     assert dec.find_leaks(docs_of(spark, []), bench).count() == 0
     assert dec.find_leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_exact_copies_in_a_large_corpus():
+    """Exact copies amid words that are all outside the benchmark, with the weights of a large corpus."""
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    items = [" ".join(draw.choices(words, k=n)) + "." for n in [5, 9, 12, 14, 20, 30, 45, 60, 150] * 6]
+    held = dec.Benchmark(list(enumerate(items)))
+    n = 10**9
+    weights = dec.Weights(held, {-1: n} | {i: n // draw.choice((30, 60, 200)) for i in range(len(held.terms))})
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((len(held.terms), 128)))[0].astype(np.float32)
+    search = dec._Search(held, weights, basis)
+    for k, item in enumerate(held.items):
+        for before in range(37, 45):
+            ids = np.concatenate([np.full(before, -1), item, np.full(50, -1)]).astype(np.int32)
+            assert {(i, common) for i, _, common, *_ in search.of(ids) if i == k} == {(k, 1.0)}
