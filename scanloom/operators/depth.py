@@ -217,12 +217,47 @@ def backproject(
     without axis flip. Invalid pixels are filtered inside the row arrays, before they
     become rows. ``color_rows`` (``frame, v, rgb array``) is joined on raster rows, so
     each colour stays with its pixel; a pixel without colour keeps nulls, and a colour raster
-    of another width raises (resample it first). ``carry``
+    of another width or height raises (``resample`` it first). ``carry``
     names columns of ``frames`` to keep.
     """
     keys = as_keys(by)
     on = [*keys, "frame"]
+    need = [*carry, "fl_x", "fl_y", "cx", "cy", *[c for c in frames.columns if c.startswith("c2w_")]]
+    frames = frames.select(*on, *need)
+    rows = valid_rows(depth_rows, frames, max_depth, by, min_depth, step, conf_at_least, color_rows, conf_pct)
+    px = rows.withColumn("_p", F.explode("_p"))
+    px = px.withColumns({"u": F.col("_p.u"), "depth": F.col("_p.d")})
+    world = transform_point("c2w", "(u - cx) / fl_x * depth", "(v - cy) / fl_y * depth", "depth")
+    color = []
+    if color_rows is not None:
+        color = [F.col("_p.rgb")[i].alias(c) for i, c in enumerate(("red", "green", "blue"))]
+    return px.select(*on, *carry, "v", "u", "depth", *[w.alias(a) for w, a in zip(world, "xyz")], *color)
+
+
+def valid_rows(
+    depth_rows: DataFrame,
+    frames: DataFrame,
+    max_depth: float | Column,
+    by: str | Sequence[str] | None = None,
+    min_depth: float | Column = NEAREST,
+    step: int = 1,
+    conf_at_least: float | None = None,
+    color_rows: DataFrame | None = None,
+    conf_pct: float | None = None,
+) -> DataFrame:
+    """Raster rows of ``frames``, with the columns of both and ``_p``, the array of a row's valid pixels.
+
+    A pixel has its column ``u``, its depth ``d``, and ``rgb`` if colours are given.
+    Its number in a row is the size of the array, so pixels are counted without becoming rows.
+    """
+    keys = as_keys(by)
+    on = [*keys, "frame"]
     rows = depth_rows
+    if color_rows is not None:
+        # Rasters of unlike sizes would join the wrong rows, so heights are compared as well.
+        own, other = ((F.max("v").alias(c), df.groupBy(*on)) for c, df in (("_dv", depth_rows), ("_cv", color_rows)))
+        heights = attach(own[1].agg(own[0]), other[1].agg(other[0]), on).where("_dv <> _cv").select(*on, F.lit(True).alias("_unlike"))
+        rows = attach(rows, stage(heights, "unlike-rasters"), on, "left")
     if step > 1:
         rows = rows.where(F.col("v") % step == 0)
     if conf_pct is not None:
@@ -230,12 +265,11 @@ def backproject(
         conf_px = depth_rows.select(*keys, "frame", F.explode("conf").alias("conf"))
         cut = percentiles(conf_px, {"_cut": "conf"}, {"p": conf_pct / 100.0}, on)
         rows = attach(rows, stage(cut, "conf"), on)
-    need = [*carry, "fl_x", "fl_y", "cx", "cy", *[c for c in frames.columns if c.startswith("c2w_")]]
-    rows = rows.join(frames.select(*on, *need), on)
+    rows = rows.join(frames, on)
     if color_rows is not None:
         rows = rows.join(color_rows.select(*on, "v", "rgb"), [*on, "v"], "left")
-        wrong = F.raise_error(F.lit("colour and depth rasters differ in width")).cast("array<array<short>>")
-        unlike = F.col("rgb").isNotNull() & (F.size("rgb") != F.size("depth"))
+        wrong = F.raise_error(F.lit("colour and depth rasters differ in size")).cast("array<array<short>>")
+        unlike = F.col("_unlike") | (F.col("rgb").isNotNull() & (F.size("rgb") != F.size("depth")))
         rows = rows.withColumn("rgb", F.when(unlike, wrong).otherwise(F.col("rgb").cast("array<array<short>>")))
 
     low = F.lit(float(min_depth)) if isinstance(min_depth, (int, float)) else min_depth
@@ -260,13 +294,7 @@ def backproject(
             keep = keep & (p["c"] >= F.col("_cut_p"))
         return keep
 
-    px = rows.withColumn("_p", F.explode(F.filter(F.transform("depth", pixel), ok)))
-    px = px.withColumns({"u": F.col("_p.u"), "depth": F.col("_p.d")})
-    world = transform_point("c2w", "(u - cx) / fl_x * depth", "(v - cy) / fl_y * depth", "depth")
-    color = []
-    if color_rows is not None:
-        color = [F.col("_p.rgb")[i].alias(c) for i, c in enumerate(("red", "green", "blue"))]
-    return px.select(*on, *carry, "v", "u", "depth", *[w.alias(a) for w, a in zip(world, "xyz")], *color)
+    return rows.withColumn("_p", F.filter(F.transform("depth", pixel), ok))
 
 
 def depth_to_points(

@@ -18,6 +18,7 @@ from scanloom.operators import masks as M
 from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, prune_opacity, sigma_clip
 from scanloom.operators.frames import join_camera
 from scanloom.operators.profile import AXES
+from scanloom.operators.resample import resample
 from scanloom.operators.sample import sample_exact
 from scanloom.operators.voxel import voxel_to_target
 from scanloom.plans.stage import as_keys, attach, stage
@@ -157,8 +158,9 @@ def fuse_depth(
         "min_depth": F.lit(D.NEAREST) * F.col("scale"),
         "conf_pct": conf_pct,
     }
-    # Points per frame, without colours, and how many of them a frame may keep.
-    found = D.backproject(rows, frames, by=keys, **limits).groupBy(*keys, "frame").agg(F.count("*").alias("_n"))
+    # Points per frame, counted in the row arrays, and how many of them a frame may keep.
+    found = D.valid_rows(rows, frames.select(*keys, "frame"), by=keys, **limits)
+    found = found.groupBy(*keys, "frame").agg(F.sum(F.size("_p")).alias("_n")).where("_n > 0")
     share = images.groupBy(*keys).agg(F.count("*").alias("_images"))
     per_frame = F.lit((1 << 62)).cast("long")
     if oversample is not None:
@@ -225,14 +227,18 @@ def build_init_cloud(
     """Merged coloured cloud of per-frame depth and confidence maps.
 
     ``frames`` has ``frame, image_id, width, height``, intrinsics for that size and a
-    ``c2w`` pose; the intrinsics are rescaled to the raster. More than ``max_points`` points
-    (None: no limit) are cut down to an exact sample.
+    ``c2w`` pose; the intrinsics are rescaled to the raster, and so are colours of another
+    size. More than ``max_points`` points (None: no limit) are cut down to an exact sample.
     """
     keys = as_keys(by)
     size = depth_rows.groupBy(*keys, "frame").agg(
         (F.max("v") + 1).alias("_rh"), F.max(F.size("depth")).alias("_rw")
     )
-    sized = scale_intrinsics(frames.join(stage(size, "raster-size"), [*keys, "frame"]), "_rw", "_rh")
+    size = stage(size, "raster-size")
+    sized = scale_intrinsics(frames.join(size, [*keys, "frame"]), "_rw", "_rh")
+    if color_rows is not None:
+        wanted = size.withColumnsRenamed({"_rw": "width", "_rh": "height"})
+        color_rows = resample(color_rows.select(*keys, "frame", "v", "rgb"), wanted, keys, "rgb")
     cloud = D.depth_to_points(depth_rows, sized, keys, color_rows, step, conf_threshold, carry=("image_id",))
     cloud = cloud.select(*keys, _place("image_id").alias("point_id"), *_coordinates(cloud))
     return cloud if max_points is None else sample_exact(cloud, max_points, "point_id", seed, keys)

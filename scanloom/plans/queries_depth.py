@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from scanloom.functions import camera, pose
 from scanloom.operators import depth, frames, jobs, masks
+from scanloom.operators.resample import resample
 from scanloom.plans.fixtures import view
 from scanloom.plans.queries_frames import INTR_SQL, POSE_SQL
 from scanloom.plans.registry import query
@@ -160,11 +161,19 @@ def _points_per_capture(spark, sf):
     return p.withColumn("capture", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3))))
 
 
-@query("depth_scale_per_capture", "capture " + SCALE, PAIR_VIEWS, _scale_sql(100, "capture"))
+@query(
+    "depth_scale_per_capture",
+    "capture " + SCALE,
+    PAIR_VIEWS,
+    f"""SELECT capture, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_images, 0) AS n_images, p25, median, p75, std,
+          CASE WHEN n_pairs >= 50 THEN scale END AS scale
+        FROM (SELECT DISTINCT capture FROM images) c LEFT JOIN ({_scale_sql(100, "capture")}) s USING (capture)""",
+)
 def _(spark, sf):
     images, obs = _pair_inputs(spark, sf)
+    points, rasters = _points_per_capture(spark, sf), depth_rows(spark, sf)
     return depth.depth_scale(
-        images, obs, _points_per_capture(spark, sf), depth_rows(spark, sf), "capture", min_total=50, max_per_image=100
+        images, obs, points, rasters, "capture", min_total=50, max_per_image=100, on_shortage="null"
     )
 
 
@@ -251,8 +260,69 @@ def _(spark, sf):
     return depth.pixels(depth.upsample(depth_rows(spark, sf, ()), 61, 47))
 
 
+def photo_rows(spark, sf, width, height):
+    """A photograph of the given size for every depth raster, as raster rows."""
+    frames_ = view(spark, sf, "depth_px").select("capture", "frame").distinct()
+    rows = frames_.withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(height - 1))))
+    pixel = (
+        f"transform(sequence(0, {width - 1}), u -> array(CAST((frame * 7 + v * v * 3) % 256 AS SMALLINT), "
+        "CAST((v * 11 + u * u) % 256 AS SMALLINT), CAST((u * 5 + frame * v) % 256 AS SMALLINT))) AS rgb"
+    )
+    return rows.selectExpr("capture", "frame", "v", pixel)
+
+
+def _taps_sql(size: int, wanted: int) -> str:
+    """Weights (o: output, s: source, w) of a triangle as wide as the coarser of both pixels, normalised."""
+    reach = max(size / wanted, 1.0)
+    weight = f"1 - abs(s + 0.5 - (o + 0.5) * {size}.0::DOUBLE / {wanted}) / {reach}::DOUBLE"
+    inner = f"SELECT o, s, {weight} AS w FROM range({wanted}) a(o), range({size}) b(s) WHERE {weight} > 0"
+    return f"SELECT o, s, w / sum(w) OVER (PARTITION BY o) AS w FROM ({inner}) t"
+
+
+def shrunk_sql(width: int, height: int, new_width: int, new_height: int) -> str:
+    """Pixels of the photographs at another size, rounded after each pass."""
+
+    def each(fmt: str) -> str:
+        return ", ".join(fmt.format(c=c) for c in ("red", "green", "blue"))
+
+    total = "CAST(floor(sum({c} * w) + 0.5 + 1e-9) AS INT) AS {c}"
+    return f"""SELECT frame, y.o AS v, u, {each(total)} FROM (
+      SELECT frame, v, x.o AS u, {each(total)} FROM (
+        SELECT frame, v, u, (frame * 7 + v * v * 3) % 256 AS red, (v * 11 + u * u) % 256 AS green, (u * 5 + frame * v) % 256 AS blue
+        FROM (SELECT DISTINCT frame FROM depth_px) f, range({height}) p(v), range({width}) q(u)) i
+      JOIN ({_taps_sql(width, new_width)}) x ON x.s = u GROUP BY frame, v, x.o) h
+    JOIN ({_taps_sql(height, new_height)}) y ON y.s = v GROUP BY frame, y.o, u"""
+
+
+def _color_pixels(rows):
+    px = rows.select("frame", "v", F.posexplode("rgb").alias("u", "_c"))
+    return px.select("frame", "v", "u", *[F.col("_c")[i].alias(c) for i, c in enumerate(("red", "green", "blue"))])
+
+
+@query("color_resample_down", "frame v u red green blue", "depth_px", shrunk_sql(50, 40, 17, 9))
+def _(spark, sf):
+    return _color_pixels(resample(photo_rows(spark, sf, 50, 40), (17, 9), "capture", "rgb"))
+
+
+@query("color_resample_mixed", "frame v u red green blue", "depth_px", shrunk_sql(50, 40, 23, 61))
+def _(spark, sf):
+    return _color_pixels(resample(photo_rows(spark, sf, 50, 40), (23, 61), "capture", "rgb"))
+
+
+@query(
+    "depth_resample_down",
+    "frame v u ~depth",
+    "depth_px",
+    f"""SELECT frame, y.o AS v, u, sum(depth * w) AS depth FROM (
+          SELECT frame, v, x.o AS u, sum(depth * w) AS depth FROM depth_px JOIN ({_taps_sql(25, 11)}) x ON x.s = u GROUP BY frame, v, x.o) h
+        JOIN ({_taps_sql(20, 7)}) y ON y.s = v GROUP BY frame, y.o, u""",
+)
+def _(spark, sf):
+    return depth.pixels(resample(depth_rows(spark, sf, ()).drop("conf"), (11, 7)))
+
+
 def _fused(spark, sf, by, skip=None, **options):
-    images = view(spark, sf, "images").join(view(spark, sf, "depth_px").selectExpr("frame AS image_id").distinct(), "image_id")
+    images = view(spark, sf, "images")
     cams = view(spark, sf, "cameras")
     pts = view(spark, sf, "points3d")
     if by:
@@ -269,17 +339,24 @@ def _fused(spark, sf, by, skip=None, **options):
         target=400,
         sigma=1.5,
         min_total=50,
+        oversample=OVERSAMPLE,
+        on_shortage="null",
         **options,
     )
 
 
+# Most images have no depth here, so the others may keep more.
+OVERSAMPLE = 100
 FUSE_SQL = f"""
 WITH RECURSIVE pairs AS ({PAIR_SQL}),
 kept AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY md5(concat(obs_key, ':', '0')), obs_key) AS rn
   FROM pairs WHERE image_id IN (SELECT image_id FROM pairs GROUP BY image_id HAVING count(*) >= 5)),
-sc AS (SELECT capture, quantile_cont(ratio, 0.5) AS scale, count(*) AS n_pairs FROM kept WHERE rn <= 2000 GROUP BY capture),
+sc AS (SELECT capture, CASE WHEN n_pairs >= 50 {{skip}} THEN scale END AS scale,
+  CASE WHEN true {{skip}} THEN coalesce(n_pairs, 0) ELSE 0 END AS n_pairs
+  FROM (SELECT DISTINCT capture FROM images) c LEFT JOIN (
+    SELECT capture, quantile_cont(ratio, 0.5) AS scale, count(*) AS n_pairs FROM kept WHERE rn <= 2000 GROUP BY capture) k USING (capture)),
 scaled AS (SELECT d.* EXCLUDE (depth), depth * scale AS depth, scale FROM depth_px d JOIN sc USING (capture)),
-n AS (SELECT capture, greatest(1, (4 * 400) // count(DISTINCT frame)) AS cap FROM depth_px GROUP BY capture),
+n AS (SELECT capture, greatest(1, ({OVERSAMPLE} * 400) // count(*)) AS cap FROM images GROUP BY capture),
 world AS (SELECT w.* EXCLUDE (x, y, z), CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y,
     CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, (frame * 65536 + v) * 65536 + u AS point_id
   FROM ({WORLD_SQL.format(d="depth", f="1.0", source="scaled")}) w JOIN sc USING (capture)
@@ -307,7 +384,7 @@ FUSE_VIEWS = "observations points3d images cameras depth_px"
     "depth_fusion",
     "capture point_id ~x ~y ~z red green blue",
     FUSE_VIEWS,
-    FUSE_SQL
+    FUSE_SQL.format(skip="")
     + """SELECT * FROM (
       SELECT c.*, hi, row_number() OVER (PARTITION BY c.capture, CASE WHEN hi IS NULL THEN point_id END,
         floor(x / hi), floor(y / hi), floor(z / hi) ORDER BY point_id) AS one
@@ -321,9 +398,9 @@ def _(spark, sf):
     "fusion_bounds",
     "capture ~x_min ~x_max ~y_min ~y_max ~z_min ~z_max ~scale_factor scale_aligned n_pairs",
     FUSE_VIEWS,
-    FUSE_SQL
+    FUSE_SQL.format(skip="")
     + """SELECT capture, x_min, x_max, y_min, y_max, z_min, z_max, scale AS scale_factor, true AS scale_aligned, n_pairs
-         FROM box JOIN sc USING (capture)""",
+         FROM sc LEFT JOIN box USING (capture)""",
 )
 def _(spark, sf):
     return _fused(spark, sf, "capture").bounds.withColumn("n_pairs", F.col("scale_info.n_pairs"))
@@ -333,12 +410,11 @@ def _(spark, sf):
     "fusion_with_short_capture",
     "capture ~x_min ~z_max ~scale_factor n_pairs",
     FUSE_VIEWS,
-    FUSE_SQL
-    + """SELECT capture, x_min, z_max, scale AS scale_factor, n_pairs FROM box JOIN sc USING (capture) WHERE capture <> 3
-         UNION ALL SELECT 3, NULL, NULL, NULL, 0""",
+    FUSE_SQL.format(skip="AND capture <> 3")
+    + "SELECT capture, x_min, z_max, scale AS scale_factor, n_pairs FROM sc LEFT JOIN box USING (capture)",
 )
 def _(spark, sf):
-    fused = _fused(spark, sf, "capture", skip=3, on_shortage="null")
+    fused = _fused(spark, sf, "capture", skip=3)
     return fused.bounds.withColumn("n_pairs", F.col("scale_info.n_pairs"))
 
 
@@ -360,6 +436,21 @@ def _(spark, sf):
     )
 
 
+@query(
+    "merged_depth_cloud_resampled",
+    "capture point_id ~x ~y ~z red green blue",
+    WORLD_VIEWS,
+    f"""SELECT capture, (frame * 65536 + v) * 65536 + u AS point_id, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y,
+          CAST(z AS FLOAT) AS z, c.red, c.green, c.blue
+        FROM ({WORLD_SQL.format(d="depth", f="0.5", source="depth_px")}) w JOIN ({shrunk_sql(50, 40, 25, 20)}) c USING (frame, v, u)
+        WHERE depth > 0.05 AND depth < 20 AND conf >= 0.4 AND u % 2 = 0 AND v % 2 = 0""",
+)
+def _(spark, sf):
+    # Photographs of twice the size of the depth rasters.
+    fr = posed_frames(spark, sf, ["capture"]).withColumns({"width": F.lit(50), "height": F.lit(40)})
+    return jobs.build_init_cloud(depth_rows(spark, sf), fr, photo_rows(spark, sf, 50, 40), "capture", step=2, max_points=None)
+
+
 # Masks: three consecutive frames are the candidate masks of one image, confidences are their probabilities.
 MASK_SQL = """SELECT concat('m', frame // 3) AS image, frame % 3 AS candidate, ((frame * 13) % 7) / 7.0 AS score,
   v, u, conf > 0.5 AS bit FROM depth_px"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import activation, camera, names, pose
 from scanloom.operators import catalog, clip, depth, frames, jobs, masks, profile, sample, voxel
+from scanloom.operators.resample import resample
 
 RNG = np.random.default_rng(5)
 
@@ -315,3 +316,68 @@ def test_physical_plans(spark, xyz, tmp_path):
     assert "SortAggregate" not in thinned and "partial_min_by" in thinned
     sampled = plan(sample.sample_exact(df, 100, "point_id"))
     assert "Exchange hashpartitioning" not in sampled and "Window" not in sampled
+
+
+def plain_resample(a, width, height, rounded):
+    """Triangle filter by its definition, one axis after the other."""
+
+    def axis(a, n):
+        size = len(a)
+        reach = max(size / n, 1.0)
+        out = []
+        for o in range(n):
+            centre = (o + 0.5) * size / n
+            w = np.array([max(0.0, 1 - abs(s + 0.5 - centre) / reach) for s in range(size)])
+            out.append(np.tensordot(w / w.sum(), a, axes=(0, 0)))
+        return np.floor(np.array(out) + 0.5 + 1e-9) if rounded else np.array(out)
+
+    return np.swapaxes(axis(np.swapaxes(axis(np.swapaxes(a, 0, 1), width), 0, 1), height), 0, 0)
+
+
+@pytest.mark.parametrize("size", [(3, 2), (11, 7), (40, 3), (5, 90), (61, 70), (25, 20), (1, 1)])
+def test_resample_matches_definition(spark, size):
+    rng = np.random.default_rng(4)
+    d = rng.normal(size=(20, 25))
+    c = rng.integers(0, 256, (20, 25, 3))
+    got = {r.v: r.depth for r in resample(raster(spark, d), size).collect()}
+    assert np.allclose([got[v] for v in range(size[1])], plain_resample(d, *size, False))
+    rows = spark.createDataFrame([("k", 0, v, r.tolist()) for v, r in enumerate(c)], "cap string, frame int, v int, rgb array<array<short>>")
+    wanted = spark.createDataFrame([("k", 0, *size)], "cap string, frame int, width int, height int")
+    got = {r.v: r.rgb for r in resample(rows, wanted, "cap", "rgb").collect()}
+    assert np.array_equal([got[v] for v in range(size[1])], plain_resample(c, *size, True))
+
+
+def test_resample_agrees_with_upsample(spark):
+    d = np.random.default_rng(5).normal(size=(6, 5))
+    a, b = (sorted((r.v, r.depth) for r in f.collect()) for f in (resample(raster(spark, d), (13, 17)), depth.upsample(raster(spark, d), 13, 17)))
+    assert [v for v, _ in a] == [v for v, _ in b] and np.allclose([r for _, r in a], [r for _, r in b])
+
+
+def test_resample_missing_pixels_and_rows(spark):
+    schema = "frame int, v int, rgb array<array<short>>"
+    px = [[[9, 9, 9], [3, 3, 3], None, [5, 5, 5]], [[1, 1, 1]] * 4, [[7, 7, 7]] * 4]
+    rows = spark.createDataFrame([(0, v, r) for v, r in zip((0, 1, 5), px)], schema)  # rows 2 to 4 are absent
+    got = {r.v: r.rgb for r in resample(rows, (2, 6), column="rgb").collect()}
+    assert sorted(got) == [0, 1, 5] and got[5] == [[7, 7, 7], [7, 7, 7]] and got[0][1] == [None] * 3
+    ragged = spark.createDataFrame([(0, 0, [[1, 1, 1]]), (0, 1, [[1, 1, 1]] * 2)], schema)
+    with pytest.raises(Exception, match="differ in width"):
+        resample(ragged, (1, 1), column="rgb").collect()
+    assert resample(rows.limit(0), (2, 2), column="rgb").count() == 0
+
+
+def test_colours_of_another_size_raise_or_are_resampled(spark):
+    d = np.full((4, 6), 2.0)
+    posed = spark.createDataFrame([(0, 0, 1.0, 1.0, 0.0, 0.0, 6, 4)], "frame int, image_id long, fl_x double, fl_y double, cx double, cy double, width int, height int")
+    posed = posed.withColumns({f"c2w_{k}": F.lit(1.0 if k in ("r00", "r11", "r22") else 0.0) for k in
+                               ("r00", "r01", "r02", "t0", "r10", "r11", "r12", "t1", "r20", "r21", "r22", "t2")})
+    tall = np.arange(8 * 6 * 3).reshape(8, 6, 3) % 256
+    colors = spark.createDataFrame([(0, v, r.tolist()) for v, r in enumerate(tall)], "frame int, v int, rgb array<array<short>>")
+    with pytest.raises(Exception, match="differ in size"):  # as wide, but twice as high
+        depth.backproject(raster(spark, d), posed, 4.0, color_rows=colors).collect()
+    rows = raster(spark, d).withColumn("conf", F.transform("depth", lambda _: F.lit(1.0)))
+    cloud = jobs.build_init_cloud(rows, posed, colors, step=1, max_points=None).collect()
+    want = plain_resample(tall, 6, 4, True)
+    assert len(cloud) == 24
+    for r in cloud:
+        v, u = (r.point_id >> 16) & 0xFFFF, r.point_id & 0xFFFF
+        assert [r.red, r.green, r.blue] == list(want[v, u])
