@@ -91,7 +91,7 @@ def test_basis_is_that_of_the_dense_matrix(spark):
         for t, x in zip(p, w):
             if t >= 0:
                 dense[k, t] += x / norm
-    texts = dec.map_arrow(docs.selectExpr("doc_id", "doc_id as row", "text"), dec._term_ids(held.terms), "doc_id long, row long, ids binary")
+    texts = dec.map_arrow(docs.selectExpr("doc_id", "doc_id as row", "text"), dec._term_ids(held.terms), dec._PACKS)
     found = dec.map_arrow(texts, dec._document_frequency, "term int, n long").groupBy("term").sum("n").collect()
     assert {r[0]: r[1] for r in found} == counts
     basis = dec.latent_basis(texts, weights, rank=20)
@@ -123,4 +123,119 @@ def test_exact_copies_in_a_large_corpus():
     for k, item in enumerate(held.items):
         for before in range(37, 45):
             ids = np.concatenate([np.full(before, -1), item, np.full(50, -1)]).astype(np.int32)
-            assert {(i, common) for i, _, common, *_ in search.of(ids) if i == k} == {(k, 1.0)}
+            pack = dec._Pack(np.array([3, len(ids), 0]), np.append(np.array([0, -1, 2], np.int32), ids))
+            assert {(t, i, common) for t, i, _, common, *_ in search.of(pack) if i == k} == {(1, k, 1.0)}
+
+
+def search_over(items, texts, rank=24):
+    """A search of ``items`` with weights and a basis that are counted from ``texts``, in one place."""
+    held = dec.Benchmark(list(enumerate(items)))
+    ids = [np.array([held.terms.get(w, -1) for w in dec.words_of(t)], np.int32) for t in texts]
+    passages = [i[k : k + dec.PASSAGE] for i in ids for k in range(0, len(i), dec.PASSAGE)]
+    counts = {-1: len(passages)}
+    for p in passages:
+        for t in set(p.tolist()) - {-1}:
+            counts[t] = counts.get(t, 0) + 1
+    weights = dec.Weights(held, counts)
+    dense = np.zeros((len(passages), len(held.terms)))
+    for k, p in enumerate(passages):
+        np.add.at(dense[k], p[p >= 0], weights.of(p[p >= 0]))
+    basis = np.linalg.svd(dense, full_matrices=False)[2][:rank].T.astype(np.float32)
+    return dec._Search(held, weights, basis), ids
+
+
+def plain_search(search, ids):
+    """Every item at every place of one text: windows by their cosine, runs by their words, then the full subsequences."""
+    out = {}
+    for item, words in enumerate(search.benchmark.items):
+        width, places = int(search.width[item]), []
+        for start in range(0, max(1, len(ids) - width + dec.STEP), dec.STEP):
+            near = ids[start : start + width]
+            near = near[near >= 0]
+            x = (search.weights.of(near)[:, None] * search.basis[near]).sum(axis=0)
+            if x @ search.latent[item] >= dec.COSINE * np.linalg.norm(x) > 0:
+                places.append((start, width))
+        run = min(dec.RUN, len(words))
+        for a in range(len(words) - run + 1 if run else 0):
+            for p in range(len(ids) - run + 1):
+                if (ids[p : p + run] == words[a : a + run]).all():
+                    places.append((p - a, len(words)))
+        answer, margin = search.benchmark.answers[item], max(dec.STEP, len(words) // 2)
+        for start, width in places:
+            near = ids[max(0, start - margin) : max(0, start + width + margin)].tolist()
+            common = plain_subsequence(words.tolist(), near) / len(words)
+            ends = plain_subsequence(words.tolist()[len(words) - answer :], near) / max(1, answer) if answer else 0.0
+            if common >= dec.COPY or (common >= dec.PARAPHRASE and ends >= dec.ANSWER):
+                out[item] = max(out.get(item, (0, 0)), (common, ends))
+    return out
+
+
+def test_search_against_all_places_of_all_items():
+    draw = random.Random(12)
+    common = ["the", "of", "and", "to", "in"]
+    vocabulary = common * 20 + ["".join(draw.choices("abcdefgh", k=5)) for _ in range(120)]
+    item = lambda n: " ".join(draw.choices(vocabulary, k=n)) + ". " + " ".join(draw.choices(vocabulary, k=4)) + "."
+    items = [item(n) for n in (1, 3, 10, 14, 20, 28, 40, 60, 5, 9)] + ["the of and to in", "...", "the " * 30]
+    texts = ["", "the", " ".join(draw.choices(vocabulary, k=300))]
+    for _ in range(24):
+        words = draw.choices([*vocabulary, *(f"other{k}" for k in range(60))], k=draw.randrange(0, 160))
+        planted = draw.choice(items).split()
+        for k in draw.sample(range(len(planted)), int(len(planted) * draw.choice([0, 0.1, 0.3, 0.5]))):
+            planted[k] = draw.choice(vocabulary)
+        at = draw.randrange(len(words) + 1)
+        texts.append(" ".join(words[:at] + planted + words[at:]))
+    search, ids = search_over(items, texts)
+    pack = dec._Pack(np.array([len(i) for i in ids]), np.concatenate(ids))
+    got = {(t, i): found for t, i, _, *found, _ in search.of(pack)}
+    want = {(t, i): found for t, own in enumerate(ids) for i, found in plain_search(search, own).items()}
+    assert len(want) > 15 and set(got) == set(want)
+    for pair, found in want.items():
+        assert tuple(np.round(got[pair], 9)) == tuple(np.round(found, 9)) or got[pair][0] == 1.0
+
+
+def paraphrase_recall(changed, seed=3):
+    """Share of planted paraphrases found when this share of an item's words (but for its answer) is replaced."""
+    draw = random.Random(seed)
+    vocabulary = ["".join(draw.choices("abcdefghijklmnop", k=draw.randrange(3, 9))) for _ in range(900)]
+    items, texts = [], []
+    for k in range(120):
+        head = draw.choices(vocabulary, k=draw.randrange(15, 60))
+        tail = " ".join(draw.choices(vocabulary, k=6))
+        items.append(" ".join(head) + ". " + tail + ".")
+        for p in draw.sample(range(len(head)), int(changed * len(head))):
+            head[p] = draw.choice(vocabulary)
+        around = draw.choices([*vocabulary, *(f"other{j}" for j in range(900))], k=300)
+        texts.append(" ".join(around[:150] + head) + ". " + tail + ". " + " ".join(around[150:]))
+    search, ids = search_over(items, texts, rank=128)
+    pack = dec._Pack(np.array([len(i) for i in ids]), np.concatenate(ids))
+    found = {(t, i) for t, i, *_ in search.of(pack)}
+    leaks = [k for k, own in enumerate(ids) if k in plain_leaks(search, own, k)]
+    return sum((k, k) in found for k in leaks) / len(leaks), len(leaks)
+
+
+def plain_leaks(search, ids, item):
+    """The item, if its words and answer are in the text's planted place at all."""
+    words, answer = search.benchmark.items[item], search.benchmark.answers[item]
+    common = plain_subsequence(words.tolist(), ids[140:240].tolist()) / len(words)
+    ends = plain_subsequence(words.tolist()[len(words) - answer :], ids[140:240].tolist()) / max(1, answer)
+    return {item} if common >= dec.COPY or (common >= dec.PARAPHRASE and ends >= dec.ANSWER) else set()
+
+
+def test_paraphrase_recall():
+    for changed in (0.1, 0.2, 0.3, 0.4, 0.5):
+        recall, n = paraphrase_recall(changed)
+        print(f"words changed {changed:.0%}: recall {recall:.3f} of {n}")
+        assert n > 20 and recall >= 0.9
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    """A benchmark above the bounds is searched block by block, with the leaks of one search."""
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = bench.selectExpr("item_id AS i", "text AS t").orderBy("i")
+    sizes = [(len(b.ids), sum(map(len, b.items))) for b in dec.blocks_of(items, 11, 300)]
+    assert len(sizes) > 4 and sum(n for n, _ in sizes) == bench.count()
+    assert all(n <= 11 and (words <= 300 or n == 1) for n, words in sizes)
+    want = {(r.doc_id, r.item_id) for r in dec.find_leaks(docs, bench).collect()}
+    blocks = dec.blocks_of
+    monkeypatch.setattr(dec, "blocks_of", lambda df: blocks(df, 16, 10000))
+    assert {(r.doc_id, r.item_id) for r in dec.find_leaks(docs, bench).collect()} == want
