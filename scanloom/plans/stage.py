@@ -18,6 +18,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a row group: what a task that writes long rows holds back before it goes to the file.
+ROW_GROUP = 32 << 20
 _local_dirs: dict[str, str] = {}
 
 
@@ -69,7 +71,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return a DataFrame that scans the written files."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
