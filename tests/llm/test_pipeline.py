@@ -19,8 +19,8 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+def test_all_operators_and_the_pipeline_are_registered():
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
@@ -78,3 +78,11 @@ def test_all_stages_take_awkward_tables(spark, texts):
         docs = docs_of(spark, texts, [None, 1, 1, *range(3, len(texts))] if texts else None)
         got = fn(spark, docs, SF)
         assert got.count() >= bool(texts) and (name == "packing" or got.columns == docs.columns)
+
+
+def test_pipelines_over_two_inputs_keep_their_tables(spark):
+    """A stage over one folder leaves the tables of another folder's pipeline alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = corpus_pipeline.without_leaks(spark, docs, SF)
+    corpus_pipeline.without_leaks(spark, docs, "/root/testdata/sf0.01").count()
+    assert 0 < first.count() <= docs.count()
