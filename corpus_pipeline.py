@@ -22,22 +22,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.llm import decontamination, packing, quality, simhash, suffixes
-from scanloom.llm.common import free_name, table, with_rows
+from scanloom.llm.common import free_name, settings, table, with_rows
 from scanloom.plans.stage import recorded, remove, stage
 
 
-_spent: list[str] = []
+#: Rows with long texts go to Python in batches of this many bytes at most.
+BATCH_BYTES = 8 << 20
+#: Tables of the last stage of a pipeline, by application and folder of the input.
+_spent: dict[tuple[str, str], list[str]] = {}
 
 
 def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """Drop the tables that the stage before staged inside: its result has been written when this one begins."""
+    """Drop the tables that the stage before staged inside: its result has been written when this one begins.
+
+    Stages over other folders keep theirs, so pipelines over several inputs do not disturb each other.
+    """
 
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _spent)
-        with recorded() as paths:
+        key = spark.sparkContext.applicationId, sf_dir
+        remove(spark, _spent.pop(key, []))
+        with recorded() as paths, settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
             out = fn(spark, docs, sf_dir)
-        _spent[:] = paths
+        _spent[key] = paths
         return out
 
     return run_stage
