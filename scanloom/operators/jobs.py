@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -22,6 +23,7 @@ from scanloom.operators.resample import resample
 from scanloom.operators.sample import sample_exact
 from scanloom.operators.voxel import voxel_to_target
 from scanloom.plans.stage import as_keys, attach, stage
+from scanloom.sources.captures import write_captures
 from scanloom.sources.files import list_inputs
 
 CLOUD_TARGET = 500_000
@@ -93,6 +95,42 @@ def prune_files(
     kept.drop("path", "point_id").write.format("ply").mode("overwrite").option("headerFrom", head).save(target)
 
 
+def prune_captures(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    threshold: float = MIN_OPACITY,
+    sigma: float = PRUNE_SIGMA,
+    records_per_file: int | None = None,
+    overwrite: bool = True,
+) -> DataFrame:
+    """Prune every splat file below ``source`` by itself, to a file of the same name and header below ``target``.
+
+    Returns name, n_source, n_kept, pct_kept and n_files, a row per input file; one
+    with no row left becomes a file without vertices. Order of rows, properties and comments
+    stay those of the input file.
+    """
+    inputs = [p for p, _ in list_inputs(source, ".ply")]
+    if not inputs:
+        raise FileNotFoundError(f"no point file in {source}")
+    root = len(os.path.commonpath(inputs)) + 1 if len(inputs) > 1 else inputs[0].rindex("/") + 1
+    full = spark.read.format("ply").load(source)
+    used = [f for f in full.schema.fields if f.name in ("path", "opacity", *AXES)]
+    thin = spark.read.format("ply").schema(StructType(used)).load(source)
+    thin = stage(prune_opacity(thin, threshold), "thin")
+    kept = prune(full, threshold, sigma, ["path"], stats_from=thin)
+    name = F.substring("path", root + 1, 1 << 16)
+    expected = spark.createDataFrame([(p,) for p in inputs], "path string").select(name.alias("name"), F.col("path").alias("header"))
+    files = write_captures(
+        kept, target, name, header=F.col("path"), expected=expected, records_per_file=records_per_file, overwrite=overwrite
+    )
+    found = files.groupBy("name").agg(
+        F.max("n_source").alias("n_source"), F.sum("n_kept").alias("n_kept"), F.count("*").alias("n_files")
+    )
+    share = F.when(F.col("n_source") > 0, F.col("n_kept") * 100.0 / F.col("n_source"))
+    return found.select("name", "n_source", "n_kept", share.alias("pct_kept"), "n_files")
+
+
 @dataclass
 class FusedDepth:
     """Result of a depth fusion: the coloured cloud, one bounds row per group, and the points found and kept per frame."""

@@ -14,7 +14,7 @@ from scanloom.plans.queries_frames import FRAME_SQL, _captured_cameras, model_fr
 from scanloom.plans.queries_splat import SPLAT_COLS, _PRUNED, _chain
 from scanloom.plans.registry import query
 from scanloom.plans.stage import new_path
-from scanloom.sources import documents, images, npy, ply, sparse_model, xmp
+from scanloom.sources import captures, documents, images, npy, ply, sparse_model, xmp
 
 F32 = "CAST(CAST({0} AS FLOAT) AS DOUBLE)"
 XYZ32 = ", ".join(f"{F32.format(a)} AS {a}" for a in "xyz")
@@ -41,6 +41,44 @@ def _(spark, sf):
     return spark.read.format("ply").load(path).select("x", "y", "z", "opacity", "scale_0")
 
 
+def _splat_files(spark, sf) -> str:
+    """A splat file per capture."""
+    sources.register(spark)
+    path = new_path(spark, "splats")
+    name = F.concat(F.lit("capture="), F.col("capture").cast("string"), F.lit("/splat.ply"))
+    g = view(spark, sf, "gaussians")
+    captures.write_captures(g.select("capture", *[c for c in g.columns if c != "capture"]).withColumn("label", F.col("point_id")), path, name)
+    return path
+
+
+@query(
+    "prune_files_per_capture",
+    "capture point_id ~x ~y ~z ~opacity ~scale_0 ~scale_1 ~scale_2",
+    "gaussians",
+    _chain("gaussians", 5, _PRUNED) + " SELECT * FROM k3",
+)
+def _(spark, sf):
+    source, target = _splat_files(spark, sf), new_path(spark, "pruned")
+    jobs.prune_captures(spark, source, target, records_per_file=20)
+    rows = spark.read.format("ply").load(target)
+    own = F.regexp_extract("path", r"capture=(\d+)/splat[-0-9]*\.ply$", 1).cast("int")
+    return rows.withColumn("capture", own).withColumn("point_id", F.col("label"))
+
+
+@query(
+    "prune_files_retention",
+    "name n_source n_kept ~pct_kept",
+    "gaussians",
+    _chain("gaussians", 2, _PRUNED)
+    + """ SELECT concat('capture=', capture, '/splat.ply') AS name, n AS n_source, coalesce(k, 0) AS n_kept,
+            coalesce(k, 0) * 100.0 / n AS pct_kept
+          FROM (SELECT capture, count(*) AS n FROM gaussians GROUP BY capture) a
+          LEFT JOIN (SELECT capture, count(*) AS k FROM k3 GROUP BY capture) b USING (capture)""",
+)
+def _(spark, sf):
+    return jobs.prune_captures(spark, _splat_files(spark, sf), new_path(spark, "pruned"), sigma=2.0)
+
+
 @query(
     "ply_catalog",
     "format n n_properties has_color has_normals is_splat",

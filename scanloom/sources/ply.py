@@ -186,6 +186,56 @@ class _PlyReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays, names)
 
 
+# The property type that a column gets by itself.
+_DEFAULT_KIND = {"float": "float", "double": "double", "tinyint": "char", "smallint": "short", "int": "int", "bigint": "uint"}
+
+
+def default_properties(schema: T.StructType, types: dict[str, str]) -> list[tuple[str, str]]:
+    """Vertex properties for the columns of ``schema``; ``types`` names those that are not to follow the column."""
+    out = []
+    for f in schema.fields:
+        if f.name in _META:
+            continue
+        kind = types.get(f.name)
+        if kind is None:
+            kind = "uchar" if f.name in COLOUR_CHANNELS else _DEFAULT_KIND.get(f.dataType.simpleString())
+        if kind is None:
+            raise ValueError(f"column {f.name} of type {f.dataType.simpleString()} cannot be a vertex property")
+        out.append((f.name, kind))
+    return out
+
+
+def comments_of(header: PlyHeader) -> list[str]:
+    return [s for s in header.lines if s.split()[:1] in (["comment"], ["obj_info"])]
+
+
+def header_bytes(count: int, properties: list[tuple[str, str]], comments: list[str]) -> bytes:
+    lines = ["ply", "format binary_little_endian 1.0", *comments, f"element vertex {count}"]
+    lines += [f"property {kind} {name}" for name, kind in properties]
+    return ("\n".join([*lines, "end_header"]) + "\n").encode("ascii")
+
+
+def record_type(properties: list[tuple[str, str]]) -> np.dtype:
+    return np.dtype([(n, "<" + PROPERTY_TYPES[k][0]) for n, k in properties])
+
+
+def pack_records(batch: pa.RecordBatch, dtype: np.dtype) -> np.ndarray:
+    """Rows as packed records; nulls, and values that do not fit their property, raise."""
+    out = np.empty(batch.num_rows, dtype=dtype)
+    for name in dtype.names or ():
+        column = batch.column(batch.schema.get_field_index(name))
+        if column.null_count:
+            raise ValueError(f"column {name} holds nulls, a point file cannot")
+        values = column.to_numpy(zero_copy_only=False)
+        kind = dtype[name]
+        if kind.kind in "iu" and len(values):
+            limits = np.iinfo(kind)
+            if values.min() < limits.min or values.max() > limits.max:
+                raise ValueError(f"column {name} holds values outside the range of its property type")
+        out[name] = values
+    return out
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     name: str
@@ -207,55 +257,18 @@ class _PlyWriter(DataSourceArrowWriter):
             head = read_header(source)
             types = {**dict(head.properties), **types}
             self.order = [n for n, _ in head.properties]
-            self.comments = [s for s in head.lines if s.split()[:1] in (["comment"], ["obj_info"])]
-        default = {
-            "float": "float",
-            "double": "double",
-            "tinyint": "char",
-            "smallint": "short",
-            "int": "int",
-            "bigint": "uint",
-        }
-        self.properties = []
-        for f in schema.fields:
-            if f.name in _META:
-                continue
-            kind = types.get(f.name)
-            if kind is None:
-                kind = "uchar" if f.name in COLOUR_CHANNELS else default.get(f.dataType.simpleString())
-            if kind is None:
-                raise ValueError(f"column {f.name} of type {f.dataType.simpleString()} cannot be a vertex property")
-            self.properties.append((f.name, kind))
+            self.comments = comments_of(head)
+        self.properties = default_properties(schema, types)
         if self.order is not None:
             have = {n for n, _ in self.properties}
             if have != set(self.order):
                 raise ValueError(f"columns {sorted(have)} do not match the header of {source}")
             self.properties.sort(key=lambda p: self.order.index(p[0]))
 
-    def _header(self, count: int) -> bytes:
-        lines = ["ply", "format binary_little_endian 1.0", *self.comments, f"element vertex {count}"]
-        lines += [f"property {kind} {name}" for name, kind in self.properties]
-        return ("\n".join([*lines, "end_header"]) + "\n").encode("ascii")
-
-    def _pack(self, batch: pa.RecordBatch, dtype: np.dtype) -> np.ndarray:
-        out = np.empty(batch.num_rows, dtype=dtype)
-        for name, _ in self.properties:
-            column = batch.column(batch.schema.get_field_index(name))
-            if column.null_count:
-                raise ValueError(f"column {name} holds nulls, a point file cannot")
-            values = column.to_numpy(zero_copy_only=False)
-            kind = dtype[name]
-            if kind.kind in "iu" and len(values):
-                limits = np.iinfo(kind)
-                if values.min() < limits.min or values.max() > limits.max:
-                    raise ValueError(f"column {name} holds values outside the range of its property type")
-            out[name] = values
-        return out
-
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        dtype = np.dtype([(n, "<" + PROPERTY_TYPES[k][0]) for n, k in self.properties])
+        dtype = record_type(self.properties)
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         attempt = context.taskAttemptId() if context else 0
@@ -264,7 +277,7 @@ class _PlyWriter(DataSourceArrowWriter):
         fs, inner = resolve(self.dir)
         with tempfile.TemporaryFile() as body:
             for batch in iterator:
-                body.write(self._pack(batch, dtype).tobytes())
+                body.write(pack_records(batch, dtype).tobytes())
                 count += batch.num_rows
             if count == 0:
                 return _Written("", 0)
@@ -272,7 +285,7 @@ class _PlyWriter(DataSourceArrowWriter):
             fs.create_dir(staging, recursive=True)
             body.seek(0)
             with fs.open_output_stream(f"{staging}/{name}") as out:
-                out.write(self._header(count))
+                out.write(header_bytes(count, self.properties, self.comments))
                 while chunk := body.read(8 << 20):
                     out.write(chunk)
         return _Written(name, count)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scanloom.operators import catalog, jobs
 from scanloom.plans.materialize import png
 from scanloom.plans.stage import stage, work_dir
-from scanloom.sources import documents, images, npy, ply, sparse_model, xmp
+from scanloom.sources import captures, documents, images, npy, ply, sparse_model, xmp
 from scanloom.streaming.intake import process_new
 
 RNG = np.random.default_rng(3)
@@ -311,3 +311,92 @@ def test_append_keeps_the_manifest(spark, tmp_path):
         df.coalesce(1).write.format("ply").mode("append").save(str(tmp_path / "out"))
     manifest = json.load(open(tmp_path / "out" / "_manifest.json"))
     assert manifest["count"] == 20 and len(manifest["files"]) == 2
+
+
+def splats(tmp_path, sizes, comment="comment made by {}"):
+    """Splat files in folders of their own; every second one has its properties in another order and opacity as a double."""
+    files = {}
+    for i, n in enumerate(sizes):
+        folder = tmp_path / f"c{i}"
+        folder.mkdir(parents=True)
+        kinds = {c: "f4" for c in ("x", "y", "z", "opacity", "scale_0")}
+        order = list(kinds) if i % 2 == 0 else ["scale_0", "z", "y", "x", "opacity"]
+        rows = RNG.normal(size=(n, 5)) * [1, 2, 3, 4, 1] + i
+        data = np.array([tuple(r) for r in rows], dtype=[(c, "<f4") for c in order])
+        lines = ["ply", "format binary_little_endian 1.0", comment.format(i), f"element vertex {n}"]
+        lines += [f"property float {c}" for c in order] + ["end_header"]
+        (folder / "splat.ply").write_bytes(("\n".join(lines) + "\n").encode() + data.tobytes())
+        files[f"c{i}/splat.ply"] = data
+    return files
+
+
+def kept_rows(data, sigma):
+    op = data["opacity"].astype(float)
+    mask = 1 / (1 + np.exp(-op)) >= 0.15
+    for a in "xyz":
+        v = data[a].astype(float)
+        mask &= np.abs(v - v[mask].mean()) <= sigma * v[mask].std()
+    return data[mask]
+
+
+def test_prune_captures_keeps_names_headers_and_order(spark, tmp_path):
+    files = splats(tmp_path / "in", [900, 40, 300])
+    found = {r.name: r for r in jobs.prune_captures(spark, str(tmp_path / "in"), str(tmp_path / "out"), 0.15, 2.0).collect()}
+    assert set(found) == set(files)
+    for i, (name, data) in enumerate(files.items()):
+        want = kept_rows(data, 2.0)
+        raw = (tmp_path / "out" / name).read_bytes()
+        head = ply.parse_header(raw)
+        assert f"comment made by {i}" in head.lines and [p for p, _ in head.properties] == list(data.dtype.names)
+        assert head.count == len(want) == found[name].n_kept and found[name].n_source == len(data)
+        assert raw[head.offset :] == want.tobytes()  # records and their order untouched
+    listed = [json.loads(s) for f in (tmp_path / "out" / "_manifest").glob("part-*") for s in f.read_text().splitlines()]
+    assert sorted(e["file"] for e in listed) == sorted(files)
+    assert [p for p in (tmp_path / "out").rglob("*") if p.is_file() and "_temporary" in p.parts] == []
+
+
+def test_large_captures_are_continued_in_further_files(spark, tmp_path):
+    files = splats(tmp_path / "in", [5000, 10])  # one capture has nearly all rows
+    target = tmp_path / "out"
+    found = {r.name: r for r in jobs.prune_captures(spark, str(tmp_path / "in"), str(target), 0.15, 3.0, records_per_file=256).collect()}
+    want = kept_rows(files["c0/splat.ply"], 3.0)
+    parts = sorted((target / "c0").glob("splat-*.ply"))
+    assert len(parts) == found["c0/splat.ply"].n_files == -(-len(want) // 256)
+    heads = [ply.parse_header(p.read_bytes()) for p in parts]
+    assert [h.count for h in heads[:-1]] == [256] * (len(parts) - 1)
+    assert b"".join(p.read_bytes()[h.offset :] for p, h in zip(parts, heads)) == want.tobytes()
+
+
+def test_captures_without_rows_and_overwriting(spark, tmp_path):
+    files = splats(tmp_path / "in", [50, 60])
+    faint = files["c1/splat.ply"]
+    faint["opacity"] = -50
+    path = tmp_path / "in" / "c1" / "splat.ply"
+    head = ply.parse_header(path.read_bytes())
+    path.write_bytes(path.read_bytes()[: head.offset] + faint.tobytes())
+    target = tmp_path / "out"
+    target.mkdir()
+    (target / "old.ply").write_bytes(b"ply\n")
+    with pytest.raises(FileExistsError):
+        jobs.prune_captures(spark, str(tmp_path / "in"), str(target), overwrite=False)
+    found = {r.name: r for r in jobs.prune_captures(spark, str(tmp_path / "in"), str(target)).collect()}
+    assert found["c1/splat.ply"].n_kept == 0 and found["c1/splat.ply"].pct_kept == 0 and not (target / "old.ply").exists()
+    empty = ply.parse_header((target / "c1" / "splat.ply").read_bytes())
+    assert empty.count == 0 and "comment made by 1" in empty.lines
+    again = {r.name: r for r in jobs.prune_captures(spark, str(tmp_path / "in"), str(target)).collect()}
+    assert again == found
+    rows = spark.read.format("ply").load(str(target))
+    assert rows.count() == found["c0/splat.ply"].n_kept
+    # an input that is one file alone
+    alone = jobs.prune_captures(spark, str(tmp_path / "in" / "c0" / "splat.ply"), str(tmp_path / "alone")).collect()
+    assert [r.name for r in alone] == ["splat.ply"]
+
+
+def test_captures_refuse_values_that_do_not_fit(spark, tmp_path):
+    df = spark.createDataFrame([("a.ply", 0, 300, 1.0), ("a.ply", 1, 5, None)], "name string, point_id long, red int, x double")
+    with pytest.raises(Exception, match="outside the range"):
+        captures.write_captures(df.where("point_id = 0").drop("name"), str(tmp_path / "a"), F.lit("a.ply")).collect()
+    with pytest.raises(Exception, match="holds nulls"):
+        captures.write_captures(df.where("point_id = 1").drop("name"), str(tmp_path / "b"), F.lit("a.ply")).collect()
+    none = captures.write_captures(df.limit(0).drop("name"), str(tmp_path / "c"), F.lit("a.ply"))
+    assert none.count() == 0
