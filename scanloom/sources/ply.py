@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +18,16 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    In,
     InputPartition,
     WriterCommitMessage,
 )
 
 from scanloom.plans.ship import ship_package
 from scanloom.sources.files import SPLIT_BYTES, list_inputs, open_input, resolve
+from scanloom.sources.zones import Bounds, bounds_of, ranges
 
 # Property types of the format, as NumPy code and Spark type.
 PROPERTY_TYPES: dict[str, tuple[str, T.DataType]] = {
@@ -143,10 +147,23 @@ class _PlyReader(DataSourceReader):
         self.suffix = options.get("suffix", ".ply")
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.fields = [(f.name, f.dataType) for f in schema.fields]
+        self.bounds: dict[str, Bounds] = {}
+        self.paths: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Take number bounds and file names from the filters; Spark still evaluates all of them."""
+        self.bounds = bounds_of(filters)
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("path",):
+                named = set(f.value if isinstance(f, In) else [f.value])
+                self.paths = named if self.paths is None else self.paths & named
+        return filters
 
     def partitions(self) -> list[InputPartition]:
         splits = []
         for path, size in list_inputs(self.path, self.suffix):
+            if self.paths is not None and path not in self.paths:
+                continue
             parts = max(1, -(-size // self.split_bytes))
             splits += [_Split(path, i, parts, size) for i in range(parts)]
         return splits or [_Split("", 0, 0, 0)]
@@ -165,20 +182,27 @@ class _PlyReader(DataSourceReader):
             raise ValueError(f"{split.path}: {header.count} vertices announced, file is too short")
         first = header.count * split.part // split.parts
         last = header.count * (split.part + 1) // split.parts
+        bounds = {n: b for n, b in self.bounds.items() if n in kinds}
         with open_input(split.path) as f:
-            f.seek(header.offset + first * header.stride)
-            for start in range(first, last, _BATCH_ROWS):
-                n = min(_BATCH_ROWS, last - start)
-                rows = np.frombuffer(f.read(n * header.stride), dtype=header.dtype, count=n)
-                yield self._batch(split.path, start, rows)
-
-    def _batch(self, path: str, start: int, rows: np.ndarray) -> pa.RecordBatch:
+            for low, high in ranges(split.path, first, last, self.bounds):
+                f.seek(header.offset + low * header.stride)
+                for start in range(low, high, _BATCH_ROWS):
+                    n = min(_BATCH_ROWS, high - start)
+                    rows = np.frombuffer(f.read(n * header.stride), dtype=header.dtype, count=n)
+                    ids = np.arange(start, start + n, dtype=np.int64)
+                    if bounds:
+                        keep = np.logical_and.reduce([b.rows(rows[c]) for c, b in bounds.items()])
+                        rows, ids = rows[keep], ids[keep]
+                    if len(ids):
+                        yield self._batch(split.path, ids, rows)
+
+    def _batch(self, path: str, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
         arrays, names = [], []
         for name, kind in self.fields:
             if name == "path":
                 arrays.append(pa.array([path] * len(rows), pa.string()))
             elif name == "point_id":
-                arrays.append(pa.array(np.arange(start, start + len(rows), dtype=np.int64)))
+                arrays.append(pa.array(ids))
             else:
                 target = _ARROW[kind]
                 arrays.append(pa.array(rows[name].astype(target.to_pandas_dtype()), target))
@@ -326,6 +350,9 @@ class PlySource(DataSource):
     The schema is that of the first file; a file without a wanted property, or with
     another type, fails the read. ``.schema(...)`` with fewer columns reads only
     those. Files are cut into ranges of whole records (option ``splitBytes``).
+    Filters that compare columns with numbers, or ``path`` with names, reach the
+    source: it leaves out files and rows, and blocks of records where ``zones.write_zone_maps``
+    has left a sidecar.
 
     ``df.write.format("ply").save(dir)`` writes one standalone file per task and
     ``_manifest.json``. Options: ``headerFrom``, a file whose comments, property

@@ -8,11 +8,12 @@ import struct
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual
 
 from scanloom.operators import catalog, jobs
 from scanloom.plans.materialize import png
 from scanloom.plans.stage import stage, work_dir
-from scanloom.sources import captures, documents, images, npy, ply, sparse_model, xmp
+from scanloom.sources import captures, documents, images, npy, ply, sparse_model, xmp, zones
 from scanloom.streaming.intake import process_new
 
 RNG = np.random.default_rng(3)
@@ -400,3 +401,92 @@ def test_captures_refuse_values_that_do_not_fit(spark, tmp_path):
         captures.write_captures(df.where("point_id = 1").drop("name"), str(tmp_path / "b"), F.lit("a.ply")).collect()
     none = captures.write_captures(df.limit(0).drop("name"), str(tmp_path / "c"), F.lit("a.ply"))
     assert none.count() == 0
+
+
+class _Counted:
+    """A file that counts what is read from it."""
+
+    def __init__(self, path, total):
+        self.file, self.total = open(path, "rb"), total
+
+    def read(self, n):
+        self.total[0] += n
+        return self.file.read(n)
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+
+def scan(path, monkeypatch, filters, columns=None):
+    """Rows and bytes of one file, read in this process with these filters."""
+    total = [0]
+    header = ply.read_header(path)
+    monkeypatch.setattr(ply, "open_input", lambda p: _Counted(p, total))
+    schema = ply.vertex_schema(header)
+    reader = ply._PlyReader({"path": path}, schema)
+    assert list(reader.pushFilters(filters)) == filters
+    rows = [r for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
+    return rows, total[0]
+
+
+def test_filters_skip_blocks_by_zone_maps(spark, tmp_path, monkeypatch):
+    n = 10 * zones.BLOCK_ROWS + 77
+    x = np.sort(RNG.normal(size=n))
+    op = np.where(np.arange(n) < 3 * zones.BLOCK_ROWS, -9.0, RNG.normal(size=n))
+    op[5] = np.nan
+    p = str(tmp_path / "big.ply")
+    data = write_file(p, [("x", "f8"), ("opacity", "f4"), ("k", "i2")], list(zip(x, op, np.arange(n) % 100)))
+    cases = [
+        [GreaterThan(("x",), 1.5)],
+        [LessThanOrEqual(("x",), -2.0), GreaterThanOrEqual(("opacity",), -8.0)],
+        [GreaterThanOrEqual(("opacity",), -1.0)],
+        [EqualTo(("k",), 7), LessThan(("x",), 0.0)],
+        [In(("k",), (7, 1000)), GreaterThan(("point_id",), 150000)],
+        [EqualTo(("k",), 1000)],
+        [IsNotNull(("x",))],
+    ]
+
+    def right(f, rows):
+        values = np.array([r[f.attribute[0]] for r in rows], float) if isinstance(rows, list) else rows(f.attribute[0])
+        if isinstance(f, IsNotNull):
+            return np.ones(len(values), bool)
+        ops = {GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal, EqualTo: np.equal}
+        if isinstance(f, In):
+            return np.isin(values, f.value)
+        return ops[type(f)](values, f.value) | (np.isnan(values) & isinstance(f, (GreaterThan, GreaterThanOrEqual)))
+
+    column = lambda c: np.arange(n) if c == "point_id" else data[c].astype(float)
+    whole = {}
+    for with_zones in (False, True):
+        if with_zones:
+            assert zones.write_zone_maps(spark, p).first().blocks == 11
+        for i, filters in enumerate(cases):
+            rows, read = scan(p, monkeypatch, filters)
+            want = np.flatnonzero(np.logical_and.reduce([right(f, column) for f in filters]))
+            got = [r["point_id"] for r, *ok in zip(rows, *[right(f, rows) for f in filters]) if all(ok)] if rows else []
+            assert got == want.tolist()
+            whole.setdefault(i, read)
+            if with_zones and i in (0, 1, 2):
+                assert read <= 0.85 * whole[i] and (i != 0 or read <= 0.3 * whole[i])
+            assert not with_zones or i != 5 or read <= 8192 and rows == []  # the header alone
+    os.utime(p, ns=(1, 1))  # a changed file makes the sidecar void
+    assert scan(p, monkeypatch, cases[0])[1] == whole[0]
+
+
+def test_filters_through_spark(spark, tmp_path):
+    files = splats(tmp_path / "in", [3000, 200])
+    zones.write_zone_maps(spark, str(tmp_path / "in")).collect()
+    df = spark.read.format("ply").load(str(tmp_path / "in"))
+    some = df.where((F.col("opacity") >= 1.5) & (F.col("x") < 0.25) & (F.col("point_id") < 2000))
+    want = sum(int(((d["opacity"] >= 1.5) & (d["x"] < np.float32(0.25)) & (np.arange(len(d)) < 2000)).sum()) for d in files.values())
+    assert some.count() == want > 0
+    one = df.where(F.col("path").endswith("c1/splat.ply")).select("path").distinct().first()[0]
+    assert df.where(F.col("path") == one).count() == 200
+    assert df.where(F.col("path") == one).rdd.getNumPartitions() == 1
+    assert df.where("x > 1000").count() == 0 and df.where("isnan(x) OR x > 1000").count() == 0
