@@ -20,7 +20,7 @@ MAX_TOKENS = 1024
 END_ID = 0
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pid int, nth long"
 #: Pieces, and ids that go along, per batch that leaves a task.
-_BATCH, _IDS = 20_000, 2_000_000
+_BATCH, _IDS = 20_000, 500_000
 
 
 @lru_cache(maxsize=4)
