@@ -1,6 +1,7 @@
 """Every registered query against DuckDB on the smallest tables."""
 
 import os
+import subprocess
 import sys
 
 import pytest
@@ -9,9 +10,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import __spark_entry__ as contract
 from check_oracle import compare, connect
-from scanloom.plans.registry import QUERIES
+from scanloom.plans.registry import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,26 @@ def test_query_matches_duckdb(spark, con, name):
     assert ok, text
 
 
+@pytest.mark.parametrize("name", ["depth_scale_per_capture", "fusion_with_short_capture", "fusion_bounds"])
+def test_captures_with_and_without_depth(spark, name):
+    """Here every capture has depth; in the smallest tables two have none."""
+    ok, text = compare(spark, connect(LARGER), name, LARGER)
+    assert ok, text
+
+
+@pytest.mark.parametrize("missing", ["tiktoken", "scanloom.llm"])
+def test_entry_loads_without_its_optional_part(missing):
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; "
+        "n = [q for q in e.queries() if q.startswith('op') and q[2].isdigit() or q == 'pipeline']; "
+        "print(len(e.queries()), len(e.oracle_sql()), len(n))"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    queries, oracles, optional = map(int, out.split())
+    assert queries == len(QUERIES) and oracles == len(ORACLES) and optional == 0
+
+
 def test_entry_runs(spark):
     df = contract.entry(spark)
     assert df.columns[:2] == ["capture", "point_id"] and df.count() > 0
