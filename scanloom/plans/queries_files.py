@@ -282,8 +282,8 @@ def _(spark, sf):
     "bounds_documents",
     "capture ~x_min ~z_max ~scale_factor scale_aligned n_pairs",
     FUSE_VIEWS,
-    FUSE_SQL
-    + "SELECT capture, x_min, z_max, scale AS scale_factor, true AS scale_aligned, n_pairs FROM box JOIN sc USING (capture)",
+    FUSE_SQL.format(skip="")
+    + "SELECT capture, x_min, z_max, scale AS scale_factor, true AS scale_aligned, n_pairs FROM sc LEFT JOIN box USING (capture)",
 )
 def _(spark, sf):
     path = new_path(spark, "bounds")
