@@ -1,4 +1,4 @@
-"""Repeated byte strings across documents, by prefix doubling at content-chosen positions.
+"""Repeated byte strings across documents, by ranks of content-chosen positions.
 
 Every position of a text would have to be ranked by its first bytes, then by
 pairs of ranks at growing offsets, until its rank is unique or covers the
@@ -12,9 +12,12 @@ threshold. Positions are dropped as early as that allows:
    of their run. A rank of the pair that a smaller document has too settles the
    whole run; an anchor that no smaller document has is unique, and its run
    drops out.
+   Anchors that would fill a task are counted before; their runs are not dealt
+   but stay open.
 3. Only positions of runs that are open after that (the ends of repeated
    passages) are ranked one by one, by the pair of the ranks of their first and
-   second half; the pair covers the threshold.
+   second half; the pair covers the threshold. They are dealt by the pair, and of
+   equal pairs only those of a task's smallest document move.
 """
 
 from __future__ import annotations
@@ -147,8 +150,10 @@ def runs(texts: Iterable[bytes], threshold: int = THRESHOLD, anchor: int = ANCHO
 
 #: Packed runs: rank of the anchor (40 bits besides those of the part) and of the run (48 bits), sides, document, row, place.
 _RUN = ("<u4", "u1", "<u4", "<u2", "u1", "u1", "<i8", "<i8", "<u4", "u1")
-#: Packed starts: ranks of the halves, document, row, place.
-_START = ("<u4", "<u4", "<i8", "<i8", "<u4")
+#: Packed starts: ranks of the halves (48 bits each), document, row, place.
+_START = ("<u4", "<u2", "<u4", "<u2", "<i8", "<i8", "<u4")
+#: Packed marks: row, place, number of starts.
+_MARK = ("<i8", "<u4", "u1")
 
 
 def _pack(cols: list[np.ndarray], types: tuple[str, ...]) -> bytes:
@@ -180,12 +185,86 @@ def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["part", "kind", "blob"])
 
 
+def _later(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
+    """Which rows share all their keys with a row of a smaller document."""
+    order = np.lexsort((doc, *keys))
+    new = np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
+    out = np.zeros(len(doc), bool)
+    out[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _words(rank: np.ndarray) -> list[np.ndarray]:
+    """The low 48 bits of a rank, as packed."""
+    return [rank & np.uint64(0xFFFFFFFF), rank >> np.uint64(32) & np.uint64(0xFFFF)]
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
+def _settled_here(row, first, n, kind: int, parts: int) -> list[tuple[int, int, bytes]]:
+    """One blob of marks that meet nothing else, for any part."""
+    if not len(row):
+        return []
+    any_part = _mixed(np.array([row[0], first[0]]).astype(np.uint64) * np.uint64(_BASE)).sum() % np.uint64(parts)
+    return [(int(any_part), kind, _pack([row, first, n], _MARK))]
+
+
 def _part_of(rank: np.ndarray, parts: int) -> np.ndarray:
     return ((rank >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _deal(parts: int, threshold: int, anchor: int):
-    """Runs dealt to ``parts`` by the rank of their anchor, packed; kind 1 holds runs that this task could settle."""
+def _counts(parts: int, threshold: int, anchor: int):
+    """Runs of different content per anchor, of anchors with a fair share of a task's runs; those of a null anchor are all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def flush():
+            a, whole = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((whole, a))
+            a, whole = a[order], whole[order]
+            a = a[np.concatenate([[True], (a[1:] != a[:-1]) | (whole[1:] != whole[:-1])])]
+            head = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            n = np.diff(np.append(head, len(a)))
+            much = (n > 1) & (n * 2 * parts >= len(a))
+            anchors = pa.array([None, *a[head][much].view(np.int64).tolist()], pa.int64())
+            sizes = pa.array([len(a), *n[much].tolist()], pa.int64())
+            return pa.RecordBatch.from_arrays([anchors, sizes], ["anchor", "n"])
+
+        for batch in batches:
+            for _, _, _, a, whole, _, _ in runs(map(_inflate, batch.column(0).to_pylist()), threshold, anchor):
+                held.append([a, whole])
+                size += len(a)
+                if size >= _FLUSH:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def hot_anchors(packed: DataFrame, parts: int, threshold: int, anchor: int) -> np.ndarray:
+    """Sorted ranks of the anchors with as many runs as an average part, at most ``2 * parts``.
+
+    An anchor with that share of all runs has half of it within the groups of runs where its share is at least half
+    of that, so it is enough that tasks report those.
+    """
+    counts = map_arrow(packed, _counts(parts, threshold, anchor), "anchor long, n long")
+    counts = stage(counts.groupBy("anchor").agg(F.sum("n").alias("n")), "anchor-counts")
+    total = counts.where(F.col("anchor").isNull()).first()
+    if total is None:
+        return np.zeros(0, np.uint64)
+    hot = counts.where(F.col("anchor").isNotNull() & (F.col("n") * 2 * parts >= total.n)).select("anchor")
+    return np.sort(np.array([r.anchor for r in hot.collect()], np.int64).view(np.uint64))
+
+
+def _deal(parts: int, threshold: int, anchor: int, hot: np.ndarray):
+    """Runs dealt to ``parts`` by the rank of their anchor, packed; other kinds hold marks of runs that need not meet others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -195,18 +274,14 @@ def _deal(parts: int, threshold: int, anchor: int):
             a, whole, left, right, doc, row, first, n = (np.concatenate(c) for c in zip(*held))
             held.clear()
             # Of runs with one content only those of the smallest document go on to be ranked.
-            order = np.lexsort((doc, whole, a))
-            same = (a[order][1:] == a[order][:-1]) & (whole[order][1:] == whole[order][:-1])
-            head = np.flatnonzero(np.concatenate([[True], ~same]))
-            settled = np.zeros(len(a), bool)
-            settled[order] = doc[order] > np.repeat(doc[order][head], np.diff(np.append(head, len(order))))
+            settled = _later((whole, a), doc)
+            still = ~settled & (hot[np.searchsorted(hot, a).clip(max=len(hot) - 1)] == a) if len(hot) else np.zeros(len(a), bool)
             part, rows = _part_of(a, parts), []
-            for kind in (0, 1):
-                for g in _by_part(part, np.flatnonzero(settled == bool(kind))):
-                    ranks = [a[g] & np.uint64(0xFFFFFFFF), a[g] >> np.uint64(32) & np.uint64(0xFF)]
-                    ranks += [whole[g] & np.uint64(0xFFFFFFFF), whole[g] >> np.uint64(32) & np.uint64(0xFFFF)]
-                    cols = [*ranks, left[g], right[g], doc[g], row[g], first[g], n[g]]
-                    rows.append((int(part[g[0]]), kind, _pack(cols, _RUN)))
+            for g in _by_part(part, np.flatnonzero(~(settled | still))):
+                ranks = [a[g] & np.uint64(0xFFFFFFFF), a[g] >> np.uint64(32) & np.uint64(0xFF), *_words(whole[g])]
+                rows.append((int(part[g[0]]), 0, _pack([*ranks, left[g], right[g], doc[g], row[g], first[g], n[g]], _RUN)))
+            for kind, some in ((SETTLED, settled), (OPEN, still)):
+                rows += _settled_here(row[some], first[some], n[some], kind, parts)
             return _blobs(rows)
 
         for batch in batches:
@@ -245,12 +320,8 @@ def _several(keys: tuple[np.ndarray, ...], doc: np.ndarray) -> np.ndarray:
 def _rank_runs(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Settle or open the runs of one part; see the module's second step."""
     low, high, low_c, high_c, left, right, doc, row, first, n = (np.concatenate(c) for c in zip(*held))
-    a = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-    whole = low_c.astype(np.uint64) | high_c.astype(np.uint64) << np.uint64(32)
-    order = np.lexsort((doc, whole, a))
-    a, whole, left, right, doc, row, first, n = (x[order] for x in (a, whole, left, right, doc, row, first, n))
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (whole[1:] != whole[:-1])])
-    later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    a, whole = _whole(low, high), _whole(low_c, high_c)
+    later = _later((whole, a), doc)
     yield from _marks(row[later], first[later], n[later], SETTLED)
     a, left, right, doc, row, first, n = (x[~later] for x in (a, left, right, doc, row, first, n))
     still = np.zeros(len(a), bool)
@@ -263,11 +334,8 @@ def _rank_runs(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
 
 def _rank_starts(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Starts whose pair of ranks a smaller document has."""
-    one, two, doc, row, first = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((doc, two, one))
-    one, two, doc, row, first = (x[order] for x in (one, two, doc, row, first))
-    new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-    later = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    low, high, low_2, high_2, doc, row, first = (np.concatenate(c) for c in zip(*held))
+    later = _later((_whole(low_2, high_2), _whole(low, high)), doc)
     yield from _marks(row[later], first[later], np.ones(later.sum(), np.int32), SETTLED)
 
 
@@ -278,10 +346,10 @@ def _per_part(types: tuple[str, ...], rank):
         held, last = [], None
         for batch in batches:
             for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                cols = _unpack(blob, types)
                 if kind:
-                    yield from _marks(cols[-3], cols[-2], cols[-1], SETTLED)
+                    yield from _marks(*_unpack(blob, _MARK), kind)
                     continue
+                cols = _unpack(blob, types)
                 if part != last and held:
                     yield from rank(held)
                     held = []
@@ -294,7 +362,7 @@ def _per_part(types: tuple[str, ...], rank):
 
 
 def _expand(parts: int, threshold: int):
-    """Open starts with the ranks of their halves, dealt to ``parts`` by them, packed."""
+    """Open starts with the ranks of their halves, dealt to ``parts`` by both, packed; kind 1 holds those settled here."""
     half = threshold // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +371,13 @@ def _expand(parts: int, threshold: int):
         def flush():
             one, two, doc, row, first = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            part, low = _part_of(one, parts), np.uint64(0xFFFFFFFF)
-            groups = _by_part(part, np.arange(len(part)))
-            return _blobs([
-                (int(part[g[0]]), 0, _pack([one[g] & low, two[g] & low, doc[g], row[g], first[g]], _START)) for g in groups
-            ])
+            settled = _later((two, one), doc)
+            part = _part_of(_mixed(one * np.uint64(_BASE) + two), parts)
+            rows = []
+            for g in _by_part(part, np.flatnonzero(~settled)):
+                rows.append((int(part[g[0]]), 0, _pack([*_words(one[g]), *_words(two[g]), doc[g], row[g], first[g]], _START)))
+            ones = np.ones(settled.sum(), np.uint8)
+            return _blobs(rows + _settled_here(row[settled], first[settled], ones, SETTLED, parts))
 
         for batch in batches:
             ids, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -323,9 +393,9 @@ def _expand(parts: int, threshold: int):
                     one, two = hashes.spans(sums, some, some + half), hashes.spans(sums, some + half, some + threshold)
                     held.append([one, two, np.full(len(some), docs[i]), np.full(len(some), ids[i]), some + lo])
                     size += len(some)
-                if size >= _FLUSH:
-                    yield flush()
-                    size = 0
+                    if size >= _FLUSH:
+                        yield flush()
+                        size = 0
         if held:
             yield flush()
 
@@ -407,8 +477,9 @@ def repeated_starts(texts: _Texts, threshold: int, anchor: int) -> DataFrame:
     conf = int(texts.spark.conf.get("spark.sql.shuffle.partitions"))
     size = texts.rows.agg(F.sum(F.octet_length("packed").cast("long"))).first()[0] or 0
     parts = min(_MOST_PARTS, max(conf, math.ceil(size / _PART_BYTES)))
-    dealt = map_arrow(texts.rows.select("row", "doc", "packed"), _deal(parts, threshold, anchor), _BLOBS)
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
+    hot = hot_anchors(texts.rows.select("packed"), parts, threshold, anchor)
+    dealt = map_arrow(texts.rows.select("row", "doc", "packed"), _deal(parts, threshold, anchor, hot), _BLOBS)
+    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     marks = stage(map_arrow(dealt, _per_part(_RUN, _rank_runs), _MARKS), "ranked-runs")
     todo = marks.filter(F.col("kind") == OPEN).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     starts = texts.join(
@@ -417,7 +488,7 @@ def repeated_starts(texts: _Texts, threshold: int, anchor: int) -> DataFrame:
         lambda x: map_arrow(x.select("row", "doc", "packed", "spans"), _expand(parts, threshold), _BLOBS),
         "open-starts",
     )
-    starts = starts.repartition(parts, "part").sortWithinPartitions("part")
+    starts = starts.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     found = map_arrow(starts, _per_part(_START, _rank_starts), _MARKS)
     return marks.filter(F.col("kind") == SETTLED).drop("kind").union(found.drop("kind"))
 
@@ -471,7 +542,9 @@ def remove_repeats(
     what moves is ranks: about twelve bytes for each run of positions, in blobs
     dealt by the rank of the anchor, and of runs with one content only those of
     a task's smallest document, so a passage that a third of all documents share
-    moves once per task.
+    moves once per task. Anchors that would fill a part of their own (a line in
+    many documents with different surroundings) are counted first and not dealt;
+    all places of their runs are ranked by the pair of their halves.
 
     Returns row (a number), doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and text (what is left, without cutting characters, if
@@ -484,11 +557,12 @@ def remove_repeats(
         raise ValueError("a string may have 1 to 255 anchors")
     with settings(docs.sparkSession, _SETTINGS):
         texts = _Texts(docs, id_col, text_col, list(carry))
-        found = repeated_starts(texts, threshold, anchor)
-        spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-        cut = _cut(threshold, with_text)
-        schema = T.StructType([*T._parse_datatype_string(_CUT), texts.rest])
-        columns = ("row", "doc", "packed", "spans", "rest")
-        kept = texts.join(spans, "left", lambda x: map_arrow(x.select(*columns), cut, schema), "kept")
-        texts.drop()
-    return kept
+        try:
+            found = repeated_starts(texts, threshold, anchor)
+            spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+            cut = _cut(threshold, with_text)
+            schema = T.StructType([*T._parse_datatype_string(_CUT), texts.rest])
+            columns = ("row", "doc", "packed", "spans", "rest")
+            return texts.join(spans, "left", lambda x: map_arrow(x.select(*columns), cut, schema), "kept")
+        finally:
+            texts.drop()

@@ -5,6 +5,7 @@ import os
 import random
 import sys
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -83,6 +84,61 @@ def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
     check(spark, rows)
 
 
+def one_line_in_all(count, draw):
+    """Texts of random words around one line, too short to be removed."""
+    line = "this line is found in every text of the table."
+    word = lambda: "".join(draw.choices("abcdefghijklmnop", k=draw.randrange(3, 9)))
+    return [" ".join([*(word() for _ in range(20)), line, *(word() for _ in range(20))]) for _ in range(count)]
+
+
+def test_hot_line_is_spread(spark):
+    draw, parts = random.Random(5), 128
+    texts = one_line_in_all(4000, draw)
+    packed = [suffixes.zstd.ZstdCompressor().compress(t.encode()) for t in texts]
+    table = spark.createDataFrame([(p,) for p in packed], "packed binary")
+    hot = suffixes.hot_anchors(table, parts, 50, 20)
+    assert 0 < len(hot) <= 2 * parts
+    n = list(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array(n), pa.array(n), pa.array(packed, pa.binary())], ["row", "doc", "packed"])
+
+    def sizes(blobs, types):
+        total = dict.fromkeys(range(parts), 0)
+        for b in blobs:
+            for part, kind, blob in zip(*(c.to_pylist() for c in b.columns)):
+                total[part] += 0 if kind else len(suffixes._unpack(blob, types)[0])
+        total = sorted(total.values())
+        return total[len(total) // 2], total[-1]
+
+    median, most = sizes(suffixes._deal(parts, 50, 20, hot)([batch]), suffixes._RUN)
+    assert most <= 2 * median
+    assert sizes(suffixes._deal(parts, 50, 20, hot[:0])([batch]), suffixes._RUN)[1] > 4 * median
+    spans = [[{"first": 0, "n": len(t) - 49}] for t in texts]  # all starts open
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*batch.schema.names, "spans"])
+    median, most = sizes(suffixes._expand(parts, 50)([batch]), suffixes._START)
+    assert most <= 2 * median
+
+
+def test_hot_lines_and_passages(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_PART_BYTES", 1 << 8)
+    draw = random.Random(6)
+    texts = one_line_in_all(80, draw)
+    passage = "a passage of more than fifty bytes that half of the texts have " * 2
+    texts = [t[:60] + passage[: draw.randrange(40, 120)] + t[60:] if draw.random() < 0.5 else t for t in texts]
+    check(spark, docs_of(spark, texts, draw.sample(range(1000), 80)))
+
+
+def test_table_is_dropped_when_a_job_fails(spark, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("stop")
+
+    before = len(spark.catalog.listTables())
+    monkeypatch.setattr(suffixes, "repeated_starts", fail)
+    with pytest.raises(RuntimeError):
+        suffixes.remove_repeats(docs_of(spark, ["a"]))
+    assert len(spark.catalog.listTables()) == before
+
+
 def test_text_is_cut_at_characters(spark):
     a, b = "é日" * 20 + "x", "日" * 3 + "é日" * 20 + "y"
     docs = docs_of(spark, [a, b])
