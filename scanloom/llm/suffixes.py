@@ -41,7 +41,7 @@ THRESHOLD = 50
 ANCHOR = 20
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
-_FLUSH = 120_000
+_FLUSH = 240_000
 #: Compressed text for one part of the ranks, and the most parts.
 _PART_BYTES, _MOST_PARTS = 2 << 20, 1 << 20
 _LAST = (1 << 63) - 1
@@ -153,7 +153,7 @@ _RUN = ("<u4", "u1", "<u4", "<u2", "u1", "u1", "<i8", "<i8", "<u4", "u1")
 #: Packed starts: ranks of the halves (48 bits each), document, row, place.
 _START = ("<u4", "<u2", "<u4", "<u2", "<i8", "<i8", "<u4")
 #: Packed marks: row, place, number of starts.
-_MARK = ("<i8", "<u4", "u1")
+_MARK = ("<i8", "<u4", "<u4")
 
 
 def _pack(cols: list[np.ndarray], types: tuple[str, ...]) -> bytes:
@@ -204,9 +204,11 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _settled_here(row, first, n, kind: int, parts: int) -> list[tuple[int, int, bytes]]:
-    """One blob of marks that meet nothing else, for any part."""
+    """One blob of marks that meet nothing else, for any part; marks that follow each other in a text are put together."""
     if not len(row):
         return []
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1])]))
+    row, first, n = row[new], first[new], np.add.reduceat(n.astype(np.int64), new)
     any_part = _mixed(np.array([row[0], first[0]]).astype(np.uint64) * np.uint64(_BASE)).sum() % np.uint64(parts)
     return [(int(any_part), kind, _pack([row, first, n], _MARK))]
 
@@ -376,7 +378,7 @@ def _expand(parts: int, threshold: int):
             rows = []
             for g in _by_part(part, np.flatnonzero(~settled)):
                 rows.append((int(part[g[0]]), 0, _pack([*_words(one[g]), *_words(two[g]), doc[g], row[g], first[g]], _START)))
-            ones = np.ones(settled.sum(), np.uint8)
+            ones = np.ones(settled.sum(), np.int64)
             return _blobs(rows + _settled_here(row[settled], first[settled], ones, SETTLED, parts))
 
         for batch in batches:
@@ -460,9 +462,9 @@ class _Texts:
         packed.write.options(**{"compression": "uncompressed", "parquet.block.size": str(16 << 20)}).bucketBy(buckets, "pid").saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
 
-    def join(self, other: DataFrame, how: str, then, label: str) -> DataFrame:
-        """Write ``then(texts joined with other on row)``; ``other`` has one row per text at most."""
-        return stage(then(self.rows.join(other.withColumn("pid", _pid("row")), ["pid", "row"], how)), label)
+    def join(self, other: DataFrame, how: str) -> DataFrame:
+        """The texts joined with ``other`` on row; ``other`` has one row per text at most."""
+        return self.rows.join(other.withColumn("pid", _pid("row")), ["pid", "row"], how)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE {self.name}")
@@ -482,12 +484,8 @@ def repeated_starts(texts: _Texts, threshold: int, anchor: int) -> DataFrame:
     dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     marks = stage(map_arrow(dealt, _per_part(_RUN, _rank_runs), _MARKS), "ranked-runs")
     todo = marks.filter(F.col("kind") == OPEN).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    starts = texts.join(
-        todo,
-        "inner",
-        lambda x: map_arrow(x.select("row", "doc", "packed", "spans"), _expand(parts, threshold), _BLOBS),
-        "open-starts",
-    )
+    some = texts.join(todo, "inner").select("row", "doc", "packed", "spans")
+    starts = map_arrow(some, _expand(parts, threshold), _BLOBS)
     starts = starts.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     found = map_arrow(starts, _per_part(_START, _rank_starts), _MARKS)
     return marks.filter(F.col("kind") == SETTLED).drop("kind").union(found.drop("kind"))
@@ -562,7 +560,7 @@ def remove_repeats(
             spans = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
             cut = _cut(threshold, with_text)
             schema = T.StructType([*T._parse_datatype_string(_CUT), texts.rest])
-            columns = ("row", "doc", "packed", "spans", "rest")
-            return texts.join(spans, "left", lambda x: map_arrow(x.select(*columns), cut, schema), "kept")
+            rows = texts.join(spans, "left").select("row", "doc", "packed", "spans", "rest")
+            return stage(map_arrow(rows, cut, schema), "kept")
         finally:
             texts.drop()
