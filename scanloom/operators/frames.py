@@ -69,6 +69,23 @@ def match_sidecars(
     return sidecars.withColumn("jpeg", F.concat("stem", F.lit(".jpg"))).join(jpegs, [*keys, "jpeg"])
 
 
+def sidecar_counts(
+    sidecars: DataFrame, files: DataFrame, by: str | Sequence[str] | None = None, name: str = "name"
+) -> DataFrame:
+    """Per group: sidecars, those without a JPEG, those with one that were rejected, and those that become frames."""
+    keys = as_keys(by)
+    jpegs = files.select(*keys, file_name(name).alias("jpeg")).distinct().withColumn("_have", F.lit(True))
+    error = F.col("error") if "error" in sidecars.columns else F.lit(None)
+    rows = sidecars.select(*keys, F.concat("stem", F.lit(".jpg")).alias("jpeg"), error.isNotNull().alias("_bad"))
+    there = F.col("_have").isNotNull()
+    return rows.join(jpegs, [*keys, "jpeg"], "left").groupBy(*keys).agg(
+        F.count("*").alias("n_sidecars"),
+        F.count_if(~there).alias("n_without_image"),
+        F.count_if(there & F.col("_bad")).alias("n_rejected"),
+        F.count_if(there & ~F.col("_bad")).alias("n_frames"),
+    )
+
+
 def missing_outputs(
     inputs: DataFrame,
     existing: DataFrame,

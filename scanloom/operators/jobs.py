@@ -16,15 +16,18 @@ from scanloom.functions.camera import intrinsics, scale_intrinsics
 from scanloom.functions.pose import invert_rigid, w2c
 from scanloom.operators import depth as D
 from scanloom.operators import masks as M
+from scanloom.operators.catalog import file_catalog
 from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, prune_opacity, sigma_clip
-from scanloom.operators.frames import join_camera
+from scanloom.operators.frames import build_frames_xmp, join_camera, sidecar_counts, xmp_header
 from scanloom.operators.profile import AXES
 from scanloom.operators.resample import resample
 from scanloom.operators.sample import sample_exact
 from scanloom.operators.voxel import voxel_to_target
 from scanloom.plans.stage import as_keys, attach, stage
 from scanloom.sources.captures import write_captures
+from scanloom.sources.documents import write_transforms_files
 from scanloom.sources.files import list_inputs
+from scanloom.sources.xmp import read_xmp
 
 CLOUD_TARGET = 500_000
 #: Points that a merged cloud has at most, by default.
@@ -34,6 +37,38 @@ OVERSAMPLE = 4
 _SIDE = 1 << 16
 
 
+#: The folder above the one that holds a file.
+_CAPTURE = r"([^/]+)/[^/]+/[^/]+$"
+
+
+def sidecar_documents(
+    spark: SparkSession,
+    sidecars: str,
+    images: str,
+    target: str,
+    width: int,
+    height: int,
+    depth: str | None = None,
+    flip: bool = True,
+    ply_file_path: str | None = None,
+    capture: str = _CAPTURE,
+) -> DataFrame:
+    """Frame documents of the pose sidecars below ``sidecars``: one ``transforms.json`` per capture below ``target``.
+
+    Files belong to the capture that the first group of ``capture`` finds in their
+    path; empty files count as absent. Returns, per capture, how many sidecars there are, have no JPEG below
+    ``images``, were rejected and became frames, and the path and length of its
+    document: null where no frame is left. Raises if no capture has a frame.
+    """
+    of = F.regexp_extract("path", capture, 1)
+    cars = stage(read_xmp(spark, sidecars).withColumn("capture", of), "sidecars")
+    jpegs = stage(file_catalog(spark, images, "*.jpg").select(of.alias("capture"), F.col("path").alias("name")), "listed")
+    maps = file_catalog(spark, depth, "*.png").withColumn("capture", of) if depth else None
+    frames = stage(build_frames_xmp(cars, jpegs, width, height, maps, "capture", flip), "frames")
+    written = write_transforms_files(frames, xmp_header(frames, width, height, "capture"), target, "capture", ply_file_path)
+    return sidecar_counts(cars, jpegs, "capture").join(written, "capture", "left")
+
+
 def union_clouds(clouds: Sequence[DataFrame], strict: bool = False) -> DataFrame:
     """Bag union by column name. ``strict`` requires equal schemas; otherwise missing columns become null."""
     first = clouds[0]

@@ -10,11 +10,12 @@ from scanloom.operators.clip import prune
 from scanloom.plans import materialize
 from scanloom.plans.fixtures import view
 from scanloom.plans.queries_depth import FUSE_SQL, FUSE_VIEWS, _fused, color_rows, depth_rows
-from scanloom.plans.queries_frames import FRAME_SQL, _captured_cameras, model_frames
+from scanloom.plans.queries_frames import COUNTS_SQL, FRAME_SQL, _captured_cameras, model_frames
 from scanloom.plans.queries_splat import SPLAT_COLS, _PRUNED, _chain
 from scanloom.plans.registry import query
-from scanloom.plans.stage import new_path
+from scanloom.plans.stage import new_path, stage
 from scanloom.sources import captures, documents, images, npy, ply, sparse_model, xmp
+from scanloom.sources.chunks import write_chunks
 
 F32 = "CAST(CAST({0} AS FLOAT) AS DOUBLE)"
 XYZ32 = ", ".join(f"{F32.format(a)} AS {a}" for a in "xyz")
@@ -252,6 +253,35 @@ def _(spark, sf):
     )
 
 
+@query(
+    "sidecar_documents_per_capture",
+    "capture n_sidecars n_without_image n_rejected n_frames ~fl_x ~cx_sum",
+    "images",
+    COUNTS_SQL,
+)
+def _(spark, sf):
+    from scanloom.plans.queries_frames import _image_files, _sidecars
+
+    path = new_path(spark, "captures")
+    cars = _sidecars(spark, sf).withColumn("broken", F.expr("position[0] > 1"))
+    materialize.write_sidecars(path, cars.withColumn("stem", F.concat_ws("/xmp/", "capture", "stem")))
+    there = frames.registered_frames(view(spark, sf, "images"), _image_files(spark, sf))
+    empty = there.select(
+        F.concat(F.lit(f"{path}/"), F.concat_ws("/jpg/", "capture", "name")).alias("path"),
+        F.lit(0).alias("seq"),
+        F.col("name").cast("binary").alias("content"),
+    )
+    write_chunks(empty).count()
+    done = stage(jobs.sidecar_documents(spark, path, path, f"{path}/out", 3024, 4032), "done")
+    read = spark.read.schema("fl_x double, frames array<struct<cx: double>>").json(f"{path}/out/*/*.json", multiLine=True)
+    read = read.select(
+        F.regexp_extract(F.input_file_name(), "capture=([^/]+)", 1).alias("capture"),
+        "fl_x",
+        F.expr("aggregate(frames.cx, 0D, (a, b) -> a + b)").alias("cx_sum"),
+    )
+    return done.join(read, "capture", "left").withColumn("capture", F.col("capture").cast("long"))
+
+
 _FRAME_JSON = (
     "file_path string, transform_matrix array<array<double>>, fl_x double, fl_y double, cx double, cy double, "
     "w long, h long, depth_file_path string, k1 double, k2 double, p1 double, p2 double"

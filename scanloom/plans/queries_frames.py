@@ -412,6 +412,21 @@ def _sidecars(spark, sf):
     )
 
 
+COUNTS_SQL = f"""
+WITH {FILES_SQL}, car AS (SELECT *, name IN (SELECT name FROM disk) AS there, tx > 1 AS bad FROM images)
+SELECT capture, count(*) AS n_sidecars, count(*) FILTER (NOT there) AS n_without_image,
+  count(*) FILTER (there AND bad) AS n_rejected, count(*) FILTER (there AND NOT bad) AS n_frames,
+  avg((20 + image_id % 30) * 4032 / CAST(36 AS DOUBLE)) FILTER (there AND NOT bad) AS fl_x,
+  sum(3024 * (0.5 + (image_id % 11 - 5) / CAST(100 AS DOUBLE))) FILTER (there AND NOT bad) AS cx_sum
+FROM car GROUP BY capture"""
+
+
+@query("sidecar_match_counts", "capture n_sidecars n_without_image n_rejected n_frames", "images", COUNTS_SQL)
+def _(spark, sf):
+    cars = _sidecars(spark, sf).withColumn("error", F.expr("CASE WHEN position[0] > 1 THEN 'far' END"))
+    return frames.sidecar_counts(cars, _image_files(spark, sf), "capture")
+
+
 SIDECAR_SQL = f"""
 WITH {FILES_SQL}, png AS (SELECT replace(npy, '.npy', '.png') AS png FROM maps)
 SELECT capture, name, concat('images/', name) AS file_path, (20 + image_id % 30) * 4032 / CAST(36 AS DOUBLE) AS fl_x,

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.plans.stage import as_keys, attach, stage
+from scanloom.sources.chunks import write_chunks
 
 _SCALE_INFO = (
     "scale_info struct<n_pairs: bigint, n_images: bigint, p25: double, median: double, p75: double, std: double>"
@@ -91,6 +92,42 @@ def write_transforms(
     (writer.partitionBy(*keys) if keys else writer).text(path)
 
 
+def document_path(root: str, by: str | Sequence[str] | None, name: str) -> Column:
+    """``root/key=value/../name``, with values escaped as in a folder of a partitioned table."""
+    folders = []
+    for k in as_keys(by):
+        value = F.replace(F.url_encode(F.col(k).cast("string")), F.lit("+"), F.lit("%20"))
+        value = F.when(F.col(k).cast("string") != "", value)
+        folders.append(F.concat(F.lit(f"{k}="), F.coalesce(value, F.lit("__HIVE_DEFAULT_PARTITION__"))))
+    return F.concat_ws("/", F.lit(root.rstrip("/")), *folders, F.lit(name))
+
+
+def write_transforms_files(
+    frames: DataFrame,
+    header: DataFrame,
+    path: str,
+    by: str | Sequence[str] | None = None,
+    ply_file_path: str | None = None,
+    name: str = "transforms.json",
+) -> DataFrame:
+    """Write each group's document as one JSON file; returns the groups with ``path`` and ``length`` of their file.
+
+    The lines of a document are appended in order by the task of their group, a
+    batch at a time; ``write_transforms`` spreads a group over tasks. Files of the
+    same name are replaced, others stay. Raises if there is no frame.
+    """
+    keys = as_keys(by)
+    lines = transforms_lines(frames, header, keys, ply_file_path).select(
+        document_path(path, keys, name).alias("path"),
+        F.struct("part", "name").alias("seq"),
+        F.concat("value", F.lit("\n")).cast("binary").alias("content"),
+    )
+    written = stage(write_chunks(lines), "documents")
+    if written.isEmpty():
+        raise ValueError("no valid frames")
+    return header.select(*keys, document_path(path, keys, name).alias("path")).join(written, "path")
+
+
 def write_bounds(bounds: DataFrame, path: str, by: str | Sequence[str] | None = None, mode: str = "overwrite") -> None:
     """Write bounds rows as JSON, in one folder per group."""
     keys = as_keys(by)

@@ -188,6 +188,36 @@ def test_sidecars(spark, tmp_path):
     assert rows["b"].rotation is None
 
 
+def test_sidecar_documents(spark, tmp_path):
+    ns = 'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:xcr="http://www.capturingreality.com/ns/xcr/1.1#"'
+    pose = "<xcr:Rotation>1 0 0 0 1 0 0 0 1</xcr:Rotation><xcr:Position>4 5 6</xcr:Position>"
+    good = f'<rdf:RDF {ns}><rdf:Description xcr:FocalLength35mm="{{}}">{pose}</rdf:Description></rdf:RDF>'
+    for name in ("b one", "a", "none"):
+        for kind in ("xmp", "jpg", "depth"):
+            (tmp_path / name / kind).mkdir(parents=True)
+        for i in range(4):
+            (tmp_path / name / "xmp" / f"f{i}.xmp").write_text(good.format(20 + i) if i else good[:70])
+            if i != 3 and name != "none":
+                (tmp_path / name / "jpg" / f"f{i}.jpg").write_bytes(b"x")
+    (tmp_path / "a" / "depth" / "f2.png").write_bytes(b"x")
+    source, out = str(tmp_path), str(tmp_path / "out")
+    args = (spark, source, source, out, 100, 200)
+    for _ in range(2):  # a second run replaces the documents
+        got = {r.capture: r for r in jobs.sidecar_documents(*args, depth=source, ply_file_path="init.ply").collect()}
+    assert {k: tuple(r)[1:5] for k, r in got.items()} == {"a": (4, 1, 1, 2), "b one": (4, 1, 1, 2), "none": (4, 4, 0, 0)}
+    assert got["none"].path is None and got["b one"].path == f"{out}/capture=b%20one/transforms.json"
+    for k, unit in (("a", 0.001), ("b one", None)):
+        text = open(got[k].path).read()
+        doc = json.loads(text)
+        assert len(text) == got[k].length and doc.get("depth_unit_scale_factor") == unit
+        assert [f["file_path"] for f in doc["frames"]] == ["images/f1.jpg", "images/f2.jpg"]
+        assert doc["ply_file_path"] == "init.ply" and doc["fl_x"] == pytest.approx(21.5 * 200 / 36)
+        assert doc["frames"][1].get("depth_file_path") == ("depth/f2.png" if k == "a" else None)
+    assert len(glob.glob(f"{out}/**/*.*", recursive=True)) == 2
+    with pytest.raises(ValueError, match="no valid frames"):
+        jobs.sidecar_documents(spark, source, f"{source}/none", out, 100, 200)
+
+
 def test_images_keep_their_channels(spark, tmp_path):
     px = RNG.integers(0, 256, size=(5, 7, 3), dtype=np.uint8)
     (tmp_path / "f.png").write_bytes(png(7, 5, [r.tobytes() for r in px]))
