@@ -19,7 +19,7 @@ from scanloom.operators import masks as M
 from scanloom.operators.catalog import file_catalog
 from scanloom.operators.clip import CLOUD_SIGMA, MIN_OPACITY, PRUNE_SIGMA, prune, prune_opacity, sigma_clip
 from scanloom.operators.frames import build_frames_xmp, join_camera, sidecar_counts, xmp_header
-from scanloom.operators.profile import AXES
+from scanloom.operators.profile import AXES, compare_rows
 from scanloom.operators.resample import resample
 from scanloom.operators.sample import sample_exact
 from scanloom.operators.voxel import voxel_to_target
@@ -27,6 +27,7 @@ from scanloom.plans.stage import as_keys, attach, stage
 from scanloom.sources.captures import write_captures
 from scanloom.sources.documents import write_transforms_files
 from scanloom.sources.files import list_inputs
+from scanloom.sources.ply import ply_catalog, read_unlike
 from scanloom.sources.xmp import read_xmp
 
 CLOUD_TARGET = 500_000
@@ -85,6 +86,63 @@ def merge_splats(clouds: Sequence[DataFrame]) -> DataFrame:
     return union_clouds(clouds, strict=True)
 
 
+def merge_files(spark: SparkSession, paths: str | Sequence[str], strict: bool = True) -> DataFrame:
+    """All vertices of many point files in one scan, with ``path`` and ``point_id``.
+
+    ``strict`` requires the same properties and types in all files, in any order; otherwise
+    what a file lacks is null and types are widened. Headers are read by tasks.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+    files = [p for one in given for p, _ in list_inputs(one, ".ply")]
+    if not files:
+        raise FileNotFoundError(f"no point file in {', '.join(given)}")
+    headers = stage(ply_catalog(spark, files), "headers")
+    other = headers.where("status <> 'ok'").select("path", "status").first()
+    if other is not None:
+        raise ValueError(f"{other.path}: {other.status}")
+    if strict:
+        said = F.array_sort(F.arrays_zip("properties", "kinds"))
+        kinds = headers.groupBy(said.alias("said")).agg(F.min("path").alias("path")).orderBy("path").limit(2).collect()
+        if len(kinds) > 1:
+            raise ValueError(f"{kinds[1].path} has other properties than {kinds[0].path}")
+    return read_unlike(spark, files, headers)
+
+
+def compare_files(spark: SparkSession, clouds: Mapping[str, str]) -> DataFrame:
+    """One comparison row per named file or folder of point files, whatever their properties, in one scan.
+
+    The measures are those of ``profile.compare_clouds``. ``status`` is ``missing`` for a name without
+    files and tells what is wrong if one of its files cannot be read; such a name
+    has no measures. A cloud without vertices has an ``n`` of 0.
+    """
+    listed: list[tuple[str, str]] = []
+    for name, path in clouds.items():
+        try:
+            listed += [(name, p) for p, _ in list_inputs(path, ".ply")]
+        except FileNotFoundError:
+            pass
+    names = spark.createDataFrame([(n,) for n in clouds], "name string")
+    of = spark.createDataFrame(listed, "name string, path string")
+    headers = stage(ply_catalog(spark, sorted({p for _, p in listed})), "headers")
+    flags = ["has_color", "has_normals", "is_splat"]
+    bad = F.when(F.col("status") != "ok", F.col("status"))
+    told = of.join(headers, "path").groupBy("name").agg(
+        F.coalesce(F.min(bad), F.lit("ok")).alias("status"), *[F.bool_or(f).alias(f) for f in flags]
+    )
+    told = stage(names.join(told, "name", "left").withColumn("status", F.coalesce("status", F.lit("missing"))), "clouds")
+    fit = told.where("status = 'ok'")
+    whole = stage(of.join(fit, "name").select("path", "name", *flags), "cloud-files")
+    files = sorted({r.path for r in whole.select("path").collect()})
+    if not files:
+        raise ValueError("no cloud to compare")
+    rows = read_unlike(spark, files, headers.join(whole.select("path").distinct(), "path"))
+    used = [c for c in rows.columns if c in ("path", *AXES, "opacity", "red", "green", "blue")]
+    thin = spark.read.format("ply").schema(StructType([rows.schema[c] for c in used])).option("missing", "null")
+    measured = compare_rows(thin.load(",".join(files)).join(whole, "path")).drop("status", *flags)
+    out = told.join(measured, "name", "left")
+    return out.withColumn("n", F.when(F.col("status") == "ok", F.coalesce("n", F.lit(0))))
+
+
 def subsample(
     df: DataFrame,
     target: int = CLOUD_TARGET,

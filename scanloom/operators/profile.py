@@ -293,10 +293,25 @@ def compare_clouds(clouds: Mapping[str, DataFrame | None]) -> DataFrame:
         parts.append(d.select(F.lit(name).alias("name"), *[F.lit(v).alias(k) for k, v in flags.items()], *cols))
     if not parts:
         raise ValueError("no cloud to compare")
-    rows = reduce(DataFrame.unionByName, parts)
+    out = compare_rows(reduce(DataFrame.unionByName, parts))
+    if missing:
+        spark = out.sparkSession
+        gone = spark.createDataFrame([(n, "missing") for n in missing], "name string, status string")
+        out = out.unionByName(gone, allowMissingColumns=True)
+    return out
+
+
+def compare_rows(rows: DataFrame) -> DataFrame:
+    """One comparison row per ``name`` of rows that carry it beside the flags of its cloud.
+
+    A measured column that ``rows`` lacks counts as null throughout.
+    """
+    flags = ["has_color", "has_normals", "is_splat"]
+    wanted = [*AXES, "opacity", "red", "green", "blue"]
+    values = [F.col(c).cast("double") if c in rows.columns else F.lit(None).cast("double") for c in wanted]
+    rows = rows.select("name", *flags, *[v.alias(c) for c, v in zip(wanted, values)])
     op = sigmoid("opacity", clip=88.0)
     rows = rows.withColumn("_op", F.when(finite("opacity"), op))
-    flags = ["has_color", "has_normals", "is_splat"]
     ladder = (0.1, 0.3, 0.5, 0.9)
     stats = rows.groupBy("name", *flags).agg(
         F.count("*").alias("n"),
@@ -326,12 +341,7 @@ def compare_clouds(clouds: Mapping[str, DataFrame | None]) -> DataFrame:
     medians = percentiles(rows, {"_op": "_op"}, {"median": 0.5}, ["name"]).withColumnRenamed(
         "_op_median", "median_opacity"
     )
-    out = attach(stats, medians, ["name"], "left")
-    if missing:
-        spark = out.sparkSession
-        gone = spark.createDataFrame([(n, "missing") for n in missing], "name string, status string")
-        out = out.unionByName(gone, allowMissingColumns=True)
-    return out
+    return attach(stats, medians, ["name"], "left")
 
 
 def retention(df: DataFrame, flags: Mapping[str, Column], by: str | Sequence[str] | None = None) -> DataFrame:

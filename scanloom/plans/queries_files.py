@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scanloom import sources
@@ -133,6 +134,71 @@ def _(spark, sf):
     return profile.compare_clouds({**clouds, "absent": None})
 
 
+def _unlike_files(spark, sf) -> str:
+    """A folder per capture of points and of splats: coloured clouds and splats side by side."""
+    sources.register(spark)
+    path = new_path(spark, "unlike")
+    name = F.concat(F.col("capture").cast("string"), F.lit("/points.ply"))
+    cloud = view(spark, sf, "points").select("capture", *[F.col(a).cast("float").alias(a) for a in "xyz"], "red", "green", "blue")
+    captures.write_captures(cloud, f"{path}/cloud", name, order=("x", "y", "z"))
+    splat = view(spark, sf, "gaussians").select("capture", *[F.col(c).cast("float").alias(c) for c in (*"xyz", "opacity")])
+    captures.write_captures(splat, f"{path}/splat", name, order=("x", "y", "z"))
+    return path
+
+
+@query(
+    "ply_compare_files",
+    "name status n has_color is_splat ~x_min ~x_max ~z_mean ~red_mean ~mean_opacity n_above_5",
+    "points gaussians",
+    f"""SELECT concat('cloud ', capture) AS name, 'ok' AS status, count(*) AS n, true AS has_color, false AS is_splat, min(x) AS x_min,
+          max(x) AS x_max, avg(z) AS z_mean, avg(red) AS red_mean, CAST(NULL AS DOUBLE) AS mean_opacity, CAST(NULL AS BIGINT) AS n_above_5
+        FROM (SELECT capture, red, {XYZ32} FROM points) p GROUP BY capture
+        UNION ALL SELECT concat('splat ', capture), 'ok', count(*), false, true, min(x), max(x), avg(z), NULL,
+          avg(1 / (1 + exp(-o))), count(*) FILTER (1 / (1 + exp(-o)) > 0.5)
+        FROM (SELECT capture, {F32.format('opacity')} AS o, {XYZ32} FROM gaussians) g GROUP BY capture
+        UNION ALL SELECT 'absent', 'missing', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+)
+def _(spark, sf):
+    path = _unlike_files(spark, sf)
+    files = {"absent": f"{path}/absent.ply"}
+    for p, _ in ply.list_inputs(path, ".ply"):
+        kind, capture = p.split("/")[-3:-1]
+        files[f"{kind} {capture}"] = p.rpartition("/")[0]
+    return jobs.compare_files(spark, files)
+
+
+@query(
+    "ply_merge_files",
+    "capture is_splat ~x ~y ~z red ~opacity",
+    "points gaussians",
+    f"""SELECT capture, false AS is_splat, {XYZ32}, red, CAST(NULL AS DOUBLE) AS opacity FROM points
+        UNION ALL SELECT capture, true, {XYZ32}, NULL, {F32.format('opacity')} FROM gaussians""",
+)
+def _(spark, sf):
+    rows = jobs.merge_files(spark, _unlike_files(spark, sf), strict=False)
+    capture = F.regexp_extract("path", r"/(\d+)/[^/]+$", 1).cast("int").alias("capture")
+    return rows.select(capture, F.col("path").contains("/splat/").alias("is_splat"), "x", "y", "z", "red", "opacity")
+
+
+@query(
+    "npy_two_captures",
+    "capture frame v u ~depth",
+    "depth_px",
+    f"""SELECT capture, concat('img_', dense_rank() OVER (PARTITION BY capture ORDER BY frame)) AS frame, v, u,
+          {F32.format('depth')} AS depth FROM depth_px""",
+)
+def _(spark, sf):
+    sources.register(spark)
+    path, rows = new_path(spark, "npy"), depth_rows(spark, sf)
+    nth = F.row_number().over(Window.partitionBy("capture").orderBy("frame"))
+    shared = rows.select("capture", "frame").distinct().withColumn("shared", F.concat(F.lit("img_"), nth.cast("string")))
+    rows = rows.join(shared, ["capture", "frame"]).drop("frame").withColumnRenamed("shared", "frame")
+    npy.write_rasters(rows, path, by=("capture",)).count()
+    read = spark.read.format("npy_raster").load(path)
+    capture = F.regexp_extract("path", r"capture=(\d+)/", 1).cast("int").alias("capture")
+    return read.select(capture, "frame", "v", F.posexplode("depth").alias("u", "depth"))
+
+
 @query("npy_round_trip", "frame v u ~depth", "depth_px", f"SELECT CAST(frame AS varchar) AS frame, v, u, {F32.format('depth')} AS depth FROM depth_px")
 def _(spark, sf):
     sources.register(spark)

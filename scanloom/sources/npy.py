@@ -4,28 +4,21 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from scanloom.sources.chunks import write_chunks
-from scanloom.sources.files import SPLIT_BYTES, list_inputs, open_input
+from scanloom.sources.files import list_inputs, open_input
+from scanloom.sources.splits import Piece, Pieces, pack
 
 _ROWS_PER_BATCH_BYTES = 4 << 20
 
 
-@dataclass
-class _Rows(InputPartition):
-    path: str
-    part: int
-    parts: int
-
-
 def _array_header(f) -> tuple[tuple[int, int], np.dtype, int]:
     version = np.lib.format.read_magic(f)
     read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
@@ -37,29 +30,26 @@ def _array_header(f) -> tuple[tuple[int, int], np.dtype, int]:
 
 class _NpyReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
-        self.path = options["path"]
-        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.options = options
         self.columns = [f.name for f in schema.fields]
         self.value = options.get("column", "depth")
 
-    def partitions(self) -> list[InputPartition]:
+    def partitions(self) -> list[Pieces]:
         try:
-            files = list_inputs(self.path, ".npy")
+            files = list_inputs(self.options["path"], ".npy")
         except FileNotFoundError:
             files = []
-        splits = []
-        for path, size in files:
-            parts = max(1, -(-size // self.split_bytes))
-            splits += [_Rows(path, i, parts) for i in range(parts)]
-        return splits or [_Rows("", 0, 0)]
-
-    def read(self, split: _Rows) -> Iterator[pa.RecordBatch]:
-        if split.parts == 0:
-            return
-        frame = split.path.rsplit("/", 1)[-1][: -len(".npy")]
-        with open_input(split.path) as f:
+        return pack(files, self.options)
+
+    def read(self, split: Pieces) -> Iterator[pa.RecordBatch]:
+        for piece in split.pieces:
+            yield from self._rows(piece)
+
+    def _rows(self, piece: Piece) -> Iterator[pa.RecordBatch]:
+        frame = piece.path.rsplit("/", 1)[-1][: -len(".npy")]
+        with open_input(piece.path) as f:
             (height, width), dtype, start = _array_header(f)
-            first, last = height * split.part // split.parts, height * (split.part + 1) // split.parts
+            first, last = piece.share(height)
             f.seek(start + first * width * dtype.itemsize)
             step = max(1, _ROWS_PER_BATCH_BYTES // max(1, width * dtype.itemsize))
             for v in range(first, last, step):
@@ -68,6 +58,7 @@ class _NpyReader(DataSourceReader):
                 values = np.frombuffer(raw, dtype=dtype, count=n * width).astype(np.float32)
                 offsets = np.arange(n + 1, dtype=np.int32) * width
                 made = {
+                    "path": pa.array([piece.path] * n, pa.string()),
                     "frame": pa.array([frame] * n, pa.string()),
                     "v": pa.array(np.arange(v, v + n, dtype=np.int64)),
                     self.value: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float32())),
@@ -76,11 +67,12 @@ class _NpyReader(DataSourceReader):
 
 
 class NpyRasterSource(DataSource):
-    """``spark.read.format("npy_raster").load(dir)`` gives ``frame, v, depth array<float>``.
+    """``spark.read.format("npy_raster").load(dir)`` gives ``path, frame, v, depth array<float>``.
 
-    ``frame`` is the file stem. A missing folder gives no rows. Option ``column``
-    renames the values (``conf`` for confidence maps); large rasters are cut into
-    row ranges.
+    ``frame`` is the file stem, which captures may share; ``path`` tells them apart.
+    A missing folder gives no rows. Option ``column`` renames the values (``conf`` for
+    confidence maps); small rasters share a split, large ones are cut into row ranges
+    (options ``splitBytes``, ``minPartitions``).
     """
 
     @classmethod
@@ -90,6 +82,7 @@ class NpyRasterSource(DataSource):
     def schema(self) -> T.StructType:
         return T.StructType(
             [
+                T.StructField("path", T.StringType()),
                 T.StructField("frame", T.StringType()),
                 T.StructField("v", T.LongType()),
                 T.StructField(self.options.get("column", "depth"), T.ArrayType(T.FloatType())),

@@ -21,12 +21,12 @@ from pyspark.sql.datasource import (
     EqualTo,
     Filter,
     In,
-    InputPartition,
     WriterCommitMessage,
 )
 
 from scanloom.plans.ship import ship_package
-from scanloom.sources.files import SPLIT_BYTES, list_inputs, open_input, resolve
+from scanloom.sources.files import list_inputs, open_input, resolve
+from scanloom.sources.splits import Piece, Pieces, pack
 from scanloom.sources.zones import Bounds, bounds_of, ranges
 
 # Property types of the format, as NumPy code and Spark type.
@@ -133,19 +133,19 @@ def vertex_schema(header: PlyHeader) -> T.StructType:
     return T.StructType(fields + [T.StructField(n, PROPERTY_TYPES[k][1]) for n, k in header.properties])
 
 
-@dataclass
-class _Split(InputPartition):
-    path: str
-    part: int
-    parts: int
-    size: int
+# Spark type that holds the values of a NumPy one.
+_HOLDS = {np.dtype(code): kind for code, kind in PROPERTY_TYPES.values()} | {np.dtype("i8"): T.LongType()}
+
+
+def common_type(kinds: Iterable[str]) -> T.DataType:
+    """Narrowest column type that holds the values of all these property types."""
+    return _HOLDS[np.result_type(*[np.dtype(PROPERTY_TYPES[k][0]) for k in kinds])]
 
 
 class _PlyReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
-        self.path = options["path"]
-        self.suffix = options.get("suffix", ".ply")
-        self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
+        self.options = options
+        self.fill = options.get("missing", "error") == "null"
         self.fields = [(f.name, f.dataType) for f in schema.fields]
         self.bounds: dict[str, Bounds] = {}
         self.paths: set[str] | None = None
@@ -159,29 +159,34 @@ class _PlyReader(DataSourceReader):
                 self.paths = named if self.paths is None else self.paths & named
         return filters
 
-    def partitions(self) -> list[InputPartition]:
-        splits = []
-        for path, size in list_inputs(self.path, self.suffix):
-            if self.paths is not None and path not in self.paths:
-                continue
-            parts = max(1, -(-size // self.split_bytes))
-            splits += [_Split(path, i, parts, size) for i in range(parts)]
-        return splits or [_Split("", 0, 0, 0)]
-
-    def read(self, split: _Split) -> Iterator[pa.RecordBatch]:
-        if split.parts == 0:
-            return
+    def partitions(self) -> list[Pieces]:
+        files = list_inputs(self.options["path"], self.options.get("suffix", ".ply"))
+        return pack([f for f in files if self.paths is None or f[0] in self.paths], self.options)
+
+    def read(self, split: Pieces) -> Iterator[pa.RecordBatch]:
+        for piece in split.pieces:
+            yield from self._records(piece)
+
+    def _fits(self, have: str | None, kind: T.DataType) -> bool:
+        """Whether a column of this type can be given from a file's property; with ``missing=null`` it may be wider or absent."""
+        if have is None:
+            return self.fill
+        if PROPERTY_TYPES[have][1] == kind:
+            return True
+        target = np.dtype(_ARROW[kind].to_pandas_dtype())
+        return self.fill and np.can_cast(np.dtype(PROPERTY_TYPES[have][0]), target, "safe")
+
+    def _records(self, split: Piece) -> Iterator[pa.RecordBatch]:
         header = read_header(split.path)
         kinds = dict(header.properties)
         for name, kind in self.fields:
-            if name in _META:
-                continue
-            if name not in kinds or PROPERTY_TYPES[kinds[name]][1] != kind:
+            if name not in _META and not self._fits(kinds.get(name), kind):
                 raise ValueError(f"{split.path}: vertices have no {name} of type {kind.simpleString()}")
+        if any(n not in kinds and n not in _META for n in self.bounds):
+            return  # null everywhere, and a comparison with null keeps no row
         if split.size < header.offset + header.count * header.stride:
             raise ValueError(f"{split.path}: {header.count} vertices announced, file is too short")
-        first = header.count * split.part // split.parts
-        last = header.count * (split.part + 1) // split.parts
+        first, last = split.share(header.count)
         bounds = {n: b for n, b in self.bounds.items() if n in kinds}
         with open_input(split.path) as f:
             for low, high in ranges(split.path, first, last, self.bounds):
@@ -203,6 +208,8 @@ class _PlyReader(DataSourceReader):
                 arrays.append(pa.array([path] * len(rows), pa.string()))
             elif name == "point_id":
                 arrays.append(pa.array(ids))
+            elif name not in rows.dtype.names:
+                arrays.append(pa.nulls(len(rows), _ARROW[kind]))
             else:
                 target = _ARROW[kind]
                 arrays.append(pa.array(rows[name].astype(target.to_pandas_dtype()), target))
@@ -349,7 +356,9 @@ class PlySource(DataSource):
 
     The schema is that of the first file; a file without a wanted property, or with
     another type, fails the read. ``.schema(...)`` with fewer columns reads only
-    those. Files are cut into ranges of whole records (option ``splitBytes``).
+    those. With the option ``missing`` set to ``null`` a file that lacks a property gives nulls, and
+    one of a narrower type is widened (see ``read_unlike``). Small files share a split, large ones are cut
+    into ranges of whole records (options ``splitBytes``, ``minPartitions``).
     Filters that compare columns with numbers, or ``path`` with names, reach the
     source: it leaves out files and rows, and blocks of records where ``zones.write_zone_maps``
     has left a sidecar.
@@ -378,12 +387,12 @@ class PlySource(DataSource):
 
 _CATALOG = (
     "path string, status string, format string, vertex_count long, n_properties int, "
-    "properties array<string>, size_mib double"
+    "properties array<string>, kinds array<string>, size_mib double"
 )
 
 
 def ply_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per named file: format, vertex count, properties, size and capability flags.
+    """One row per named file: format, vertex count, properties and their types, size and capability flags.
 
     Missing and unreadable files get a row with their status instead. Only header
     bytes are read, in parallel.
@@ -399,17 +408,18 @@ def ply_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
                 fs, inner = resolve(path)
                 info = fs.get_file_info(inner)
                 if info.type != pafs.FileType.File:
-                    rows.append((path, "missing", None, None, None, None, None))
+                    rows.append((path, "missing", None, None, None, None, None, None))
                     continue
                 mib = info.size / 1048576
                 try:
                     h = read_header(path)
                 except ValueError as e:
-                    rows.append((path, f"unreadable: {e}", None, None, None, None, mib))
+                    rows.append((path, f"unreadable: {e}", None, None, None, None, None, mib))
                     continue
-                names = [n for n, _ in h.properties]
-                rows.append((path, "ok", h.fmt, h.count, len(names), names, mib))
-            frame = pd.DataFrame(rows, columns=["path", "status", "format", "vertex_count", "n_properties", "properties", "size_mib"])
+                names, kinds = [n for n, _ in h.properties], [k for _, k in h.properties]
+                rows.append((path, "ok", h.fmt, h.count, len(names), names, kinds, mib))
+            columns = ["path", "status", "format", "vertex_count", "n_properties", "properties", "kinds", "size_mib"]
+            frame = pd.DataFrame(rows, columns=columns)
             yield frame.astype({"vertex_count": "Int64", "n_properties": "Int32"})
 
     ship_package(spark)
@@ -418,6 +428,32 @@ def ply_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     return capabilities(listing.mapInPandas(describe, _CATALOG), "properties")
 
 
+def merged_schema(catalog: DataFrame) -> T.StructType:
+    """``path, point_id`` and every property that a readable file of the catalogue has, in the order of its first place.
+
+    A property of several types gets the narrowest that holds the values of all. What is collected
+    is a row per distinct property and type.
+    """
+    found = catalog.where("status = 'ok'").select(F.posexplode(F.arrays_zip("properties", "kinds")).alias("place", "p"))
+    found = found.groupBy("p.properties", "p.kinds").agg(F.min("place").alias("place")).collect()
+    place: dict[str, int] = {}
+    kinds: dict[str, list[str]] = {}
+    for r in found:
+        place[r.properties] = min(r.place, place.get(r.properties, r.place))
+        kinds.setdefault(r.properties, []).append(r.kinds)
+    fields = [T.StructField(n, common_type(kinds[n])) for n in sorted(kinds, key=lambda n: (place[n], n))]
+    return T.StructType([T.StructField(n, kind) for n, (kind, _) in _META.items()] + fields)
+
+
+def read_unlike(spark: SparkSession, paths: list[str], catalog: DataFrame | None = None) -> DataFrame:
+    """Files with unlike properties in one scan, under the merged schema of their catalogue; what a file lacks is null.
+
+    Headers are read by tasks. Unreadable files raise.
+    """
+    schema = merged_schema(ply_catalog(spark, paths) if catalog is None else catalog)
+    return spark.read.format("ply").schema(schema).option("missing", "null").load(",".join(paths))
+
+
 def write_ply(df: DataFrame, path: str, mode: str = "overwrite", **options: str) -> None:
     """Write all columns but ``path`` and ``point_id`` as vertex properties."""
     kept = df.drop("path", "point_id")

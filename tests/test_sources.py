@@ -13,7 +13,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In,
 from scanloom.operators import catalog, jobs
 from scanloom.plans.materialize import png
 from scanloom.plans.stage import stage, work_dir
-from scanloom.sources import captures, documents, images, npy, ply, sparse_model, xmp, zones
+from scanloom.sources import captures, documents, images, npy, ply, sparse_model, splits, xmp, zones
 from scanloom.streaming.intake import process_new
 
 RNG = np.random.default_rng(3)
@@ -147,6 +147,76 @@ def test_rasters(spark, tmp_path):
         npy.write_rasters(df.where("v <> 3"), str(tmp_path / "gap")).collect()
 
 
+def test_small_files_share_splits():
+    """Every part of every file once, in order, and no split much larger than the mean."""
+    cases = [
+        ([(f"{i:05d}", 4096) for i in range(10_000)], {}, 16),
+        ([("a", 10 << 30), ("b", 1)], {}, 81),
+        ([("a", 0), ("b", 5)], {}, 1),
+        ([(f"{i}", 30 << 20) for i in range(100)], {"minpartitions": "4"}, 24),
+        ([("a", 1000), ("b", 1000)], {"splitbytes": "100"}, 20),
+    ]
+    for files, options, most in cases:
+        packed = splits.pack(files, options)
+        pieces = [p for s in packed for p in s.pieces]
+        assert 0 < len(packed) <= most and all(s.pieces for s in packed)
+        assert [p.path for p in pieces if p.part == 0] == [n for n, _ in files]
+        for name, size in files:
+            shares = [p.share(size) for p in pieces if p.path == name]
+            assert shares[0][0] == 0 and shares[-1][1] == size and all(a[1] == b[0] for a, b in zip(shares, shares[1:]))
+        costs = [sum(b - a + splits.OPEN_BYTES for p in s.pieces for a, b in [p.share(p.size)]) for s in packed]
+        one = max(b - a + splits.OPEN_BYTES for p in pieces for a, b in [p.share(p.size)])
+        assert max(costs) <= sum(costs) / len(costs) + 2 * one
+    assert [s.pieces for s in splits.pack([], {})] == [[]]
+
+
+def test_many_small_rasters_of_two_captures(spark, tmp_path):
+    want = {}
+    for c in ("a", "b"):
+        (tmp_path / c).mkdir()
+        for i in range(60):
+            want[c, f"img_{i}"] = d = RNG.uniform(size=(3, 4)).astype(np.float32)
+            np.save(tmp_path / c / f"img_{i}.npy", d)
+    df = spark.read.format("npy_raster").load(str(tmp_path))
+    assert df.columns == ["path", "frame", "v", "depth"] and df.rdd.getNumPartitions() <= 3
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r.v):
+        got.setdefault((r.path.split("/")[-2], r.frame), []).append(r.depth)
+    assert got.keys() == want.keys() and all(np.array_equal(got[k], want[k]) for k in want)
+    thin = spark.read.format("npy_raster").schema("frame string, v long").load(str(tmp_path))
+    assert thin.columns == ["frame", "v"] and thin.count() == 360
+
+
+def test_unlike_files_in_one_scan(spark, tmp_path):
+    write_file(str(tmp_path / "a.ply"), [("x", "f4"), ("y", "f4"), ("z", "f4"), ("k", "u1")], [(1, 2, 3, 4), (2, 3, 4, 200)])
+    write_file(str(tmp_path / "b.ply"), [("x", "f8"), ("y", "f4"), ("z", "f4"), ("opacity", "f4")], [(0.1, 5, 6, -1)], order=">")
+    write_file(str(tmp_path / "c.ply"), [("k", "i1"), ("x", "f4"), ("y", "f4"), ("z", "f4")], [(-5, 7, 8, 9)])
+    write_file(str(tmp_path / "none.ply"), [("x", "f4"), ("y", "f4"), ("z", "f4")], [])
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "d.ply").write_text("nothing")
+    files = [str(tmp_path / f"{n}.ply") for n in ("a", "b", "c", "none")]
+    df = jobs.merge_files(spark, files, strict=False)
+    assert dict(df.dtypes) == {
+        "path": "string", "point_id": "bigint", "k": "smallint", "x": "double", "y": "float", "z": "float", "opacity": "float"
+    }
+    got = sorted((r.x, r.k, r.opacity) for r in df.collect())
+    assert got == [(0.1, None, -1), (1, 4, None), (2, 200, None), (7, -5, None)]
+    assert df.where("opacity < 0").count() == 1 and df.where("opacity IS NULL").count() == 3
+    assert df.where("k >= 4").count() == 2 and df.where("x = 0.1D").count() == 1
+    assert df.rdd.getNumPartitions() == 1
+    with pytest.raises(ValueError, match="b.ply has other properties than .*a.ply"):
+        jobs.merge_files(spark, files[:2])
+    assert jobs.merge_files(spark, [files[0]] * 2).count() == 4
+    with pytest.raises(ValueError, match="unreadable"):
+        jobs.merge_files(spark, [files[0], str(tmp_path / "bad")], strict=False)
+    named = {n: str(tmp_path / f"{n}.ply") for n in ("a", "b", "c", "none", "gone")} | {"bad": str(tmp_path / "bad")}
+    rows = {r["name"]: r for r in jobs.compare_files(spark, named).collect()}
+    assert {n: r.n for n, r in rows.items()} == {"a": 2, "b": 1, "c": 1, "none": 0, "gone": None, "bad": None}
+    assert rows["gone"].status == "missing" and rows["bad"].status.startswith("unreadable") and rows["none"].status == "ok"
+    assert rows["a"].x_max == 2 and rows["b"].is_splat and not rows["a"].is_splat and rows["b"].n_above_1 == 1
+    assert rows["a"].mean_opacity is None and rows["b"].mean_opacity == pytest.approx(1 / (1 + np.exp(1)))
+
+
 def model_file(tmp_path):
     with open(tmp_path / "images.bin", "wb") as f:
         f.write(struct.pack("<Q", 3))
