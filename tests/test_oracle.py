@@ -33,6 +33,32 @@ def test_captures_with_and_without_depth(spark, name):
     assert ok, text
 
 
+@pytest.fixture(scope="module")
+def long_numbers(tmp_path_factory):
+    """The smallest tables with numbers of five and of six digits: 10000 and 100000 to 100009 get the same name."""
+    folder = str(tmp_path_factory.mktemp("long"))
+    con = connect(SF)
+    for name in os.listdir(SF):
+        table = name.partition(".")[0]
+        key = {"embeddings": "vec_id", "events": "event_id", "orders": "o_orderkey"}.get(table)
+        sql = f"FROM {table}"
+        if key:
+            sql = " UNION ALL ".join(f"SELECT * REPLACE ({k} AS {key}) FROM {table}" for k in (f"{key} + 10000", f"{key} * 3 + 100000"))
+        con.execute(f"COPY ({sql}) TO '{folder}/{name}'")
+    return folder
+
+
+NAMED = (
+    "depth_link_counts"
+)
+
+
+@pytest.mark.parametrize("name", NAMED.split())
+def test_files_that_share_a_name(spark, long_numbers, name):
+    ok, text = compare(spark, connect(long_numbers), name, long_numbers)
+    assert ok, text
+
+
 @pytest.mark.parametrize("missing", ["tiktoken", "scanloom.llm"])
 def test_entry_loads_without_its_optional_part(missing):
     code = (
