@@ -49,7 +49,7 @@ def long_numbers(tmp_path_factory):
 
 
 NAMED = (
-    "depth_link_counts depth_links"
+    "depth_link_counts depth_links frame_documents frame_table"
 )
 
 
