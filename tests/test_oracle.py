@@ -49,7 +49,7 @@ def long_numbers(tmp_path_factory):
 
 
 NAMED = (
-    "depth_link_counts depth_links frame_documents frame_table"
+    "depth_link_counts depth_links frame_documents frame_table mean_focal sidecar_frame_table sidecar_header"
 )
 
 
