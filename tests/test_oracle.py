@@ -49,8 +49,8 @@ def long_numbers(tmp_path_factory):
 
 
 NAMED = (
-    "depth_link_counts depth_links frame_documents frame_table mean_focal registration_rate "
-    "sidecar_documents_per_capture sidecar_files sidecar_frame_table sidecar_header sidecar_match_counts"
+    "depth_link_counts depth_links frame_documents frame_table mean_focal registration_rate sidecar_documents_per_capture "
+    "sidecar_files sidecar_frame_table sidecar_header sidecar_match_counts skipped_frames"
 )
 
 
