@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from scanloom.sources.files import CHUNK_BYTES, SPLIT_BYTES, list_inputs, open_input
+from scanloom.sources.splits import shared_bytes
 
 # Number of camera parameters for each model id of the public format.
 PARAM_COUNTS = {0: 3, 1: 4, 2: 4, 3: 5, 4: 8, 5: 8, 6: 12, 7: 5, 8: 4, 9: 5, 10: 12}
@@ -178,16 +179,18 @@ class _ModelReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         parts = []
-        for path, size in list_inputs(self.path, FILES[self.table]):
+        files = list_inputs(self.path, FILES[self.table])
+        split_bytes = shared_bytes(self.split_bytes, sum(size for _, size in files))
+        for path, size in files:
             heads = self.table in ("images", "observations")
-            parts += _image_parts(path, size, self.split_bytes) if heads else [_Part(path, size)]
+            parts += _image_parts(path, size, split_bytes) if heads else [_Part(path, size)]
         return parts or [_Part("", 0)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
         with open_input(part.path) as f:
-            s = _Stream(f, part.size, part.path)
+            s = _Stream(f, part.size, part.path, min(CHUNK_BYTES, max(_HEAD_BYTES, self.split_bytes)))
             if self.table == "observations":
                 yield from self._observations(s, part)
                 return

@@ -169,6 +169,9 @@ def test_small_files_share_splits():
         one = max(b - a + splits.OPEN_BYTES for p in pieces for a, b in [p.share(p.size)])
         assert max(costs) <= sum(costs) / len(costs) + 2 * one
     assert [s.pieces for s in splits.pack([], {})] == [[]]
+    packed = splits.pack([(f"{i:05d}", 2128) for i in range(12_000)], {"splitbytes": "900"})
+    assert len(packed) <= splits.MOST_SPLITS and sum(len(s.pieces) for s in packed) == 36_000
+    assert len(splits.pack([("a", 300 << 30)], {})) >= 2400  # large splits stay as they are
 
 
 def test_many_small_rasters_of_two_captures(spark, tmp_path):
