@@ -191,6 +191,17 @@ def test_many_small_rasters_of_two_captures(spark, tmp_path):
     assert thin.columns == ["frame", "v"] and thin.count() == 360
 
 
+def test_catalog_query_writes_more_files_for_more_rows(spark, monkeypatch):
+    from scanloom.plans import queries_files
+    from scanloom.plans.registry import QUERIES
+
+    listed = []
+    monkeypatch.setattr(queries_files, "_FILE_ROWS", 500, raising=False)
+    monkeypatch.setattr(ply, "ply_catalog", lambda spark, names, f=ply.ply_catalog: listed.extend(names) or f(spark, names))
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert QUERIES["ply_catalog"](spark, "/root/testdata/sf0.001").first().n == n and len(listed) == -(-n // 500)
+
+
 def test_unlike_files_in_one_scan(spark, tmp_path):
     write_file(str(tmp_path / "a.ply"), [("x", "f4"), ("y", "f4"), ("z", "f4"), ("k", "u1")], [(1, 2, 3, 4), (2, 3, 4, 200)])
     write_file(str(tmp_path / "b.ply"), [("x", "f8"), ("y", "f4"), ("z", "f4"), ("opacity", "f4")], [(0.1, 5, 6, -1)], order=">")
