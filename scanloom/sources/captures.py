@@ -20,8 +20,8 @@ from scanloom.plans.stage import stage
 from scanloom.sources.files import list_inputs, resolve
 from scanloom.sources.ply import comments_of, default_properties, header_bytes, pack_records, read_header, record_type
 
-#: Bytes of a file, about; counted as if all properties had eight.
-FILE_BYTES = 2 << 30
+#: Bytes of a file, about; counted as if all properties had eight. A task sorts and writes the rows of a file.
+FILE_BYTES = 128 << 20
 _IN_PARTITION = (1 << 33) - 1
 _ENTRY = "name string, file string, temporary string, n_kept long, n_source long, bytes long"
 _ENTRY_ARROW = pa.schema(

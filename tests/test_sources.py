@@ -515,6 +515,10 @@ def test_large_captures_are_continued_in_further_files(spark, tmp_path):
     assert b"".join(p.read_bytes()[h.offset :] for p, h in zip(parts, heads)) == want.tobytes()
 
 
+def test_a_file_by_default_is_what_a_task_can_sort():
+    assert captures.FILE_BYTES <= 128 << 20
+
+
 def test_captures_without_rows_and_overwriting(spark, tmp_path):
     files = splats(tmp_path / "in", [50, 60])
     faint = files["c1/splat.ply"]
