@@ -60,6 +60,20 @@ def test_files_that_share_a_name(spark, long_numbers, name):
     assert ok, text
 
 
+def test_an_input_registers_by_its_own_number(spark, long_numbers):
+    """Names of five digits would register 100004 for 10000; the query and its SQL compare all digits."""
+    con = connect(long_numbers)
+    model = {i for (i,) in con.execute("SELECT vec_id FROM embeddings").fetchall()}
+    want = {}
+    for (i,) in con.execute("SELECT event_id FROM events").fetchall():
+        n, found = want.get(i % 4, (0, 0))
+        want[i % 4] = n + 1, found + (i in model)
+    got = contract.queries()["registration_rate"](spark, long_numbers).collect()
+    sql = con.execute(contract.oracle_sql()["registration_rate"]).fetchall()
+    for rows in (got, sql):
+        assert {capture: (n, found) for capture, n, found, _ in rows} == want
+
+
 @pytest.mark.parametrize("missing", ["tiktoken", "scanloom.llm"])
 def test_entry_loads_without_its_optional_part(missing):
     code = (
